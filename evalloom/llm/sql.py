@@ -20,3 +20,23 @@ FROM w LEFT JOIN kept USING (doc_id)
 """
 
 ORACLES = {"op9_substring_dedup": OP9}
+
+OP6 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, k FROM (
+    SELECT doc_id, array_to_string(ws[i:i + 2], ' ') AS k FROM w, unnest(generate_series(1, greatest(1, len(ws) - 2))) t(i) WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+f AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN f USING (k) JOIN s b USING (k) WHERE a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS MATERIALIZED (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)
+), e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, c) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT id, min(c) AS c FROM r GROUP BY 1) c ON c.id = w.doc_id
+"""
+
+ORACLES["op6_jaccard_join"] = OP6
