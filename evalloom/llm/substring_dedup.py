@@ -190,7 +190,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_intervals(docs: DataFrame, size: int) -> DataFrame:
     found = removal_intervals(docs, size)
     left = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(tb.NULL_ID)))
-    return left.join(found, "__id", "left")
+    return left.hint("merge").join(found, "__id", "left")
 
 
 def removal_report(docs: DataFrame, size: int = 20) -> DataFrame:
