@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalloom.llm import hmm_lm, jaccard_join, substring_dedup
+from evalloom.llm import hmm_lm, jaccard_join, language_id, substring_dedup
 from evalloom.llm.sql import ORACLES
 
 
@@ -22,6 +22,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_predictions(_table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_report(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm_lm": op1_hmm_lm,
     "op6_jaccard_join": op6_jaccard_join,
+    "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
