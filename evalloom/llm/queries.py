@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalloom.llm import hmm_lm, jaccard_join, language_id, substring_dedup
+from evalloom.llm import hmm_lm, jaccard_join, language_id, packing, substring_dedup
 from evalloom.llm.sql import ORACLES
 
 
@@ -18,6 +18,10 @@ def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm_lm": op1_hmm_lm,
+    "op4_packing": op4_packing,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
