@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evalloom.llm import hmm_lm, jaccard_join, language_id, media_chunks, packing, substring_dedup, warc
+from evalloom.llm import chat_format, hmm_lm, jaccard_join, language_id, media_chunks, packing, substring_dedup, vector_dedup, warc
 from evalloom.llm.sql import ORACLES
 
 
@@ -26,10 +27,24 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's rows are records of the turn-row layout; conversation -7 holds control strings."""
+    same = r"\### Assistant: </turn> ok"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", same), (-7, 1, "assistant", same)], "conv_id long, turn long, role string, text string")
+    rows = rows.unionByName(probe)
+    records = rows.select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    return chat_format.read_back(chat_format.format_turns(chat_format.canonical_turns(records)))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(_table(spark, sf_dir, "documents"))
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.held_out_predictions(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm_lm": op1_hmm_lm,
     "op3_media_chunks": op3_media_chunks,
     "op4_packing": op4_packing,
+    "op5_chat_format": op5_chat_format,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_vector_dedup": op7_vector_dedup,
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc": op10_warc,

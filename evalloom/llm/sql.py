@@ -51,3 +51,29 @@ FROM q
 """
 
 ORACLES["op10_warc"] = OP10
+
+OP5 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(16 + length(role) + length(replace(replace(replace(text, '\', '\\'), '<turn', '\lturn'), '</turn', '\l/turn')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+OP7 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda y: y IS NULL OR NOT isfinite(y)), true) AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0
+), n AS MATERIALIZED (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS r FROM v),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM n a, n b WHERE a.vec_id < b.vec_id AND list_dot_product(a.x, b.x) / (a.r * b.r) >= 0.95),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, c) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
+SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, coalesce(c.c, vec_id) AS component_id, coalesce(c.c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY 1) k USING (vec_id) LEFT JOIN (SELECT id AS vec_id, min(c) AS c FROM r GROUP BY 1) c USING (vec_id)
+"""
+
+ORACLES |= {"op5_chat_format": OP5, "op7_vector_dedup": OP7}
