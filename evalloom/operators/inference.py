@@ -22,7 +22,7 @@ def exact_two_sided(wins: int | None, losses: int | None) -> float | None:
 def sign_test(effects: DataFrame, by: list[str], effect: str = "effect") -> DataFrame:
     """wins, losses, ties, n and p by group; the binomial tail is computed once for each group."""
     t = effects.groupBy(*by).agg(F.count_if(F.col(effect) > 0).alias("wins"), F.count_if(F.col(effect) < 0).alias("losses"), F.count_if(F.col(effect) == 0).alias("ties"))
-    p = F.udf(exact_two_sided, T.DoubleType())
+    p = F.udf(lambda wins, losses: exact_two_sided(wins, losses), T.DoubleType())
     return t.select(*by, "wins", "losses", "ties", (F.col("wins") + F.col("losses")).alias("n"), r9(p("wins", "losses")).alias("p"))
 
 

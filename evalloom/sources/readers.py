@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,10 +153,6 @@ def tool_findings(rows: DataFrame, tool: str, payload: str, dialect: str = "json
 
 def test_summary(rows: DataFrame, payload: str) -> DataFrame:
     """(total, passed, failed) of every test_results map anywhere in JSON text; none gives NULLs."""
-    import json
-
-    import pandas as pd
-
     def walk(v: object):
         if isinstance(v, dict):
             for k, x in v.items():
