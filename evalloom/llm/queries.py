@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import chat_format, hmm_lm, jaccard_join, language_id, media_chunks, packing, substring_dedup, vector_dedup, warc
+from evalloom.llm import chat_format, hmm_lm, jaccard_join, language_id, media_chunks, packing, sentencepiece_sampling, substring_dedup, vector_dedup, warc
 from evalloom.llm.sql import ORACLES
 
 
@@ -19,6 +19,13 @@ def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sampled segmentations of every turn."""
+    rows = sentencepiece_sampling.sampled(_table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return rows.select("conv_id", "turn", "sample", "n_pieces", F.round("log_prob", 9).alias("log_prob"), F.round("inclusion", 9).alias("inclusion"), digest.alias("ids_sha256"), "decoded")
+
+
 def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_chunks.read_back(media_chunks.store(_table(spark, sf_dir, "documents")))
 
@@ -59,6 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm_lm": op1_hmm_lm,
+    "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
     "op3_media_chunks": op3_media_chunks,
     "op4_packing": op4_packing,
     "op5_chat_format": op5_chat_format,

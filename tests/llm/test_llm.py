@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalloom.llm import chat_format, components, hmm_lm, jaccard_join, language_id, media_chunks, packing, substring_dedup, textblocks, tokens, vector_dedup, warc
+from evalloom.llm import chat_format, components, hmm_lm, jaccard_join, language_id, media_chunks, packing, sentencepiece_sampling, substring_dedup, textblocks, tokens, vector_dedup, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -176,6 +176,63 @@ def test_lm_beats_base_on_held_out(spark, sf):
     assert r[0] > r[1]
 
 
+# --- 2 SentencePiece
+
+
+def all_segmentations(chunks):
+    out = [((), 0.0)]
+    for c in chunks:
+        here = [((), 0.0, 0)]
+        done = []
+        while here:
+            path, p, at = here.pop()
+            if at == len(c.text):
+                done.append((path, p))
+                continue
+            here += [((*path, e), p + q, end) for end, e, q in c.edges[at]]
+        out = [(a + b, p + q) for a, p in out for b, q in done]
+    total = sum(math.exp(p) for _, p in out)
+    return {path: p - math.log(total) for path, p in out}
+
+
+def test_gumbel_top_k_is_a_sample_without_replacement():
+    v = sentencepiece_sampling.vocabulary(sentencepiece_sampling.default_model())
+    lattice = v.lattice("the dog s")
+    every = all_segmentations(lattice)
+    assert len(every) > 20
+    n, k = 4000, 3
+    first, estimate = Counter(), 0.0
+    for seed in range(n):
+        found, threshold = sentencepiece_sampling.sample(lattice, k, random.Random(seed))
+        paths = [tuple(e) for _, _, e in found]
+        assert len(set(paths)) == k and all(abs(every[x] - p) < 1e-9 for x, (_, p, _) in zip(paths, found, strict=True))
+        assert [g for g, _, _ in found] == sorted((g for g, _, _ in found), reverse=True) and found[-1][0] >= threshold
+        first[paths[0]] += 1
+        estimate += sum(math.exp(p) / sentencepiece_sampling.inclusion(p, threshold) for _, p, _ in found)
+    assert estimate / n == pytest.approx(1.0, abs=0.03)  # Horvitz-Thompson
+    for path, p in every.items():
+        q = math.exp(p)
+        assert abs(first[path] / n - q) < 5 * math.sqrt(q * (1 - q) / n) + 1e-3
+    # with k beyond their number, all segmentations come out
+    small = v.lattice("ab")
+    assert {tuple(e) for _, _, e in sentencepiece_sampling.sample(small, 100, random.Random(1))[0]} == set(all_segmentations(small))
+
+
+def test_sentencepiece_round_trip(spark):
+    texts = ["", None, " ", "  two  blanks ", "a\u2581b", "\x00\n\t日本 😀", "the " * 300, "x"]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(7, "x", 1)], "id long, text string, rank int").repartition(3)
+    got = sentencepiece_sampling.sampled(df, ["id"], k=4)
+    rows = got.collect()
+    assert all(r["decoded"] for r in rows) and {r["id"] for r in rows} == set(range(8))
+    assert [(r["n_pieces"], r["log_prob"], r["inclusion"]) for r in rows if r["id"] in (0, 1)] == [(0, 0.0, 1.0)] * 2
+    back = {(r["id"], r["text"]) for r in sentencepiece_sampling.decode(got).collect()}
+    assert back == {(i, t or "") for i, t in enumerate(texts)}
+    twice = sorted(r["ids"] for r in rows if r["id"] == 7)
+    assert twice[::2] == twice[1::2]  # repeated rows give equal samples
+    assert sorted(map(str, rows)) == sorted(map(str, sentencepiece_sampling.sampled(df.repartition(1), ["id"], k=4).collect()))
+    assert sentencepiece_sampling.sampled(df.limit(0), ["id"]).count() == 0
+
+
 # --- 3 media
 
 
