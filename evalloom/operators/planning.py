@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions.columns import r9
+from evalloom.runtime import global_index
 
 
 def uuid5(name: Column, namespace: str = "6ba7b8109dad11d180b400c04fd430c8") -> Column:
@@ -25,8 +26,7 @@ def campaign_plan(instances: DataFrame, methods: list[str], backbones: list[str]
     plan = plan.withColumn("campaign_id", uuid5(F.concat_ws("|", "instance_id", "method", "backbone", F.col("replicate").cast("string"))))
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.concat_ws("|", "instance_id", "method", "backbone", F.col("replicate").cast("string"))))
     rank = F.row_number().over(Window.partitionBy("instance_id").orderBy(order, "campaign_id")) - 1
-    # ordinal of the block: a sort of the instances alone
-    block = instances.select("instance_id").distinct().withColumn("block", F.row_number().over(Window.orderBy("instance_id")) - 1)
+    block = global_index(instances.select("instance_id").distinct(), ["instance_id"], "block")
     size = len(methods) * len(backbones) * replicates
     return plan.withColumn("_r", rank).join(block, "instance_id").select("campaign_id", "instance_id", "lineage_id", "method", "backbone", "replicate", (F.col("block") * size + F.col("_r")).cast("long").alias("order_index"))
 

@@ -66,9 +66,9 @@ class Views:
 
     def hits(self, prefixes: tuple[int, ...] = (1, 2, 4, 8)) -> DataFrame:
         """Campaigns and prefixes with whether a slot within the prefix is verified."""
-        first = self.slots().where("verified_finding").groupBy("l_orderkey").agg(F.min("slot_index").alias("first"))
-        some = self.slots().select("l_orderkey").distinct()
-        rows = self.facts().join(some, F.col("key") == F.col("l_orderkey")).drop("l_orderkey").join(first, F.col("key") == F.col("l_orderkey"), "left").drop("l_orderkey")
+        # one aggregation gives both which orders have slots and their first verified one
+        first = self.slots().groupBy("l_orderkey").agg(F.min(F.when(F.col("verified_finding"), F.col("slot_index"))).alias("first"))
+        rows = self.facts().join(first, F.col("key") == F.col("l_orderkey")).drop("l_orderkey")
         return rows.select("*", F.explode(F.array(*map(F.lit, prefixes))).alias("prefix")).withColumn("hit", F.coalesce(F.col("first") < F.col("prefix"), F.lit(False)))
 
     def log(self) -> DataFrame:

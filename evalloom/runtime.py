@@ -9,7 +9,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 _LOCAL_SHARED: dict[str, str] = {}
@@ -102,3 +103,27 @@ def slices(df: DataFrame, bytes_each: int, least: int = 256, most: int = 1 << 20
     while n < most and n * bytes_each < size_hint(df):
         n *= 2
     return n
+
+
+def sums_before(df: DataFrame, by: list[str], order: str, value: str, name: str, group: int = 1024) -> DataFrame:
+    """df with the sum of `value` over the rows of the same `by` with a smaller `order` (a dense non-negative integer).
+
+    Sums run inside groups of consecutive orders and then over the groups, so no task sees more than a `group`-th of one key's rows at once.
+    """
+    rows = df.withColumn("_g", F.floor(F.col(order) / group).cast("long"))
+    inner = rows.withColumn("_i", F.sum(value).over(Window.partitionBy(*by, "_g").orderBy(order)) - F.col(value))
+    totals = rows.groupBy(*by, "_g").agg(F.sum(value).alias("_t"))
+    before = totals.withColumn("_b", F.sum("_t").over(Window.partitionBy(*by).orderBy("_g")) - F.col("_t")).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.col("_g").alias("_h"), "_b")
+    same = F.col("_g") == F.col("_h")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return inner.join(before, same).select(*df.columns, (F.col("_i") + F.col("_b")).alias(name))
+
+
+def global_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with each row's ordinal in the given order: a range partitioning, ranks inside partitions and the partitions' offsets."""
+    placed = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_o"))  # a row a partition
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return placed.withColumn("_r", rank).join(offsets, "_p").select(*df.columns, (F.col("_o") + F.col("_r")).alias(name))
