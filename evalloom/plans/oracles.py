@@ -213,3 +213,30 @@ SELECT method, eligible, total - eligible AS unsupported, round(eligible / total
     "pending_batch": """SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY o_orderkey LIMIT 50""",
     "set_differences": """(SELECT o_custkey AS k, 'left' AS only_in FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) UNION ALL (SELECT c_custkey, 'right' FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders))""",
 }
+
+ORACLES |= {
+    "candidate_projection": f"""WITH {SLOTS} SELECT l_orderkey AS attempt_id, slot_index::INT AS slot_index, CASE WHEN slot_index % 2 = 0 THEN 's' || identity ELSE l_orderkey || ':slot:' || slot_index END AS slot_id,
+  CASE WHEN verified_finding THEN 'candidate' ELSE 'abstain' END AS status, CASE WHEN verified_finding THEN identity::VARCHAR END AS payload FROM slots""",
+    "failure_reasons": f"""WITH {SLOTS} SELECT CASE WHEN grounding <> 'passed' THEN 'grounding_' || grounding WHEN symbolic_search <> 'passed' THEN 'symbolic_search_' || symbolic_search WHEN witness_check <> 'passed' THEN 'witness_check_' || witness_check
+  WHEN independent_replay <> 'passed' THEN 'independent_replay_' || independent_replay END AS reason, count(*) AS n FROM slots GROUP BY 1""",
+    "unknown_outcomes": "SELECT l_orderkey AS campaign_id, min(l_linenumber * 1000000 + l_partkey) AS seq, NULL::BOOLEAN AS detected, 'unknown' AS availability FROM lineitem GROUP BY 1",
+    "strict_match": f"""WITH {OUTCOMES}, t AS (SELECT instance_id, replicate, count(*) FILTER (method = 'X') AS n_left, count(*) FILTER (method = 'P') AS n_right FROM outcomes WHERE method IN ('X', 'P') GROUP BY 1, 2) SELECT *, n_left = 1 AND n_right = 1 AS matched FROM t""",
+    "run_terminal_report": """WITH e AS (SELECT l_orderkey AS k, max(l_linestatus) AS s FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
+SELECT o_orderstatus AS status, CASE WHEN k IS NULL THEN 'terminal_missing' WHEN s <> o_orderstatus THEN 'status_differs' ELSE 'matched' END AS "check", count(*) AS n FROM orders LEFT JOIN e ON k = o_orderkey GROUP BY 1, 2""",
+    "design_balance": """WITH f AS (SELECT c_mktsegment AS v, count(*) AS n FROM customer GROUP BY 1), w(v, n) AS (VALUES ('BUILDING', 10), ('MACHINERY', 0), ('absent', 3))
+SELECT coalesce(f.v, w.v) AS value, coalesce(w.n, 0)::BIGINT AS expected, coalesce(f.n, 0) AS found FROM f FULL JOIN w ON f.v = w.v WHERE coalesce(w.n, 0) <> coalesce(f.n, 0)""",
+    "registry_differences": """WITH r AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey <= 150)
+SELECT coalesce(s_suppkey, k) AS k, CASE WHEN k IS NULL THEN 'only_in_left' WHEN s_suppkey IS NULL THEN 'only_in_right' ELSE 'differs:nation' END AS problem FROM supplier FULL JOIN r ON k = s_suppkey WHERE k IS NULL OR s_suppkey IS NULL OR n <> s_nationkey""",
+    "symbol_bindings": """WITH s AS (SELECT p_partkey AS id, 'n' || p_partkey % 97 AS name, ['bool', 'uint256', 'address', 'string'][p_partkey % 4 + 1] AS t FROM part), l AS (SELECT 'n' || s_suppkey AS label, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey END AS slot, (s_suppkey % 20 - 1)::INT AS o FROM supplier),
+j AS (SELECT *, CASE WHEN t = 'string' THEN 'unsupported_type' WHEN label IS NULL THEN 'layout_missing' WHEN slot IS NULL THEN 'slot_missing' WHEN o < 0 THEN 'bad_offset' WHEN o + CASE t WHEN 'bool' THEN 1 WHEN 'address' THEN 20 ELSE 32 END > 32 THEN 'packing_exceeds_slot' ELSE 'bound' END AS status FROM s LEFT JOIN l ON name = label)
+SELECT id AS symbol_id, status, CASE WHEN status = 'bound' THEN slot END AS slot, CASE WHEN status = 'bound' THEN o END AS "offset" FROM j""",
+    "action_bindings": """WITH a AS (SELECT c_custkey AS action, 'f' || c_custkey % 30 AS name, 'c' || c_custkey % 3 AS target FROM customer), f AS (SELECT 'f' || s_suppkey % 20 AS fn, 'x.c' || s_suppkey % 4 AS contract FROM supplier),
+j AS (SELECT a.*, f.*, coalesce(suffix(contract, target), false) AS hit FROM a LEFT JOIN f ON name = fn), k AS (SELECT *, bool_or(hit) OVER (PARTITION BY action) AS any_hit FROM j), t AS (SELECT action, count(fn) AS n, min(contract) AS contract FROM k WHERE hit = any_hit GROUP BY 1)
+SELECT action, CASE WHEN n = 0 THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'bound' END AS status, CASE WHEN n = 1 THEN contract END AS contract FROM t""",
+    "legitimacy": """SELECT p_partkey, CASE WHEN p_retailprice < 950 THEN 'unwarranted' WHEN p_size < 10 OR p_partkey % 7 = 0 THEN 'unknown' ELSE 'eligible' END AS legitimacy,
+  concat_ws(',', CASE WHEN p_size < 10 THEN 'single_domain' END, CASE WHEN p_partkey % 7 = 0 THEN 'no_post_state' END, CASE WHEN p_retailprice < 950 THEN 'constant_body' END) AS reasons FROM part""",
+    "verified_findings": f"""WITH {SLOTS}, f AS (SELECT l_orderkey, CASE WHEN independent_replay = 'passed' THEN l_quantity > 20 AND NOT l_discount > 0.05 AND l_tax < 0.04 END AS v FROM slots) SELECT l_orderkey, count(*) FILTER (v) AS verified, count(v) AS known, count(*) AS total FROM f GROUP BY 1""",
+    "eligible_by_all": "SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey % 3) = 3",
+    "split_leakage": f"WITH {OUTCOMES} SELECT lineage_id, count(DISTINCT key % 5 = 0) AS splits FROM outcomes GROUP BY 1 HAVING count(DISTINCT key % 5 = 0) > 1",
+    "telemetry_windows": "SELECT epoch(time_bucket(INTERVAL 5 minutes, ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2",
+}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evalloom.functions import columns as C
 from evalloom.functions import predicate, uint256
-from evalloom.operators import endpoints, events, inference, pairing, planning, quality, search, selection
+from evalloom.operators import bindings, campaigns, endpoints, events, inference, pairing, planning, quality, scheduler, search, selection
 from evalloom.plans.views import Views
 
 CONTRASTS = [("X", "P"), ("X", "T0")]
@@ -402,3 +402,104 @@ def set_differences(v: Views) -> DataFrame:
     left = v.table("orders").select(F.col("o_custkey").alias("k")).distinct()
     right = v.table("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
     return quality.set_difference(left, right)
+
+
+@query
+def candidate_projection(v: Views) -> DataFrame:
+    slot = F.struct("slot_index", F.when(F.col("slot_index") % 2 == 0, F.concat(F.lit("s"), F.col("identity"))).alias("slot_id"), F.when(F.col("verified_finding"), "candidate").otherwise("abstain").alias("status"), F.col("identity").cast("string").alias("payload"))
+    ordered = v.slots().groupBy(F.col("l_orderkey").alias("attempt_id")).agg(F.array_sort(F.collect_list(slot)).alias("slots"))
+    return campaigns.candidate_inputs(ordered)
+
+
+@query
+def failure_reasons(v: Views) -> DataFrame:
+    ladder = {f"{s}_{c}": F.col(s) == c for s in ("grounding", "symbolic_search", "witness_check", "independent_replay") for c in ("failed", "timeout", "unsupported", "unknown")}
+    return v.slots().groupBy(campaigns.first_reason(ladder).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query
+def unknown_outcomes(v: Views) -> DataFrame:
+    queue = v.table("lineitem").select(F.col("l_orderkey").alias("campaign_id"), "l_linenumber", "l_partkey").withColumn("seq", F.col("l_linenumber") * 1000000 + F.col("l_partkey"))
+    return campaigns.unknown_outcomes(queue.select("campaign_id", "seq"), "campaign_id", "seq").select("campaign_id", "seq", "detected", "availability")
+
+
+@query
+def strict_match(v: Views) -> DataFrame:
+    return campaigns.strict_match(v.outcomes(), ["instance_id", "replicate"], "method", "X", "P")
+
+
+@query
+def run_terminal_report(v: Views) -> DataFrame:
+    runs = v.table("orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    ends = v.table("lineitem").where("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linestatus").alias("status"))
+    return campaigns.run_report(runs, ends, "o_orderkey").groupBy("status", "check").agg(F.count("*").alias("n"))
+
+
+@query
+def design_balance(v: Views) -> DataFrame:
+    return campaigns.design_balance(v.table("customer"), "c_mktsegment", {"BUILDING": 10, "MACHINERY": 0, "absent": 3})
+
+
+@query
+def registry_differences(v: Views) -> DataFrame:
+    left = v.table("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("nation"))
+    right = v.table("customer").where("c_custkey % 3 <> 0 AND c_custkey <= 150").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nation"))
+    return campaigns.registry_differences(left, right, "k", ["nation"])
+
+
+@query
+def symbol_bindings(v: Views) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ["bool", "uint256", "address", "string"])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    symbols = v.table("part").select(F.col("p_partkey").alias("symbol_id"), F.concat(F.lit("n"), F.col("p_partkey") % 97).alias("name"), kind.alias("type"))
+    layout = v.table("supplier").select(F.concat(F.lit("n"), F.col("s_suppkey")).alias("label"), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_suppkey")).alias("slot"), (F.col("s_suppkey") % 20 - 1).cast("int").alias("offset"))
+    return bindings.bind_symbols(symbols, layout)
+
+
+@query
+def action_bindings(v: Views) -> DataFrame:
+    actions = v.table("customer").select(F.col("c_custkey").alias("action"), F.concat(F.lit("f"), F.col("c_custkey") % 30).alias("name"), F.concat(F.lit("c"), F.col("c_custkey") % 3).alias("target"))
+    functions = v.table("supplier").select(F.concat(F.lit("f"), F.col("s_suppkey") % 20).alias("name"), F.concat(F.lit("x.c"), F.col("s_suppkey") % 4).alias("contract"))
+    return bindings.bind_actions(actions, functions)
+
+
+@query
+def legitimacy(v: Views) -> DataFrame:
+    reasons = {"single_domain": F.col("p_size") < 10, "no_post_state": F.col("p_partkey") % 7 == 0, "constant_body": F.col("p_retailprice") < 950}
+    out = bindings.legitimacy(v.table("part").select("p_partkey", "p_size", "p_retailprice"), reasons, {"constant_body"})
+    return out.select("p_partkey", "legitimacy", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query
+def verified_findings(v: Views) -> DataFrame:
+    q = F.col("l_quantity")
+    s = v.slots().select("l_orderkey", "slot_index", campaigns.verified(q > 20, F.col("l_discount") > 0.05, F.col("l_tax") < 0.04, F.col("independent_replay") == "passed").alias("finding"))
+    return s.groupBy("l_orderkey").agg(F.count_if("finding").alias("verified"), F.count("finding").alias("known"), F.count("*").alias("total"))
+
+
+@query
+def scheduler_replay(v: Views) -> DataFrame:
+    """Purchases release what the view before them asked for; rows only, as the state is sequential."""
+    e = v.table("events").where("event_type IN ('view', 'purchase')")
+    log = e.select(F.col("user_id").alias("worker"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 2).cast("long").alias("request"), F.when(F.col("event_type") == "view", "request").otherwise("release").alias("event"))
+    return scheduler.replay(log, 2, 3)
+
+
+@query
+def eligible_by_all(v: Views) -> DataFrame:
+    """Parts that every one of three supplier groups supports."""
+    rows = v.table("lineitem").select("l_partkey", (F.col("l_suppkey") % 3).alias("m"))
+    return rows.groupBy("l_partkey").agg(F.count_distinct("m").alias("methods")).where("methods = 3").select("l_partkey")
+
+
+@query
+def split_leakage(v: Views) -> DataFrame:
+    """Lineages that occur in both splits."""
+    rows = v.outcomes().select("lineage_id", F.when(F.col("key") % 5 == 0, "held").otherwise("open").alias("split"))
+    return rows.groupBy("lineage_id").agg(F.count_distinct("split").alias("splits")).where("splits > 1")
+
+
+@query
+def telemetry_windows(v: Views) -> DataFrame:
+    """The batch form of the streaming windows: five-minute sums by event type."""
+    e = v.table("events").groupBy(F.window("ts", "5 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("value"))
+    return e.select(F.unix_seconds(F.col("w.start").cast("timestamp")).alias("start"), "event_type", "n", "value")

@@ -283,3 +283,32 @@ def test_sources_and_sinks(spark, tmp_path):
     payload = spark.createDataFrame([('[{"check": "c", "description": "m"}, {"id": "z", "category": "d", "message": "n"}]', '{"x": {"test_results": {"a": {"status": "Success"}, "b": {"status": "Failure"}}}}')], "p string, t string")
     assert [(r["finding_id"], r["category"]) for r in readers.tool_findings(payload, "s", "p").collect()] == [("s:0", "c"), ("z", "d")]
     assert tuple(readers.test_summary(payload, "t").first()["summary"]) == (2, 1, 1)
+
+
+def test_scheduler_and_opcodes(spark):
+    from evalloom.operators import scheduler
+
+    log = [(1, s, r, e) for s, (r, e) in enumerate([(1, "request"), (2, "request"), (3, "request"), (4, "request"), (1, "release"), (9, "release"), (2, "release")])]
+    got = scheduler.replay(spark.createDataFrame(log, "worker long, seq long, request long, event string"), slots=1, most_waiting=2).orderBy("seq").collect()
+    assert [r["decision"] for r in got] == ["admitted", "queued", "queued", "rejected", "released", "unknown_release", "released"] and [r["running"] for r in got] == [1, 1, 1, 1, 1, 1, 1]
+    assert scheduler.opcodes("0x6001600161ffff0100") == ["00", "01", "60", "61"]
+
+
+def test_bindings_and_matches(spark):
+    from evalloom.operators import bindings, campaigns
+
+    actions = spark.createDataFrame([("a", "f", "Bridge"), ("b", "g", None), ("c", "h", "X")], "action string, name string, target string")
+    functions = spark.createDataFrame([("f", "src.Bridge"), ("f", "Other"), ("h", "P"), ("h", "Q")], "name string, contract string")
+    assert {r["action"]: (r["status"], r["contract"]) for r in bindings.bind_actions(actions, functions).collect()} == {"a": ("bound", "src.Bridge"), "b": ("missing", None), "c": ("ambiguous", None)}
+    rows = spark.createDataFrame([("p", "X"), ("p", "P"), ("q", "X"), ("r", "X"), ("r", "X"), ("r", "P")], "pair string, arm string")
+    assert {r["pair"]: r["matched"] for r in campaigns.strict_match(rows, ["pair"], "arm", "X", "P").collect()} == {"p": True, "q": False, "r": False}
+
+
+def test_prefix_sums_and_ranks(spark):
+    from evalloom.runtime import global_index, sums_before
+
+    df = spark.createDataFrame([(k, i, i + 1) for k in ("a", None) for i in range(50)], "k string, i int, v long")
+    got = {(r["k"], r["i"]): r["s"] for r in sums_before(df, ["k"], "i", "v", "s", group=7).collect()}
+    assert got == {(k, i): i * (i + 1) // 2 for k in ("a", None) for i in range(50)}
+    ranks = global_index(df.where("k = 'a'").repartition(7), ["i"], "n").collect()
+    assert all(r["n"] == r["i"] for r in ranks) and len(ranks) == 50
