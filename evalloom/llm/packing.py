@@ -18,12 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm import textblocks as tb
 from evalloom.llm import tokens
-from evalloom.runtime import materialize, ship
+from evalloom.runtime import materialize, ship, sums_before
 
 WINDOW = 2048
 PACKET = 512
@@ -179,9 +179,8 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer: st
         for name, value in targets.items():
             wanted = F.when(F.col("source") == name, F.lit(float(value))).otherwise(wanted)
         whole = whole.withColumn("share", wanted)
-    before = cells.groupBy("shard").agg(F.sum("t").alias("t")).select("shard", (F.sum("t").over(Window.orderBy("shard")) - F.col("t")).alias("before"))
-    # a source without tokens in a shard still runs up its deficit there: the sum over earlier shards is the same
-    own = cells.withColumn("own", F.sum("t").over(Window.partitionBy("source").orderBy("shard")) - F.col("t"))
+    before = sums_before(cells.groupBy("shard").agg(F.sum("t").alias("t")), [], "shard", "t", "before").select("shard", "before")
+    own = sums_before(cells, ["source"], "shard", "t", "own")
     owed = own.join(before, "shard").join(whole.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("shard").alias("k"), F.col("source").alias("s"), "share", (F.col("share") * F.col("before") - F.col("own")).alias("owed"))
     rows = light.join(owed, (F.col("shard") == F.col("k")) & F.col("source").eqNullSafe(F.col("s"))).select("shard", "uid", "doc_id", "source", "n", "share", "owed")
     plan = rows.groupBy("shard").applyInArrow(_plan, PLAN)
