@@ -13,7 +13,6 @@ Defined results: null text is empty, so only its end token counts; a null doc_id
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -58,6 +57,7 @@ BLOCKS = "block long, docs binary, tokens binary, words binary"
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     n = 0
+    numbers = tb.Numbers()
 
     def flush() -> pa.RecordBatch:
         ids, lens, h, end = map(np.concatenate, zip(*held, strict=True))
@@ -66,7 +66,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train = np.bincount(back[np.repeat(~test, lens)], minlength=len(u)) if len(u) else np.zeros(0, dtype=np.int64)
         docs = tb.pack(ids.astype(np.uint64), test.astype(np.uint8), lens.astype(np.uint32))
         words = tb.pack(u, tb.narrow(train), end[first])
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 66], pa.int64()), *(pa.array([x], pa.binary()) for x in (docs, tb.pack(tb.narrow(back)), words))], ["block", "docs", "tokens", "words"])
+        return pa.RecordBatch.from_arrays([pa.array(numbers.take(), pa.int64()), *(pa.array([x], pa.binary()) for x in (docs, tb.pack(tb.narrow(back)), words))], ["block", "docs", "tokens", "words"])
 
     for batch in batches:
         ids, (offsets, data) = tb.ids_of(batch.column("doc_id")), tb.utf8(batch.column("text"))

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -81,9 +80,10 @@ def _chunk(n_slices: int):
         media: dict[bytes, tuple[int, list[bytes]]] = {}
         docs: list[tuple[int, int, int]] = []
         held = 0
+        numbers = tb.Numbers()
 
         def flush() -> pa.RecordBatch:
-            block, by = uuid.uuid4().int >> 66, {}
+            block, by = numbers.take()[0], {}
             for d in sorted(chunks):
                 by.setdefault(int.from_bytes(d[:4], "big") % n_slices, []).append(d)
             number = {d: i for i, d in enumerate(chunks)}
@@ -96,7 +96,7 @@ def _chunk(n_slices: int):
                 b"".join(number),
             ]
             body = b"".join(len(m).to_bytes(4, "little") + m for m in manifest)
-            rows = [(s, 0, _part(ds, [chunks[d] for d in ds])) for s, ds in by.items()] + [(block % n_slices, 1, body)]
+            rows = [(s, 0, _part(ds, [chunks[d] for d in ds])) for s, ds in by.items()] + [(int(tb.mix(np.array([block], dtype=np.uint64))[0]) % n_slices, 1, body)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["slice", "block", "kind", "body"])
 
         place: dict[bytes, int] = {}

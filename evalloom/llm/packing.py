@@ -11,7 +11,6 @@ source of its own; repeated rows are packed as often as they occur; sources with
 
 from __future__ import annotations
 
-import random
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -42,7 +41,7 @@ TOKENS = "uid long, doc_id long, source string, n int, ids binary"
 
 def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draw = random.SystemRandom()
+        numbers = tb.Numbers()
         for batch in batches:
             offsets, data = tb.utf8(batch.column("text"))
             inner = np.zeros(len(data) + 1, dtype=np.int64)
@@ -54,7 +53,7 @@ def _tokenize(path: str, end_id: int):
                 blobs = [ids[a:b].tobytes() + end for a, b in zip(at[:-1], at[1:], strict=True)]
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([draw.getrandbits(62) for _ in blobs], pa.int64()), part.column("doc_id"), part.column("source"), pa.array(np.diff(at) + 1, pa.int32()), pa.array(blobs, pa.binary())],
+                    [pa.array(numbers.take(len(blobs)), pa.int64()), part.column("doc_id"), part.column("source"), pa.array(np.diff(at) + 1, pa.int32()), pa.array(blobs, pa.binary())],
                     ["uid", "doc_id", "source", "n", "ids"],
                 )
 

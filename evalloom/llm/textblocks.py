@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 
 SEP = np.zeros(256, dtype=bool)
 SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -153,3 +154,16 @@ def ids_of(column: pa.Array) -> np.ndarray:
     if column.null_count:
         column = pc.fill_null(column.cast(pa.int64()), NULL_ID)
     return column.cast(pa.int64()).to_numpy(zero_copy_only=False)
+
+
+class Numbers:
+    """Ids that are unique over the partitions of a stage and the same when a lost task runs again: the partition, then a count."""
+
+    def __init__(self):
+        context = TaskContext.get()
+        self.next = (context.partitionId() if context else 0) << 36
+
+    def take(self, n: int = 1) -> range:
+        out = range(self.next, self.next + n)
+        self.next += n
+        return out

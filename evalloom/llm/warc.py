@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.textblocks import NULL_ID
+from evalloom.llm.textblocks import NULL_ID, Numbers
 from evalloom.runtime import materialize, ship
 
 CHUNK = 64 << 10
@@ -62,6 +61,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
     rows: list[tuple] = []
     held = 0
+    numbers = Numbers()
 
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
@@ -72,7 +72,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             revisit = first is not None and first != page
             head, http = heads(page, url, digest, size, first if revisit else None)
             payload = memoryview(b"" if revisit else (html[i].as_buffer() or b""))
-            record, squeeze, sha = uuid.uuid4().int >> 66, zlib.compressobj(LEVEL, zlib.DEFLATED, 31), hashlib.sha256()
+            record, squeeze, sha = numbers.take()[0], zlib.compressobj(LEVEL, zlib.DEFLATED, 31), hashlib.sha256()
             buffer, number, total, crc = bytearray(squeeze.compress(head + http)), 0, 0, 0
             for at in range(0, len(payload), CHUNK):
                 piece = payload[at : at + CHUNK]
