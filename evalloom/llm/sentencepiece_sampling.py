@@ -47,19 +47,23 @@ def add_exp(a: float, b: float) -> float:
 
 
 class Chunk:
-    """The lattice of a run that no piece crosses: edges (end, id, log p) and the log mass of completions, by position."""
+    """The lattice of a run that no piece crosses: edges (end, id, log p), the log mass of completions and the shares of the edges in it, by position."""
 
-    __slots__ = ("text", "edges", "mass")
+    __slots__ = ("text", "edges", "mass", "shares", "others")
 
     def __init__(self, text: str, edges: list[list[tuple[int, int, float]]]):
         self.text, self.edges = text, edges
         self.mass = [-math.inf] * (len(text) + 1)
         self.mass[len(text)] = 0.0
+        self.shares: list[list[float]] = [[] for _ in text]
+        self.others: list[list[float]] = [[] for _ in text]
         for i in range(len(text) - 1, -1, -1):
             m = -math.inf
             for end, _, p in edges[i]:
                 m = add_exp(m, p + self.mass[end])
             self.mass[i] = m
+            self.shares[i] = own = [math.exp(p + self.mass[end] - m) for end, _, p in edges[i]]
+            self.others[i] = [sum(own[:j]) + sum(own[j + 1 :]) for j in range(len(own))] if len(own) > 1 else [0.0]
 
 
 class Vocabulary:
@@ -69,14 +73,17 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
-        self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if re.fullmatch(r"<0x[0-9A-F]{2}>", p)}
+        byte_pieces = {p for p in self.pieces if re.fullmatch(r"<0x[0-9A-F]{2}>", p)}
+        self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if p in byte_pieces}
         weights = {i: 1.0 / (i - FIRST_RANKED + 3.7) for i in range(FIRST_RANKED, n)}
         byte = min(weights.values()) / 10
         total = sum(weights.values()) + 256 * byte
+        self.raw = [bytes([int(p[3:5], 16)]) if p in byte_pieces else p.replace(BLANK, " ").encode() for p in self.pieces]
         self.log_p = {i: math.log(w / total) for i, w in weights.items()}
         self.byte_log_p = math.log(byte / total)
         self.ids = {self.pieces[i]: i for i in weights}
-        self.longest = max(map(len, self.ids))
+        self.scored = {p: (i, self.log_p[i]) for p, i in self.ids.items()}
+        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         # pieces may only hold blanks before other signs, so blanks split texts into chunks
         self.splits = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids)
         self.cache: dict[str, Chunk] = {}
@@ -84,9 +91,13 @@ class Vocabulary:
     def chunk(self, text: str) -> Chunk:
         got = self.cache.get(text)
         if got is None:
-            edges = []
+            edges, scored, prefixes, n = [], self.scored, self.prefixes, len(text)
             for i, sign in enumerate(text):
-                here = [(i + k, self.ids[s], self.log_p[self.ids[s]]) for k in range(1, min(self.longest, len(text) - i) + 1) if (s := text[i : i + k]) in self.ids]
+                here, end = [], i + 1
+                while end <= n and (s := text[i:end]) in prefixes:
+                    if (got := scored.get(s)) is not None:
+                        here.append((end, *got))
+                    end += 1
                 if not here or here[0][0] != i + 1:
                     raw = (BLANK if sign == LITERAL else sign).encode()
                     here.append((i + 1, -1 - ord(sign), self.byte_log_p * len(raw)))
@@ -114,11 +125,7 @@ class Vocabulary:
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation."""
-        out = bytearray()
-        for i in ids:
-            p = self.pieces[i]
-            out += bytes([int(p[3:5], 16)]) if i < FIRST_RANKED else p.replace(BLANK, " ").encode()
-        text = out.decode()
+        text = b"".join([self.raw[i] for i in ids]).decode()
         return text[1:] if text.startswith(" ") else text
 
 
@@ -128,58 +135,55 @@ def vocabulary(path: str) -> Vocabulary:
     return _STATE[path]
 
 
-def gumbels_under(top: float, masses: list[float], draw: random.Random) -> list[float]:
-    """Gumbel variables of the given log masses, conditioned on their maximum being `top`."""
-    free = [m - math.log(-math.log(draw.random() or 5e-324)) for m in masses]
-    most = max(free)
-    out = []
-    for g in free:
-        if g == most:
-            out.append(top)
-            continue
-        v = top - g + math.log1p(-math.exp(g - most)) if g < most else math.inf
-        out.append(top - max(0.0, v) - math.log1p(math.exp(-abs(v))))
-    return out
-
-
 def sample(chunks: list[Chunk], k: int, draw: random.Random) -> tuple[list[tuple[float, float, list[int]]], float]:
-    """((perturbed, log probability, edges) of up to k distinct segmentations, best first; the (k + 1)-th priority)."""
+    """((perturbed, log probability, edges) of up to k distinct segmentations, best first; the (k + 1)-th priority).
+
+    An item of the agenda stands for the completions of a partial segmentation by all edges but some. Expanding it picks the edge that has the item's
+    priority, in proportion to mass, and splits off the other edges as one item, whose priority is a Gumbel variable of their mass truncated at that of the whole.
+    """
     after = [0.0] * (len(chunks) + 1)
     for c in range(len(chunks) - 1, -1, -1):
         after[c] = after[c + 1] + chunks[c].mass[0]
-    total = after[0]
-    # (priority, log p so far, chunk, position, edges as a linked list), kept in falling order of priority
-    agenda: list[tuple] = [(-math.log(-math.log(draw.random() or 5e-324)), 0.0, 0, 0, None)]
+    total, uniform, log, exp = after[0], draw.random, math.log, math.exp
+    # (priority, log p so far, chunk, position, edges as a linked list, edges split off), in falling order of priority
+    agenda: list[tuple] = [(-log(-log(uniform() or 5e-324)), 0.0, 0, 0, None, ())]
     done: list[tuple[float, float, list[int]]] = []
     while agenda:
-        top, p, c, at, path = agenda.pop(0)
+        top, p, c, at, path, without = agenda.pop(0)
         if len(done) == k:
             return done, top
+        room = k - len(done)  # besides this one: those still wanted and the threshold
         while c < len(chunks):
             chunk = chunks[c]
-            edges, mass = chunk.edges[at], chunk.mass
-            if len(edges) == 1:
-                end, edge, q = edges[0]
-                p, path = p + q, (path, edge)
-                c, at = (c + 1, 0) if end == len(chunk.text) else (c, end)
-                continue
-            rest = after[c + 1] - total
-            values = gumbels_under(top, [p + q + mass[end] + rest for end, _, q in edges], draw)
-            best = None
-            for g, (end, edge, q) in zip(values, edges, strict=True):
-                nxt = (c + 1, 0) if end == len(chunk.text) else (c, end)
-                if best is None and g == top:
-                    best = (p + q, *nxt, (path, edge))
-                    continue
-                room = k - len(done)  # besides this one: those still wanted and the threshold
-                if len(agenda) >= room and g <= agenda[room - 1][0]:
-                    continue
-                i = len(agenda)
-                while i and agenda[i - 1][0] < g:
-                    i -= 1
-                agenda.insert(i, (g, p + q, *nxt, (path, edge)))
-                del agenda[room:]
-            p, c, at, path = best
+            edges = chunk.edges[at]
+            if len(edges) - len(without) > 1:
+                shares, r, pick = chunk.shares[at], uniform(), -1
+                if without:
+                    r *= sum(share for j, share in enumerate(shares) if j not in without)
+                for j, share in enumerate(shares):
+                    if j not in without:
+                        pick, r = j, r - share
+                        if r < 0:
+                            break
+                rest = sum(share for j, share in enumerate(shares) if j != pick and j not in without) if without else chunk.others[at][pick]
+                if rest > 0:
+                    m = p + chunk.mass[at] + after[c + 1] - total + log(rest)
+                    # exp(-priority) is exp(-top) and an exponential variable of rate exp(m)
+                    g = m - log(exp(min(700.0, m - top)) - log(uniform() or 5e-324))
+                    if len(agenda) < room or g > agenda[room - 1][0]:
+                        i = len(agenda)
+                        while i and agenda[i - 1][0] < g:
+                            i -= 1
+                        agenda.insert(i, (g, p, c, at, path, (*without, pick)))
+                        del agenda[room:]
+            else:
+                pick = next(j for j in range(len(edges)) if j not in without)
+            end, edge, q = edges[pick]
+            p, path, without = p + q, (path, edge), ()
+            if end == len(chunk.text):
+                c, at = c + 1, 0
+            else:
+                at = end
         edges = []
         while path:
             path, edge = path
