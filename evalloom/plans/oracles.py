@@ -240,3 +240,18 @@ SELECT action, CASE WHEN n = 0 THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE '
     "split_leakage": f"WITH {OUTCOMES} SELECT lineage_id, count(DISTINCT key % 5 = 0) AS splits FROM outcomes GROUP BY 1 HAVING count(DISTINCT key % 5 = 0) > 1",
     "telemetry_windows": "SELECT epoch(time_bucket(INTERVAL 5 minutes, ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2",
 }
+
+ORACLES |= {
+    "preflight_panel": """WITH t AS (SELECT (p_partkey % 6)::VARCHAR AS f, bool_and(p_size > 0 AND p_partkey % 35 <> 4) AS ok, count(*) AS n FROM part GROUP BY 1)
+SELECT w.f AS family, coalesce(n, 0) AS rows, CASE WHEN ok IS NULL THEN 'missing' WHEN ok THEN 'passed' ELSE 'failed' END AS status FROM (SELECT i::VARCHAR AS f FROM range(8) r(i)) w LEFT JOIN t ON t.f = w.f""",
+    "admission_blockers": """SELECT c_custkey, 'lock_missing' AS blocker FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT c_custkey, 'review_missing' FROM customer WHERE NOT c_acctbal > 5000""",
+    "launch_guard": """SELECT count(*) AS unplanned, 'budget,review' AS closed_gates, false AS allowed FROM (SELECT DISTINCT o_custkey AS k FROM orders) WHERE k NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)""",
+    "resume_actions": """WITH r AS (SELECT ['transient_provider', 'worker_crash', 'operator_stop', 'budget_exhausted', 'odd'][o_orderkey % 5 + 1] AS kind, CASE WHEN o_orderkey % 7 <> 0 THEN 'v' || o_custkey % 2 END AS version FROM orders)
+SELECT kind, CASE WHEN version IS DISTINCT FROM 'v1' THEN 'blocked_version_drift' ELSE CASE kind WHEN 'transient_provider' THEN 'retry_same_slot' WHEN 'worker_crash' THEN 'recover_uncertain' WHEN 'operator_stop' THEN 'resume' WHEN 'budget_exhausted' THEN 'stop' ELSE 'review' END END AS action, count(*) AS n FROM r GROUP BY 1, 2""",
+    "timing_summary": """WITH f AS (SELECT l_returnflag, 'wall' AS field, CASE WHEN l_discount > 0 THEN l_extendedprice END AS v FROM lineitem UNION ALL SELECT l_returnflag, 'solver', l_quantity - CASE WHEN l_returnflag = 'A' THEN 10 ELSE 0 END FROM lineitem UNION ALL SELECT l_returnflag, 'queue', l_tax FROM lineitem)
+SELECT l_returnflag, field, round(CASE WHEN count(*) FILTER (v >= 0) = count(*) THEN sum(v) END, 6) AS value, count(*) FILTER (v >= 0) AS known, count(*) AS total, count(*) - count(*) FILTER (v >= 0) AS missing FROM f GROUP BY 1, 2""",
+    "benchmark_rows": """SELECT substr(sha256(l || '|' || m || '|' || k), 1, 16) AS instance_id, l AS lineage_id, m AS mutation, k AS kind, substr(sha256(l || '|' || m || '|' || CASE k WHEN 'mutant' THEN 'control' ELSE 'mutant' END), 1, 16) AS paired_instance_id
+FROM (VALUES ('l1'), ('l2'), ('l3')) a(l), (SELECT 'm' || i AS m FROM range(10) r(i)) b, (VALUES ('mutant'), ('control')) c(k)""",
+    "power_table": """WITH g AS (SELECT n, rate, ceil(0.5 * n)::INT AS least FROM (VALUES (5), (10), (20), (40)) a(n), (VALUES (0.3::DOUBLE), (0.5), (0.7)) b(rate))
+SELECT n, rate, least, round(least(1.0, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(rate) + (n - k) * ln(1 - rate)))), 9) AS power FROM g, range(0, 41) r(k) WHERE k BETWEEN least AND n GROUP BY 1, 2, 3""",
+}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evalloom.functions import columns as C
 from evalloom.functions import predicate, uint256
-from evalloom.operators import bindings, campaigns, endpoints, events, inference, pairing, planning, quality, scheduler, search, selection
+from evalloom.operators import bindings, campaigns, endpoints, events, inference, pairing, planning, quality, readiness, scheduler, search, selection
 from evalloom.plans.views import Views
 
 CONTRASTS = [("X", "P"), ("X", "T0")]
@@ -503,3 +503,45 @@ def telemetry_windows(v: Views) -> DataFrame:
     """The batch form of the streaming windows: five-minute sums by event type."""
     e = v.table("events").groupBy(F.window("ts", "5 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("value"))
     return e.select(F.unix_seconds(F.col("w.start").cast("timestamp")).alias("start"), "event_type", "n", "value")
+
+
+@query
+def preflight_panel(v: Views) -> DataFrame:
+    rows = v.table("part").select((F.col("p_partkey") % 6).cast("string").alias("family"), (F.col("p_size") > 0).alias("a"), (F.col("p_partkey") % 35 != 4).alias("b"))
+    return readiness.preflight(rows, [str(i) for i in range(8)], "family", ["a", "b"])
+
+
+@query
+def admission_blockers(v: Views) -> DataFrame:
+    rich = v.table("customer").where("c_acctbal > 5000")
+    evidence = {"lock": (v.table("orders"), "o_custkey"), "review": (rich, "c_custkey")}
+    return readiness.blockers(v.table("customer").select("c_custkey"), "c_custkey", evidence)
+
+
+@query
+def launch_guard(v: Views) -> DataFrame:
+    asked = v.table("orders").select(F.col("o_custkey").alias("k")).distinct()
+    return readiness.launch_guard(asked, v.table("customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("k")), "k", {"protocol": True, "review": None, "budget": False})
+
+
+@query
+def resume_actions(v: Views) -> DataFrame:
+    kinds = F.element_at(F.array(*map(F.lit, ["transient_provider", "worker_crash", "operator_stop", "budget_exhausted", "odd"])), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    rows = v.table("orders").select("o_orderkey", kinds.alias("kind"), F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("v"), F.col("o_custkey") % 2)).alias("version"))
+    return readiness.resume_policy(rows, F.col("kind"), F.col("version"), "v1").groupBy("kind", "action").agg(F.count("*").alias("n"))
+
+
+@query
+def timing_summary(v: Views) -> DataFrame:
+    rows = v.table("lineitem").select("l_returnflag", F.when(F.col("l_discount") > 0, F.col("l_extendedprice")).alias("wall"), (F.col("l_quantity") - F.when(F.col("l_returnflag") == "A", 10).otherwise(0)).alias("solver"), F.col("l_tax").alias("queue"))
+    return readiness.timing_summary(rows, ["l_returnflag"], ["wall", "solver", "queue"])
+
+
+@query
+def benchmark_rows(v: Views) -> DataFrame:
+    return readiness.benchmark_rows(v.spark, ["l1", "l2", "l3"], [f"m{i}" for i in range(10)])
+
+
+@query
+def power_table(v: Views) -> DataFrame:
+    return readiness.power_table(v.spark, [5, 10, 20, 40], [0.3, 0.5, 0.7], 0.5)
