@@ -17,9 +17,17 @@ _LOCAL_SHARED: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+_BATCH, _BATCH_DEFAULT, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 16 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application."""
+    """Send this package to the executors' Python workers, once per application.
+
+    Arrow batches of texts get a smaller default: both sides of the worker's socket hold a batch.
+    """
     sc = spark.sparkContext
+    if str(spark.conf.get(_BATCH)).rstrip("b") in (str(_BATCH_DEFAULT), "64m"):
+        spark.conf.set(_BATCH, str(_BATCH_BYTES))
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
