@@ -304,7 +304,7 @@ def _sum(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 def _round(coded: DataFrame, model: Model, vocabulary: Vocabulary) -> Model:
     k = len(model.start)
-    rows = sorted(coded.mapInArrow(_expect(model), "part int, body binary").groupBy("part").applyInArrow(_sum, "part int, body binary").collect())
+    rows = sorted(coded.mapInArrow(tb.tidy(_expect(model)), "part int, body binary").groupBy("part").applyInArrow(_sum, "part int, body binary").collect())
     if not rows:
         return model
     tail = np.frombuffer(rows[-1]["body"])
@@ -384,7 +384,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """The columns of SCORES for every row; learns from the rows that aren't held out."""
     ship(docs.sparkSession)
     bits = slices(docs, 2 << 20).bit_length() - 1
-    blocks = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_blocks, BLOCKS), "lm_blocks")
+    blocks = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tb.tidy(_blocks), BLOCKS), "lm_blocks")
     train_docs = blocks.select("docs").mapInArrow(_train_docs, "n long").agg(F.sum("n")).first()[0] or 0
     answers = materialize(blocks.select("block", "words").mapInArrow(_ask(bits), "slice int, block long, body binary").groupBy("slice").applyInArrow(_answer(bits), "block long, slice int, body binary"), "lm_counts")
     stats = answers.where("block IS NULL").groupBy((F.col("slice") % MERGE).alias("part")).applyInArrow(_merge_stats, "body binary").collect()
@@ -393,4 +393,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     model = _first_model(coded, vocabulary)
     for _ in range(ROUNDS):
         model = _round(coded, model, vocabulary)
-    return coded.mapInArrow(_score(model, vocabulary), SCORES)
+    return coded.mapInArrow(tb.tidy(_score(model, vocabulary)), SCORES)

@@ -25,7 +25,7 @@ from evalloom.llm import textblocks as tb
 from evalloom.llm.components import connected_components
 from evalloom.runtime import materialize, ship, slices
 
-BLOCK_SHINGLES = 1 << 21
+BLOCK_SHINGLES = 1 << 20
 CHUNKS, LEAST_CHUNK, MOST_CHUNK = 32, 64, 1024
 SALT = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
@@ -322,7 +322,7 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: s
     ship(docs.sparkSession)
     k = slices(docs, 1 << 20)
     bits, buckets = k.bit_length() - 1, max(64, k // 4)
-    sent = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_sets(size, bits, buckets), "slice int, kind int, body binary")
+    sent = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tb.tidy(_sets(size, bits, buckets)), "slice int, kind int, body binary")
     counted = sent.groupBy("slice").applyInArrow(_count(bits, buckets), "bucket int, kind int, body binary")
     found = materialize(counted.groupBy("bucket").applyInArrow(_assemble(percent), CANDIDATE), "shingle_sets")
 

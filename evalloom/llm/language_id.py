@@ -156,7 +156,7 @@ def predict(docs: DataFrame, model: Classifier | None, text_col: str = "text", k
     ship(docs.sparkSession)
     source = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c != "__text")
-    return source.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double")
+    return source.mapInArrow(tb.tidy(_predict(model)), f"{schema}, lang_pred string, score double")
 
 
 def remainder(column: str = "doc_id"):

@@ -238,12 +238,12 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """Write the chunk store of all payloads: columns of STORE, as a table in the shared folder."""
     ship(docs.sparkSession)
     n = slices(docs, 8 << 20, least=64)
-    sent = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_chunk(n), SENT)
+    sent = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tb.tidy(_chunk(n)), SENT)
     return materialize(sent.groupBy("slice").applyInArrow(_store, STORE), "chunk_store")
 
 
 def read_back(stored: DataFrame) -> DataFrame:
     """The columns of RESULT for every document, from the store alone."""
-    served = stored.where("kind = 0").select("digests", "owners", "data").mapInArrow(_serve, "block long, body binary")
+    served = stored.where("kind = 0").select("digests", "owners", "data").mapInArrow(tb.tidy(_serve), "block long, body binary")
     manifests = stored.where("kind = 1").select("block", "data")
     return manifests.groupBy("block").cogroup(served.groupBy("block")).applyInArrow(_rebuild, RESULT)

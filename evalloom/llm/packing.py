@@ -163,7 +163,7 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer: st
     ship(spark)
     path = tokenizer or default_tokenizer()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    coded = materialize(source.mapInArrow(_tokenize(path, end_id), TOKENS), "token_ids")
+    coded = materialize(source.mapInArrow(tb.tidy(_tokenize(path, end_id)), TOKENS), "token_ids")
     light = coded.select("uid", "doc_id", "source", "n")
     total = light.agg(F.sum("n")).first()[0] or 0
     shards = max(1, round(total / SHARD_TOKENS))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from evalloom.llm import textblocks as tb
 from evalloom.runtime import materialize, ship, slices
 
-BLOCK_WINDOWS = 1 << 21
+BLOCK_WINDOWS = 1 << 20
 
 
 def _send(key: np.ndarray, blobs: list[bytes], kind: int) -> pa.RecordBatch:
@@ -158,7 +158,7 @@ def removal_intervals(docs: DataFrame, size: int = 20, id_col: str = "doc_id", t
     ship(docs.sparkSession)
     n = slices(docs, 1 << 20)
     bits, buckets = n.bit_length() - 1, max(64, n // 4)
-    sent = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_hash_windows(size, bits, buckets), SENT)
+    sent = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tb.tidy(_hash_windows(size, bits, buckets)), SENT)
     met = sent.groupBy("slice").applyInArrow(_meet(buckets), "bucket int, body binary")
     found = met.groupBy("bucket").applyInArrow(_intervals(size), "__id long, starts array<int>, ends array<int>")
     return materialize(found, "removal_intervals")
@@ -196,7 +196,7 @@ def _with_intervals(docs: DataFrame, size: int) -> DataFrame:
 def removal_report(docs: DataFrame, size: int = 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
     both = _with_intervals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), size)
-    return both.select("doc_id", "text", "starts", "ends").mapInArrow(_apply, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return both.select("doc_id", "text", "starts", "ends").mapInArrow(tb.tidy(_apply), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,4 +224,4 @@ def drop_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
     """docs with repeated passages removed from the texts; the other columns are as they were."""
     both = _with_intervals(docs, size).withColumn("text", F.col("text").cast("string")).withColumn("__null", F.col("text").isNull())
     plain = docs.withColumn("text", F.col("text").cast("string"))
-    return both.select(*plain.columns, "starts", "ends", "__null").mapInArrow(_rewrite, plain.schema)
+    return both.select(*plain.columns, "starts", "ends", "__null").mapInArrow(tb.tidy(_rewrite), plain.schema)

@@ -6,7 +6,9 @@ another character, so everything here works on raw bytes and whole texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD1342543DE82EF95)
-SUB_BYTES = 2 << 20
+SUB_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -167,3 +169,23 @@ class Numbers:
         out = range(self.next, self.next + n)
         self.next += n
         return out
+
+
+def trim() -> None:
+    """Give memory that isn't in use back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def tidy(run: Callable) -> Callable:
+    """A partition function that trims its worker's memory when it ends."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return tidied
