@@ -129,7 +129,7 @@ SELECT budget_n, round(coalesce(hits, 0) / nullif(coalesce(known, 0), 0), 9) AS
 SELECT arm, field, round(CASE WHEN count(v) = count(*) THEN sum(v) END, 6) AS value, count(v) AS known, count(*) AS total, count(*) - count(v) AS missing, CASE WHEN count(v) < count(*) THEN 'missing_observation' END AS note FROM f GROUP BY 1, 2""",
     "paired_resource": f"""WITH {OUTCOMES}, {SLOTS}, s AS (SELECT l_orderkey, CASE WHEN count(elapsed) = count(*) THEN sum(elapsed) END AS v FROM slots GROUP BY 1), x AS (SELECT o.*, v FROM outcomes o JOIN s ON key = l_orderkey WHERE v IS NOT NULL),
 i AS (SELECT a.lineage_id, a.instance_id, avg(a.v - b.v) AS v FROM x a JOIN x b ON a.method = 'X' AND b.method = 'P' AND a.lineage_id = b.lineage_id AND a.instance_id = b.instance_id AND a.replicate = b.replicate GROUP BY 1, 2)
-SELECT 'X-P' AS contrast, lineage_id, round(avg(v), 6) AS effect, count(*) AS n FROM i GROUP BY 2""",
+SELECT 'X-P' AS contrast, lineage_id, round(avg(v), 4) AS effect, count(*) AS n FROM i GROUP BY 2""",
     "telemetry_by_phase": """SELECT event_type AS phase, count(*) AS n, round(sum(value), 6) AS cpu, round(max(value), 9) AS memory_peak, CASE WHEN count(tokens) = count(*) THEN sum(tokens) END AS tokens
 FROM (SELECT *, CASE WHEN event_type <> 'error' OR event_id % 2 = 0 THEN (event_id % 97)::DOUBLE END AS tokens FROM events) GROUP BY 1""",
     "agreement_kappa": """WITH m AS (SELECT quality AS l, toxic AS r FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), t AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (l = r) AS same FROM m),
@@ -143,7 +143,7 @@ SELECT a.v AS "left", b.v AS "right", count(m.l) AS n FROM k a CROSS JOIN k b LE
 SELECT q.contrast, q.p, round(a.adjusted, 9) AS adjusted FROM q LEFT JOIN (SELECT contrast, max(least(1.0, (m - rn + 1) * p)) OVER (ORDER BY p, contrast ROWS UNBOUNDED PRECEDING) AS adjusted FROM s) a USING (contrast)""",
     "bootstrap_ci": f"""WITH {EFFECTS}, x AS (SELECT contrast, effect, row_number() OVER (PARTITION BY contrast ORDER BY lineage_id) - 1 AS i, count(*) OVER (PARTITION BY contrast) AS c FROM e),
 d AS (SELECT s.contrast, d, avg(x.effect) AS m FROM (SELECT contrast, d, {DRAW.format(seed=11, draw='d', i='k', n='c')} AS i FROM (SELECT DISTINCT contrast, c FROM x), range(200) q(d), range(c) w(k)) s JOIN x ON x.contrast = s.contrast AND x.i = s.i GROUP BY 1, 2)
-SELECT d.contrast, round(max(p.point), 9) AS point, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM d JOIN (SELECT contrast, avg(effect) AS point FROM e GROUP BY 1) p USING (contrast) GROUP BY 1""",
+SELECT d.contrast, round(max(p.point), 6) AS point, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM d JOIN (SELECT contrast, avg(effect) AS point FROM e GROUP BY 1) p USING (contrast) GROUP BY 1""",
     "cluster_bootstrap": f"""WITH s AS (SELECT source, sum((quality = toxic)::INT)::DOUBLE AS s, count(*) AS c FROM labels JOIN documents USING (doc_id) GROUP BY 1), x AS (SELECT *, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS n FROM s),
 d AS (SELECT d, sum(x.s) / sum(x.c) AS m FROM (SELECT d, {DRAW.format(seed=5, draw='d', i='k', n='n')} AS i FROM (SELECT max(n) AS n FROM x), range(200) q(d), range(n) w(k)) z JOIN x ON x.i = z.i GROUP BY 1)
 SELECT count(*) AS draws, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM d""",

@@ -142,7 +142,7 @@ def paired_resource(v: Views) -> DataFrame:
     sums = v.slots().groupBy("l_orderkey").agg(C.poisoned_sum(F.col("elapsed")).alias("v"))
     rows = v.facts().join(sums, F.col("key") == F.col("l_orderkey"))
     out = pairing.paired_effects(rows, CONTRASTS[:1], ["lineage_id", "instance_id", "replicate"], "v", "arm", [["lineage_id", "instance_id"], ["lineage_id"]])
-    return out.withColumn("effect", F.round("effect", 6))
+    return out.withColumn("effect", F.round("effect", 4))
 
 
 @query
@@ -179,7 +179,8 @@ def holm(v: Views) -> DataFrame:
 
 @query
 def bootstrap_ci(v: Views) -> DataFrame:
-    return inference.bootstrap(_effects(v), ["contrast"], seed=11, draws=200, confidence=0.95)
+    out = inference.bootstrap(_effects(v), ["contrast"], seed=11, draws=200, confidence=0.95)
+    return out.select("contrast", *(F.round(c, 6).alias(c) for c in ("point", "low", "high")))
 
 
 @query
