@@ -233,6 +233,16 @@ def test_sentencepiece_round_trip(spark):
     assert sentencepiece_sampling.sampled(df.limit(0), ["id"]).count() == 0
 
 
+def test_sentencepiece_query_takes_all_documents(spark, sf):
+    from evalloom.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = queries.op2_sentencepiece_sampling(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("decoded").alias("decoded"))
+    rows = docs.select("doc_id", "text").join(got, "doc_id", "left").collect()
+    assert len(rows) == docs.count() and all(r["decoded"] for r in rows)
+    assert all(r["n"] == 3 for r in rows if len(r["text"] or "") > 20)
+
+
 # --- 3 media
 
 
