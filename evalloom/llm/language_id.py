@@ -4,6 +4,10 @@ The kernel of two texts blends, over n = 1..3, the shared distinct byte n-grams
 Landmarks give the Nystrom features, one-versus-rest kernel ridge regression the weights; texts are scored in batches, as products of presence
 matrices over the landmarks' n-grams with the landmarks and then with the weights. Whole texts count; n-grams that no landmark has still count in a text's norm.
 
+A winning score says only which language is nearest, so unfamiliar text is rejected by its known letters: the share of a text's distinct trigrams of letters,
+blanks and non-ASCII bytes that a landmark has. It must reach REJECT times the share that all but UNSURE of the fit's rows of that language have (a
+landmark's own trigrams count if another landmark has them). PRIOR trigrams count as known, so that a text of a few letters isn't judged by them.
+
 The fit uses a bounded sample: at most PER_LANG labelled rows for each of at most MAX_LANGS languages, drawn by hash of the id.
 Defined results: null text or text without a letter is `und` with score 0, and so is everything if there is nothing to learn from; ties go to the first language in order.
 """
@@ -25,7 +29,9 @@ MAX_LANGS = 200
 LANDMARKS = 128
 RIDGE = 1e-3
 BATCH = 128
+REJECT, UNSURE, PRIOR = 0.7, 0.01, 4
 ASCII_LETTER = np.array([chr(i).isascii() and chr(i).isalpha() for i in range(256)])
+WORDLIKE = ASCII_LETTER | (np.arange(256) == 0x20) | (np.arange(256) >= 0x80)
 
 
 class Grams:
@@ -70,6 +76,10 @@ class Classifier:
         w = 1.0 / np.array([len(by[a]) for a in langs])
         left = (k * w[:, None]).T @ k + RIDGE * (inner + 1e-6 * np.eye(len(inner)))
         self.weights = np.linalg.lstsq(left, (k * w[:, None]).T @ y, rcond=None)[0]
+        holders = np.count_nonzero(self.landmarks[self.starts[2] :], axis=1)
+        own = set(chosen)
+        shares = np.array([self.familiarity([x], holders > (i in own))[0] for i, x in enumerate(sets)])
+        self.floors = REJECT * np.array([np.quantile(shares[by[x]], UNSURE) for x in self.langs])
 
     def tables(self) -> list[np.ndarray]:
         """The row of each n-gram among the landmarks' n-grams, -1 for others."""
@@ -90,6 +100,17 @@ class Classifier:
                     out[i, at[at >= 0]] = 1.0 / np.sqrt(3 * len(g)) if len(g) else 0.0
         return out
 
+    def familiarity(self, sets: list[list[np.ndarray]], among: np.ndarray | None = None) -> np.ndarray:
+        """The share of each text's word-like trigrams that landmarks have; among: which of the landmarks' trigrams count as known."""
+        out = np.ones(len(sets))
+        for i, (_, _, g) in enumerate(sets):
+            g = g[WORDLIKE[g >> 16] & WORDLIKE[g >> 8 & 255] & WORDLIKE[g & 255]]
+            at = self.tables()[2][g]
+            at = at[at >= 0]
+            known = len(at) if among is None else np.count_nonzero(among[at - self.starts[2]])
+            out[i] = (known + PRIOR) / (len(g) + PRIOR)
+        return out
+
     def __getstate__(self):
         return self.__dict__ | {"_tables": None}
 
@@ -106,7 +127,7 @@ def _letters(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _predict(model: Classifier | None):
+def _predict(model: Classifier | None, reject: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams() if model else None
         for batch in batches:
@@ -120,7 +141,11 @@ def _predict(model: Classifier | None):
                 codes = grams.codes(part)
                 for a in range(0, len(rows), BATCH):
                     some = rows[a : a + BATCH]
-                    best, value = model.decide([grams.distinct(codes, off[i], off[i + 1]) for i in some])
+                    sets = [grams.distinct(codes, off[i], off[i + 1]) for i in some]
+                    best, value = model.decide(sets)
+                    if reject:
+                        sure = model.familiarity(sets) >= model.floors[best]
+                        some, best, value = some[sure], best[sure], value[sure]
                     pred[lo + some] = [model.langs[b] for b in best]
                     score[lo + some] = value
             names = [n for n in batch.schema.names if n != "__text"]
@@ -151,12 +176,12 @@ def fit(labelled: DataFrame) -> Classifier | None:
     return Classifier(texts, langs) if texts else None
 
 
-def predict(docs: DataFrame, model: Classifier | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with lang_pred and score (0 to 1: the winning regression value, from -1..1)."""
+def predict(docs: DataFrame, model: Classifier | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), reject: bool = False) -> DataFrame:
+    """The kept columns with lang_pred and score (0 to 1: the winning regression value, from -1..1); reject: unfamiliar text is `und` with score 0."""
     ship(docs.sparkSession)
     source = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c != "__text")
-    return source.mapInArrow(tb.tidy(_predict(model)), f"{schema}, lang_pred string, score double")
+    return source.mapInArrow(tb.tidy(_predict(model, reject)), f"{schema}, lang_pred string, score double")
 
 
 def remainder(column: str = "doc_id"):
@@ -172,10 +197,10 @@ def held_out_predictions(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.2) -> DataFrame:
-    """docs without those that have no language: `und`, or none that reaches the least score."""
+    """docs without those that have no language: `und`, text unfamiliar to the classifier, or none that reaches the least score."""
     model = fit(docs.select("doc_id", "text", "lang"))
     wide = docs.withColumn("text", F.col("text").cast("string")).withColumn("__copy", F.col("text"))
-    out = predict(wide, model, text_col="__copy", keep=tuple(docs.columns))
+    out = predict(wide, model, text_col="__copy", keep=tuple(docs.columns), reject=True)
     if model is None:
         return docs.limit(0)
     return out.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)

@@ -528,6 +528,21 @@ def test_language_id_edges(spark, docs, data):
     assert language_id.keep_known(docs).columns == docs.columns
 
 
+def test_keep_known_rejects_unfamiliar_text(spark, sf):
+    """Unseen scripts, unseen languages of a known script and letters at random go; texts of the four languages and too short ones stay."""
+    rng = random.Random(8)
+    foreign = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах", "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心", "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である",
+        "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)),
+    ]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(foreign)] + [(-100, "ok", None)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in language_id.keep_known(docs.unionByName(more)).select("doc_id").collect()}
+    assert {i for i in kept if i < 0} == {-100}
+    assert kept - {-100} == {r["doc_id"] for r in docs.collect() if any(map(str.isalpha, r["text"] or ""))}
+
+
 def test_kernel_equals_definition():
     texts = [b"abcab", b"xyz abc", "éé a".encode(), b"b"]
     model = language_id.Classifier(texts, ["a", "b", "a", "b"])
