@@ -9,7 +9,8 @@ when the remaining lengths can't reach the threshold, or when all its sets are a
 is cut into chunks and joined chunk by chunk. Each task returns a spanning forest of its links, never all pairs.
 
 Defined results: without words a document is linked with nothing; with fewer words than a shingle has, the whole sequence is its only shingle;
-rows of one doc_id with equal texts are one document; null ids count as the smallest id and return as null.
+rows of one doc_id with equal texts are one document; null ids count as the smallest id and return as null. Where ids repeat, null or not, rows go by a
+64-bit hash of id and text instead, so that different texts of one id stay different documents; a component is still named by its smallest doc_id.
 """
 
 from __future__ import annotations
@@ -317,12 +318,32 @@ def _trie_join(percent: int):
     return run
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(number, doc_id, text) of the rows, null ids as NULL_ID; whether the number is the id, as no id repeats."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(tb.NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    alone = rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return rows.select((F.col("doc_id") if alone else F.xxhash64("doc_id", "text")).alias("number"), "doc_id", "text"), alone
+
+
 def link_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; documents link when 100 * intersection >= percent * union."""
+    rows, alone = _numbered(docs, id_col, text_col)
+    out = _link(rows, size, percent)
+    if not alone:
+        out = materialize(out.join(rows.select("number", F.col("doc_id").alias("id")).distinct(), F.col("doc_id") == F.col("number")), "link_ids")
+        least = out.groupBy("component_id").agg(F.min("id").alias("least"))
+        out = out.join(least, "component_id").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+    none = F.lit(tb.NULL_ID)
+    return out.select(F.nullif("doc_id", none).alias("doc_id"), "n_shingles", F.nullif("component_id", none).alias("component_id"))
+
+
+def _link(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) by the numbers of the rows; rows of one number have one text."""
+    docs = rows.select(F.col("number").alias("doc_id"), "text")
     ship(docs.sparkSession)
     k = slices(docs, 1 << 20)
     bits, buckets = k.bit_length() - 1, max(64, k // 4)
-    sent = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tb.tidy(_sets(size, bits, buckets)), "slice int, kind int, body binary")
+    sent = docs.mapInArrow(tb.tidy(_sets(size, bits, buckets)), "slice int, kind int, body binary")
     counted = sent.groupBy("slice").applyInArrow(_count(bits, buckets), "bucket int, kind int, body binary")
     found = materialize(counted.groupBy("bucket").applyInArrow(_assemble(percent), CANDIDATE), "shingle_sets")
 
@@ -342,13 +363,19 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: s
     linked = connected_components(links)
 
     whole = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
-    out = info.join(whole, ["n", "f1", "f2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    none = F.lit(tb.NULL_ID)
-    return out.select(F.nullif("doc_id", none).alias("doc_id"), "n_shingles", F.nullif("component_id", none).alias("component_id"))
+    return info.join(whole, ["n", "f1", "f2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document, that of the smallest id, for each component of links; rows of one doc_id count once."""
-    keep = link_components(docs, size, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(tb.NULL_ID)).alias("__id"))
-    marked = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(tb.NULL_ID)))
-    return marked.join(keep, "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
+    """docs with one document, that of the smallest id, for each component of links; rows of one doc_id and equal texts count once."""
+    rows, alone = _numbered(docs, "doc_id", "text")
+    linked = _link(rows, size, percent)
+    if alone:
+        keep = linked.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id"))
+        number = F.coalesce(F.col("doc_id").cast("long"), F.lit(tb.NULL_ID))
+    else:
+        ids = rows.select("number", F.col("doc_id").alias("id")).distinct()
+        first = linked.join(ids, F.col("doc_id") == F.col("number")).groupBy("component_id").agg(F.min(F.struct("id", "number")).alias("first"))
+        keep = first.select(F.col("first.number").alias("__id"))
+        number = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(tb.NULL_ID)), F.col("text").cast("string"))
+    return docs.withColumn("__id", number).join(keep, "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)

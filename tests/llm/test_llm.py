@@ -438,6 +438,18 @@ def test_jaccard_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 7, 8]
 
 
+def test_keep_one_with_repeated_and_null_ids(spark):
+    """Different texts of one id, null or not, are different documents; only linked or equal texts go."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(12))
+    rows = [(None, text(i)) for i in range(20)] + [(4, text(i)) for i in range(30, 36)] + [(None, text(0)), (4, text(30)), (9, text(31)), (None, text(32)), (2, text(40)), (1, text(40) + " more"), (5, None), (5, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("*", "1 AS number", "2 AS id")
+    kept = jaccard_join.keep_one(df, 3, 80)
+    want = [(None, text(i)) for i in range(20)] + [(4, text(i)) for i in (30, 31, 33, 34, 35)] + [(None, text(32)), (1, text(40) + " more"), (5, None), (5, ""), (None, None)]
+    assert kept.columns == df.columns and sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    linked = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.link_components(df, 3, 80).collect()]
+    assert len(linked) == len(rows) and {x[1] for x in linked} == {0, 10, 11} and (9, 10, 4) in linked and (4, 10, None) in linked and (2, 10, 1) in linked and linked.count((4, 10, 4)) == 6
+
+
 def test_trie_finds_all_classes():
     rng = random.Random(8)
     for _ in range(60):
