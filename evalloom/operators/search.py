@@ -103,15 +103,22 @@ def replay(witness: list[str], messages: list[int], bounds: Bounds, profile: Pro
     return state.count() == 1
 
 
-def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(src, dst, hops) for all reachable pairs, with the least hops; each round joins only the new pairs."""
+def closure(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(src, dst, hops) for all reachable pairs, with the least hops; each round joins only the new pairs, until there are none.
+
+    Raises if pairs of more than max_rounds hops exist.
+    """
     step = materialize(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct(), "closure_edges")
     new = step.withColumn("hops", F.lit(1))
-    seen = new
-    for n in range(2, max_rounds + 1):
+    seen, n = new, 2
+    while True:
         more = new.select("src", F.col("dst").alias("mid")).join(step.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
         new = materialize(more.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(n)), "closure_new")
         if new.isEmpty():
-            break
+            return seen
+        if max_rounds is not None and n > max_rounds:
+            raise ValueError(f"pairs are more than {max_rounds} hops apart")
         seen = seen.unionByName(new)
-    return seen
+        if n % 16 == 0:  # else plans grow with the rounds
+            seen = materialize(seen, "closure_seen")
+        n += 1

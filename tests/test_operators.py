@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evalloom.functions import canonical, predicate, uint256
 from evalloom.functions import columns as C
 from evalloom.operators import endpoints, events, inference, pairing, planning, quality, search, selection
+from evalloom.plans.queries import QUERIES
 
 OUT = "campaign_id string, instance_id string, lineage_id string, method string, replicate int, ground_truth string, detected boolean, claim_emitted boolean, correct_claim boolean, claim_time_seconds double, horizon_seconds double, availability string"
 
@@ -243,6 +244,22 @@ def test_closure_with_cycle(spark):
     assert {(r["src"], r["dst"]): r["hops"] for r in search.closure(e).collect()} == {("a", "b"): 1, ("b", "c"): 1, ("c", "a"): 1, ("a", "c"): 2, ("b", "a"): 2, ("c", "b"): 2, ("a", "a"): 3, ("b", "b"): 3, ("c", "c"): 3}
 
 
+def test_closure_has_no_bound_of_hops(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(67)], "src long, dst long")
+    assert {(r["src"], r["dst"], r["hops"]) for r in search.closure(e).collect()} == {(i, j, j - i) for i in range(68) for j in range(i + 1, 68)}
+    with pytest.raises(ValueError, match="3 hops"):
+        search.closure(e.where("src < 4"), max_rounds=3)
+    assert search.closure(e.where("src < 3"), max_rounds=3).count() == 6
+
+
+def test_import_closure_takes_the_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    keys = [r[0] for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()]
+    got = {(r["src"], r["dst"], r["hops"]) for r in QUERIES["import_closure"](spark, sf).collect()}
+    assert len(keys) > 400 and got == {(k, k >> n, n) for k in keys for n in range(1, k.bit_length())}
+
+
+
 def test_quality(spark):
     r = spark.createDataFrame([("a", "l", "b"), ("b", "l", "a"), ("c", "l", "a"), ("d", "m", "zz"), ("e", "m", None)], "k string, l string, o string")
     assert {x["k"]: x["error"] for x in quality.reciprocal_pairs(r, "k", "o", "l").collect()} == {"c": "pair_not_reciprocal", "d": "pair_absent"}
