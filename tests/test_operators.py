@@ -252,6 +252,14 @@ def test_closure_has_no_bound_of_hops(spark):
     assert search.closure(e.where("src < 3"), max_rounds=3).count() == 6
 
 
+def test_registry_differences_takes_all_keys(spark):
+    sf = "/root/testdata/sf0.01"
+    left = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", "s_nationkey").collect()}
+    right = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_nationkey").collect() if r[0] % 3}
+    want = {(k, "only_in_left" if k not in right else "only_in_right" if k not in left else "differs:nation") for k in left.keys() | right.keys() if left.get(k) != right.get(k)}
+    assert max(right) > 150 and {(r["k"], r["problem"]) for r in QUERIES["registry_differences"](spark, sf).collect()} == want
+
+
 def test_import_closure_takes_the_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     keys = [r[0] for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()]
