@@ -521,6 +521,23 @@ def test_vectors(spark, block, monkeypatch):
     assert vector_dedup.near_duplicates(df.where("vec_id = 202")).first()["kept"]
 
 
+def test_wide_vectors_have_principal_axes(spark):
+    """Above MOMENTS components the leading axes come from subspace iteration; links are exact."""
+    rng = np.random.default_rng(6)
+    width = vector_dedup.MOMENTS + 88
+    spread = np.r_[np.full(5, 20.0), np.ones(width - 5)]
+    rows = [(i, (rng.normal(size=width) * spread).tolist()) for i in range(60)]
+    rows += [(100 + i, (np.array(rows[i][1]) + rng.normal(size=width) * c).tolist()) for i, c in enumerate([0.01, 0.5, 1.0, 1.5, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in vector_dedup.near_duplicates(df).collect()) == brute_vectors(rows)
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = vector_dedup.axes(df.select(F.col("embedding").alias("x")), width)
+    best = np.sort(np.linalg.eigvalsh(x.T @ x))[::-1]
+    held = np.linalg.norm(x @ found, axis=0) ** 2
+    assert np.allclose(found.T @ found, np.eye(32)) and held[:5].sum() > 0.99 * best[:5].sum() and (held[:4] >= held[1:5] - 1e-9).all()
+
+
 # --- 8 language ID
 
 
