@@ -1,8 +1,8 @@
 """WARC: archives as a table of chunks.
 
 A record is one gzip member. Its stored bytes lie in rows (record, chunk, data) of at most about CHUNK bytes, each with the running CRC-32 and length of the record's stored
-bytes so far; the last row also has the payload's SHA-256. Writer and reader stream: payloads go through the compressor and the digest a slice at a time, and
-a reader holds one chunk. Concatenated in order of record and chunk, the data are a .warc.gz file.
+bytes so far; the last row also has the payload's SHA-256. Writer and reader stream: payloads go through the compressor and the digest a slice at a time, chunks leave the
+writer BATCH bytes at a time, inside a record too, and a reader holds one chunk. Concatenated in order of record and chunk, the data are a .warc.gz file.
 
 Payloads of REVISIT bytes or more that are equal share one response, that of the smallest id; the others are revisit records. Records of one chunk are read where they lie;
 only those of several chunks are brought together and sorted.
@@ -26,6 +26,7 @@ from evalloom.llm.textblocks import NULL_ID, Numbers
 from evalloom.runtime import materialize, ship
 
 CHUNK = 64 << 10
+BATCH = 4 << 20
 REVISIT = 100
 LEVEL = 4
 DATE = "2020-01-01T00:00:00Z"
@@ -83,13 +84,16 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     total, crc = total + len(data), zlib.crc32(data, crc)
                     rows.append((record, number, False, data, total, crc, None))
                     number, held = number + 1, held + len(data)
+                    if held >= BATCH - CHUNK:
+                        yield out()
+                        rows, held = [], 0
             buffer += squeeze.compress(b"\r\n\r\n") + squeeze.flush()
             if not revisit and sha.hexdigest() != digest:
                 raise ValueError("a payload changed while it was written")
             data = bytes(buffer)
             rows.append((record, number, True, data, total + len(data), zlib.crc32(data, crc), digest))
             held += len(data)
-            if held >= 4 << 20:
+            if held >= BATCH - CHUNK:
                 yield out()
                 rows, held = [], 0
     if rows:
@@ -106,10 +110,11 @@ class _Reader:
         self.crc = zlib.crc32(data, self.crc)
         if self.crc != crc:
             raise ValueError("a stored chunk doesn't match its running CRC-32")
-        while data:
-            self.take(self.squeeze.decompress(data, CHUNK))
-            data = self.squeeze.unconsumed_tail
-        self.take(self.squeeze.flush())
+        full = True
+        while data or full:  # a full piece may leave output behind in the decompressor
+            raw = self.squeeze.decompress(data, CHUNK)
+            self.take(raw)
+            data, full = self.squeeze.unconsumed_tail, len(raw) == CHUNK
 
     def take(self, raw: bytes) -> None:
         if self.http is None:
@@ -129,7 +134,7 @@ class _Reader:
     def result(self) -> tuple:
         page = lambda k: int(self.warc[k][10:-1])
         kind, digest = self.warc["WARC-Type"], self.warc["WARC-Payload-Digest"].removeprefix("sha256:")
-        if self.left or not self.squeeze.eof or kind == "response" and self.sha.hexdigest() != digest:
+        if self.left or not self.squeeze.eof or self.squeeze.unused_data or kind == "response" and self.sha.hexdigest() != digest:
             raise ValueError("a record is damaged")
         return page("WARC-Record-ID"), int(self.http["Content-Length"]), digest, kind, page("WARC-Refers-To") if kind == "revisit" else None
 
