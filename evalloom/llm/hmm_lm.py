@@ -3,43 +3,46 @@
 The states emit word classes: the most frequent training words are a class each, the others fall into classes by their last bytes, and a word has
 probability (c + 1) / (sum of its class) within its class; an unknown word has probability 1 / (N + V + 1) in every state, as
 in the unigram base. Baum-Welch counts are summed over all partitions for each round; a bounded sample of documents only gives the round-zero
-parameters. The scaled forward recursion over whole texts gives the exact likelihood of the sequence, its end token included.
+parameters. Counts are those of whole texts: texts of more than SEGMENT tokens are worked on in segments, between which the forward and backward
+messages are carried by the segments' transfer matrices. The scaled forward recursion over whole texts gives the exact likelihood of the sequence, its end token included.
 
 Tables: blocks of texts as word numbers; hash slices that sum the training count of every word and answer each block; coded blocks of classes.
-What is broadcast is bounded by parameters: the frequent words and the state tables.
+Sums over slices and partitions merge in trees of fan-in MERGE. What is broadcast is bounded by parameters: the frequent words (their number grows with the input
+from TOP_WORDS to MOST_TOP_WORDS) and the state tables.
 
 Defined results: null text is empty, so only its end token counts; a null doc_id counts as a document that isn't held out; repeated rows count as often as they occur.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm import textblocks as tb
-from evalloom.runtime import materialize, ship, slices
+from evalloom.runtime import materialize, ship, size_hint, slices
 
 STATES = 8
-TOP_WORDS = 16384
+TOP_WORDS, MOST_TOP_WORDS, BYTES_A_TOP_WORD = 16384, 1 << 18, 1 << 19
 ENDINGS = 4096
 BLOCK_TOKENS = 1 << 20
-SEGMENT = 256
+SEGMENT = 2048
+GROUP_TOKENS = 1 << 18
 PRIOR = 200.0
-SAMPLE_DOCS = 400
+SAMPLE_DOCS, SAMPLE_LENGTH = 400, 20000
 SAMPLE_ROUNDS = 30
 ROUNDS = 3
 MERGE = 64
 CHUNK = 1024
 
 
-def held_out(ids: np.ndarray) -> np.ndarray:
+def held_out(column: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves 2 when divided by 7."""
-    return np.array([i != tb.NULL_ID and zlib.crc32(str(i).encode()) % 7 == 2 for i in ids.tolist()], dtype=bool)
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
 def endings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -60,8 +63,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     numbers = tb.Numbers()
 
     def flush() -> pa.RecordBatch:
-        ids, lens, h, end = map(np.concatenate, zip(*held, strict=True))
-        test = held_out(ids)
+        ids, test, lens, h, end = map(np.concatenate, zip(*held, strict=True))
         u, first, back = np.unique(h, return_index=True, return_inverse=True)
         train = np.bincount(back[np.repeat(~test, lens)], minlength=len(u)) if len(u) else np.zeros(0, dtype=np.int64)
         docs = tb.pack(ids.astype(np.uint64), test.astype(np.uint8), lens.astype(np.uint32))
@@ -70,10 +72,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         ids, (offsets, data) = tb.ids_of(batch.column("doc_id")), tb.utf8(batch.column("text"))
+        test = batch.column("test").to_numpy(zero_copy_only=False)
         for lo, hi in tb.parts(offsets):
             part = data[offsets[lo] : offsets[hi]]
             first, starts, ends = tb.words(offsets[lo : hi + 1] - offsets[lo], part)
-            held.append((ids[lo:hi], np.diff(first), tb.word_hashes(part, starts, ends, True), endings(part, starts, ends)))
+            held.append((ids[lo:hi], test[lo:hi], np.diff(first), tb.word_hashes(part, starts, ends, True), endings(part, starts, ends)))
             n += len(starts) + hi - lo
             if n >= BLOCK_TOKENS:
                 yield flush()
@@ -98,11 +101,11 @@ def _ask(bits: int):
     return run
 
 
-def _best(h: np.ndarray, c: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return np.lexsort((h, -c.astype(np.int64)))[:TOP_WORDS]
+def _best(h: np.ndarray, c: np.ndarray, end: np.ndarray, top: int | None = None) -> np.ndarray:
+    return np.lexsort((h, -c.astype(np.int64)))[: top or TOP_WORDS]
 
 
-def _answer(bits: int):
+def _answer(bits: int, top: int):
     """Training counts of the words of one slice: an answer for each block, and (block null) the slice's totals and frequent words."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -117,14 +120,14 @@ def _answer(bits: int):
         known, end = total > 0, end[first]
         sums = np.bincount(end[known], weights=total[known] + 1, minlength=ENDINGS).astype(np.uint64)
         word = u[known] | np.uint64(s) << np.uint64(64 - bits)
-        best = _best(word, total[known], end[known])
+        best = _best(word, total[known], end[known], top)
         stats = np.array([known.sum(), total.sum()], dtype=np.uint64).tobytes() + sums.tobytes() + tb.pack(word[best], total[known][best].astype(np.uint64), end[known][best])
         return pa.table([pa.array([*blocks, None], pa.int64()), pa.array([s] * (len(blocks) + 1), pa.int32()), pa.array([*answers, stats], pa.binary())], ["block", "slice", "body"])
 
     return run
 
 
-def _stats(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+def _stats(bodies: list[bytes], most: int | None = None) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
     """Sums of (types, tokens), of the ending classes, and the most frequent words."""
     head, sums, top = np.zeros(2, dtype=np.uint64), np.zeros(ENDINGS, dtype=np.uint64), []
     for b in bodies:
@@ -132,21 +135,24 @@ def _stats(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarra
         sums = sums + np.frombuffer(b, dtype=np.uint64, count=ENDINGS, offset=16)
         top.append(tb.unpack(b[16 + 8 * ENDINGS :], 3))
     h, c, end = map(np.concatenate, zip(*top, strict=True))
-    best = _best(h, c, end)
+    best = _best(h, c, end, most)
     return head, sums, (h[best], c[best], end[best])
 
 
-def _merge_stats(table: pa.Table) -> pa.Table:
-    head, sums, top = _stats(table.column("body").to_pylist())
-    return pa.table([pa.array([head.tobytes() + sums.tobytes() + tb.pack(*top)], pa.binary())], ["body"])
+def _merge_stats(most: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        head, sums, top = _stats(table.column("body").to_pylist(), most)
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([head.tobytes() + sums.tobytes() + tb.pack(*top)], pa.binary())], ["slice", "body"])
+
+    return run
 
 
 class Vocabulary:
     """Classes: 0 the end token, then the frequent words, then the endings, then unknown words."""
 
-    def __init__(self, bodies: list[bytes], train_docs: int):
+    def __init__(self, bodies: list[bytes], train_docs: int, most: int | None = None):
         if bodies:
-            head, sums, (h, c, end) = _stats(bodies)
+            head, sums, (h, c, end) = _stats(bodies, most)
         else:
             head, sums, (h, c, end) = np.zeros(2, dtype=np.uint64), np.zeros(ENDINGS, dtype=np.uint64), (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint16))
         self.tokens, self.types, self.ends = int(head[1]) + train_docs, int(head[0]) + (train_docs > 0), train_docs
@@ -208,8 +214,8 @@ def _active(lens: np.ndarray) -> np.ndarray:
 class Model:
     """start (K), move (K, K), emit (classes, K): rows by class, so that a class's emissions lie together."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, share: np.ndarray):
-        self.start, self.move, self.emit, self.share = start, move, emit, share
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
+        self.start, self.move, self.emit = start, move, emit
 
     def log10(self, cls: np.ndarray, first: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Exact log10 likelihood of each sequence by the scaled forward recursion, all sequences a step at a time."""
@@ -226,16 +232,17 @@ class Model:
         back[order] = out
         return back
 
-    def counts(self, cls: np.ndarray, first: np.ndarray, lens: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Expected counts (start, moves, emissions) and log likelihood over segments; opens: those that begin a document."""
-        k = len(self.start)
+    def counts(self, cls: np.ndarray, first: np.ndarray, lens: np.ndarray, head: np.ndarray | None = None, tail: np.ndarray | None = None, opens: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Expected counts (start, moves, emissions) and log likelihood over segments. head: the distribution of each one's first state, given what came before;
+        tail: the message that comes back from what follows; opens: those that begin a document."""
+        k, n = len(self.start), len(lens)
         order = np.argsort(-lens, kind="stable")
-        at, opens, active = first[order], opens[order], _active(lens[order])
+        at, active = first[order], _active(lens[order])
+        alpha = np.broadcast_to(self.start, (n, k)) if head is None else head[order]
         alphas, scales, seen = [], [], []
-        alpha = np.where(opens[:, None], self.start, self.share)
-        for t, n in enumerate(active):
-            c = cls[at[:n] + t]
-            alpha = (alpha if t == 0 else alpha[:n] @ self.move) * self.emit[c]
+        for t, m in enumerate(active):
+            c = cls[at[:m] + t]
+            alpha = (alpha if t == 0 else alpha[:m] @ self.move) * self.emit[c]
             s = alpha.sum(axis=1)
             alpha /= s[:, None]
             alphas.append(alpha)
@@ -243,18 +250,66 @@ class Model:
             seen.append(c)
         moves, likelihood, nxt = np.zeros((k, k)), 0.0, None
         for t in range(len(active) - 1, -1, -1):
-            beta = np.ones((active[t], k))
+            beta, done = np.ones((active[t], k)), 0
             if nxt is not None:
-                beta[: len(nxt)] = nxt @ self.move.T
-                moves += alphas[t][: len(nxt)].T @ nxt
+                done = len(nxt)
+                beta[:done] = nxt @ self.move.T
+                moves += alphas[t][:done].T @ nxt
+            if tail is not None and done < active[t]:
+                last = tail[order[done : active[t]]]
+                beta[done:] = last / (alphas[t][done:] * last).sum(axis=1, keepdims=True)
             nxt = self.emit[seen[t]] * beta / scales[t][:, None]
             alphas[t] = alphas[t] * beta
             likelihood += float(np.log10(scales[t]).sum())
-        start = alphas[0][opens].sum(axis=0)
+        start = (alphas[0] if opens is None else alphas[0][opens[order]]).sum(axis=0)
         flat, gamma = np.concatenate(seen), np.concatenate(alphas)
         emit = np.stack([np.bincount(flat, weights=gamma[:, i], minlength=len(self.emit)) for i in range(k)], axis=1)
         return start, moves * self.move, emit, likelihood
 
+    def transfers(self, cls: np.ndarray, first: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """For each segment the product of its emissions and inner moves, up to a factor: from its first state to its last."""
+        order = np.argsort(-lens, kind="stable")
+        at, active = first[order], np.append(_active(lens[order]), 0)
+        out = np.empty((len(lens), len(self.start), len(self.start)))
+        p = np.broadcast_to(np.eye(len(self.start)), out.shape)
+        for t in range(len(active) - 1):
+            m = active[t]
+            p = (p if t == 0 else p[:m] @ self.move) * self.emit[cls[at[:m] + t]][:, None, :]
+            p /= p.sum(axis=(1, 2), keepdims=True)
+            out[order[active[t + 1] : m]] = p[active[t + 1] :]
+        return out
+
+    def expected(self, cls: np.ndarray, first: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Expected counts and log likelihood of whole documents, in groups of segments of about GROUP_TOKENS."""
+        k, n = len(self.start), -(-lens // SEGMENT)
+        doc = np.repeat(np.arange(len(lens)), n)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        begin = first[doc] + number * SEGMENT
+        size = np.minimum(first[doc] + lens[doc] - begin, SEGMENT)
+        head, tail, moves = np.tile(self.start, (len(doc), 1)), np.ones((len(doc), k)), np.zeros((k, k))
+        long = np.flatnonzero(n[doc] > 1)
+        if len(long):
+            across = np.empty((len(doc), k, k))
+            across[long] = self.transfers(cls, begin[long], size[long])
+            ends = np.empty((len(doc), k))
+            by = [long[number[long] == j] for j in range(int(n.max()))]
+            scaled = lambda x: x / x.sum(axis=1, keepdims=True)
+            for now in by[1:]:
+                ends[now] = scaled((head[now - 1][:, None, :] @ across[now - 1])[:, 0])
+                head[now] = scaled(ends[now] @ self.move)
+            for now in by[:0:-1]:
+                back = (across[now] @ tail[now][:, :, None])[:, :, 0]
+                tail[now - 1] = scaled(back @ self.move.T)
+                both = ends[now][:, :, None] * self.move * back[:, None, :]
+                moves += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        start, emit, likelihood = np.zeros(k), np.zeros((len(self.emit), k)), 0.0
+        order = np.argsort(-size, kind="stable")
+        group = np.cumsum(size[order]) // GROUP_TOKENS
+        for some in np.split(order, np.flatnonzero(np.diff(group)) + 1) if len(order) else ():
+            a, b, c, d = self.counts(cls, begin[some], size[some], head[some], tail[some], number[some] == 0)
+            start, moves, emit, likelihood = start + a, moves + b, emit + c, likelihood + d
+        return start, moves, emit, likelihood
+
     @staticmethod
     def fit(start: np.ndarray, moves: np.ndarray, emit: np.ndarray, vocabulary: Vocabulary) -> Model:
         """The maximum a posteriori parameters; unknown words keep the base's probability in every state."""
@@ -263,18 +318,7 @@ class Model:
         full[vocabulary.unknown] = 0.0
         full = full / np.maximum(full.sum(axis=0), 1e-300) * (1.0 - rare)
         full[vocabulary.unknown] = rare
-        share = emit.sum(axis=0) + 1.0
-        return Model((start + 1.0) / (start + 1.0).sum(), (moves + 1.0) / (moves + 1.0).sum(axis=1, keepdims=True), full, share / share.sum())
-
-
-def _segments(lens: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first token, length, begins a document) of the pieces of the kept documents."""
-    first = np.cumsum(lens) - lens
-    first, lens = first[keep], lens[keep]
-    n = -(-lens // SEGMENT)
-    number = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    begin = np.repeat(first, n) + number * SEGMENT
-    return begin, np.minimum(np.repeat(first + lens, n) - begin, SEGMENT), number == 0
+        return Model((start + 1.0) / (start + 1.0).sum(), (moves + 1.0) / (moves + 1.0).sum(axis=1, keepdims=True), full)
 
 
 def _expect(model: Model):
@@ -287,24 +331,32 @@ def _expect(model: Model):
             for docs, classes in zip(batch.column("docs").to_pylist(), batch.column("classes").to_pylist(), strict=True):
                 _, test, lens, *_ = tb.unpack(docs, 6)
                 cls = tb.unpack(classes, 1)[0].astype(np.int64)
-                first, size, opens = _segments(lens.astype(np.int64), test == 0)
-                for lo in range(0, len(first), 2048):
-                    a, b, c, d = model.counts(cls, first[lo : lo + 2048], size[lo : lo + 2048], opens[lo : lo + 2048])
-                    start, moves, emit, likelihood = start + a, moves + b, emit + c, likelihood + d
+                lens, train = lens.astype(np.int64), test == 0
+                a, b, c, d = model.expected(cls, (np.cumsum(lens) - lens)[train], lens[train])
+                start, moves, emit, likelihood = start + a, moves + b, emit + c, likelihood + d
         rows = [emit[lo : lo + CHUNK] for lo in range(0, len(emit), CHUNK)] + [np.concatenate([start, moves.ravel(), [likelihood]])]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "body"])
+        leaf = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([leaf] * len(rows), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "leaf", "body"])
 
     return run
 
 
+SUMS = "part int, leaf int, body binary"
+
+
 def _sum(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    table = table.sort_by("leaf")  # so that the sum doesn't depend on the order of arrival
     total = sum(np.frombuffer(b, dtype=np.float64) for b in table.column("body").to_pylist())
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "body"])
+    return pa.table([*(pa.array([k.as_py()], pa.int32()) for k in key), pa.array([total.tobytes()], pa.binary())], ["part", "leaf", "body"])
 
 
 def _round(coded: DataFrame, model: Model, vocabulary: Vocabulary) -> Model:
-    k = len(model.start)
-    rows = sorted(coded.mapInArrow(tb.tidy(_expect(model)), "part int, body binary").groupBy("part").applyInArrow(_sum, "part int, body binary").collect())
+    k, n = len(model.start), coded.rdd.getNumPartitions()
+    rows = coded.mapInArrow(tb.tidy(_expect(model)), SUMS)
+    while n > 1:
+        n = -(-n // MERGE)
+        rows = rows.withColumn("leaf", F.floor(F.col("leaf") / MERGE).cast("int")).groupBy("part", "leaf").applyInArrow(_sum, SUMS)
+    rows = sorted(rows.select("part", "body").collect())
     if not rows:
         return model
     tail = np.frombuffer(rows[-1]["body"])
@@ -313,7 +365,7 @@ def _round(coded: DataFrame, model: Model, vocabulary: Vocabulary) -> Model:
 
 
 def _sampled(limit: int):
-    """The classes of the training documents whose mixed id lies below a limit."""
+    """The classes of the training documents of at most SAMPLE_LENGTH tokens whose mixed id lies below a limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,18 +373,19 @@ def _sampled(limit: int):
             for docs, classes in zip(batch.column("docs").to_pylist(), batch.column("classes").to_pylist(), strict=True):
                 ids, test, lens, *_ = tb.unpack(docs, 6)
                 cls, ends = tb.unpack(classes, 1)[0], np.cumsum(lens.astype(np.int64))
-                for i in np.flatnonzero((test == 0) & (tb.mix(ids) < np.uint64(limit))):
-                    ids_out.append(int(ids[i].astype(np.int64)))
+                drawn = tb.mix(ids)
+                for i in np.flatnonzero((test == 0) & (lens <= SAMPLE_LENGTH) & (drawn < np.uint64(limit))):
+                    ids_out.append(int(drawn[i] >> np.uint64(1)))
                     out.append(cls[ends[i] - lens[i] : ends[i]].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids_out, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "classes"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids_out, pa.int64()), pa.array(out, pa.binary())], ["draw", "classes"])
 
     return run
 
 
 def _first_model(coded: DataFrame, vocabulary: Vocabulary) -> Model:
-    """Round-zero parameters from a bounded sample of whole training documents (SAMPLE_DOCS expected)."""
+    """Round-zero parameters from a bounded sample of whole training documents: SAMPLE_DOCS expected, twice as many at most, in the order of a hash of their ids."""
     limit = min((1 << 64) - 1, int((1 << 64) * SAMPLE_DOCS / max(1, vocabulary.ends)))
-    rows = coded.mapInArrow(_sampled(limit), "doc_id long, classes binary").orderBy("doc_id").limit(2 * SAMPLE_DOCS).collect()
+    rows = coded.mapInArrow(_sampled(limit), "draw long, classes binary").orderBy("draw", "classes").limit(2 * SAMPLE_DOCS).collect()
     texts = [np.frombuffer(r["classes"], dtype="<u4").astype(np.int64) for r in rows]
     k = STATES
     rng = np.random.default_rng(7)
@@ -346,9 +399,8 @@ def _first_model(coded: DataFrame, vocabulary: Vocabulary) -> Model:
     if not texts:
         return model
     cls, lens = np.concatenate(texts), np.array([len(t) for t in texts])
-    first, size, opens = _segments(lens, np.ones(len(lens), dtype=bool))
     for _ in range(SAMPLE_ROUNDS):
-        start, moves, emit, _ = model.counts(cls, first, size, opens)
+        start, moves, emit, _ = model.expected(cls, np.cumsum(lens) - lens, lens)
         model = Model.fit(start, moves, emit, vocabulary)
     return model
 
@@ -384,11 +436,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """The columns of SCORES for every row; learns from the rows that aren't held out."""
     ship(docs.sparkSession)
     bits = slices(docs, 2 << 20).bit_length() - 1
-    blocks = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tb.tidy(_blocks), BLOCKS), "lm_blocks")
+    top = max(TOP_WORDS, min(MOST_TOP_WORDS, size_hint(docs) // BYTES_A_TOP_WORD))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    blocks = materialize(texts.withColumn("test", held_out()).mapInArrow(tb.tidy(_blocks), BLOCKS), "lm_blocks")
     train_docs = blocks.select("docs").mapInArrow(_train_docs, "n long").agg(F.sum("n")).first()[0] or 0
-    answers = materialize(blocks.select("block", "words").mapInArrow(_ask(bits), "slice int, block long, body binary").groupBy("slice").applyInArrow(_answer(bits), "block long, slice int, body binary"), "lm_counts")
-    stats = answers.where("block IS NULL").groupBy((F.col("slice") % MERGE).alias("part")).applyInArrow(_merge_stats, "body binary").collect()
-    vocabulary = Vocabulary([bytes(r["body"]) for r in stats], train_docs)
+    answers = materialize(blocks.select("block", "words").mapInArrow(_ask(bits), "slice int, block long, body binary").groupBy("slice").applyInArrow(_answer(bits, top), "block long, slice int, body binary"), "lm_counts")
+    stats, n = answers.where("block IS NULL").select("slice", "body"), 1 << bits
+    while n > 1:
+        n = -(-n // MERGE)
+        stats = stats.withColumn("slice", F.floor(F.col("slice") / MERGE).cast("int")).groupBy("slice").applyInArrow(_merge_stats(top), "slice int, body binary")
+    vocabulary = Vocabulary([bytes(r["body"]) for r in stats.collect()], train_docs, top)
     coded = materialize(blocks.groupBy("block").cogroup(answers.where("block IS NOT NULL").groupBy("block")).applyInArrow(_code(vocabulary), CODED), "lm_classes")
     model = _first_model(coded, vocabulary)
     for _ in range(ROUNDS):
