@@ -8,8 +8,8 @@ A winning score says only which language is nearest, so unfamiliar text is rejec
 blanks and non-ASCII bytes that a landmark has. It must reach REJECT times the share that all but UNSURE of the fit's rows of that language have (a
 landmark's own trigrams count if another landmark has them). PRIOR trigrams count as known, so that a text of a few letters isn't judged by them.
 
-The fit uses a bounded sample: at most PER_LANG labelled rows for each of at most MAX_LANGS languages, drawn by hash of the id.
-Defined results: null text or text without a letter is `und` with score 0, and so is everything if there is nothing to learn from; ties go to the first language in order.
+The fit uses a bounded sample of labelled rows, drawn by a hash of id and text: PER_LANG of each language, fewer (two at least) where that would be more than SAMPLE_ROWS in
+all; texts of more than LONG bytes only where a language has too few others. All languages are learned. Defined results: null text or text without a letter is `und` with score 0, and so is everything if there is nothing to learn from; ties go to the first language in order.
 """
 
 from __future__ import annotations
@@ -18,14 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalloom.llm import textblocks as tb
 from evalloom.runtime import ship
 
 PER_LANG = 150
-MAX_LANGS = 200
+SAMPLE_ROWS = 30_000
+LONG = 1 << 16
 LANDMARKS = 128
 RIDGE = 1e-3
 BATCH = 128
@@ -127,11 +129,11 @@ def _letters(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _predict(model: Classifier | None, reject: bool = False):
+def _predict(model: Classifier | None, reject: bool = False, names: tuple[str, str] = ("lang_pred", "score")):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams() if model else None
         for batch in batches:
-            offsets, data = tb.utf8(batch.column("__text"))
+            offsets, data = tb.utf8(batch.columns[-1])
             pred = np.full(len(offsets) - 1, "und", dtype=object)
             score = np.zeros(len(offsets) - 1)
             for lo, hi in tb.parts(offsets) if model else ():
@@ -148,8 +150,7 @@ def _predict(model: Classifier | None, reject: bool = False):
                         some, best, value = some[sure], best[sure], value[sure]
                     pred[lo + some] = [model.langs[b] for b in best]
                     score[lo + some] = value
-            names = [n for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score)], [*batch.schema.names[:-1], *names])
 
     return run
 
@@ -157,31 +158,32 @@ def _predict(model: Classifier | None, reject: bool = False):
 def fit(labelled: DataFrame) -> Classifier | None:
     """A classifier from (doc_id, text, lang) rows, by a bounded sample of them."""
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = labelled.groupBy("lang").count().collect()  # a row a language
     if not counts:
         return None
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    pick = F.lit(False)
-    for r in counts:
-        share = min(1.0, 1.5 * PER_LANG / r["count"])
-        pick = pick | ((F.col("lang") == r["lang"]) & (draw < int(share * (1 << 30))))
-    rows = labelled.where(pick).select("lang", "text", draw.alias("draw")).limit(3 * PER_LANG * len(counts)).collect()
+    most = max(2, min(PER_LANG, SAMPLE_ROWS // len(counts)))
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 34)
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 2.0 * most / r["count"] + 20 / r["count"]) * (1 << 30))) for r in counts], "lang string, share long")
+    some = labelled.select("lang", "text", draw.alias("draw")).join(F.broadcast(shares), "lang").where("draw < share")  # as many rows as languages, which are collected as well
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.octet_length("text") > LONG, "draw", "text"))
+    rows = some.withColumn("place", place).where(F.col("place") <= 2 * most).select("lang", "text", "draw").collect()
     rows.sort(key=lambda r: (r["draw"], r["text"]))
     texts, langs, n = [], [], {}
     for r in rows:
-        if n.get(r["lang"], 0) < PER_LANG and any(map(str.isalpha, r["text"])):
+        if n.get(r["lang"], 0) < most and any(map(str.isalpha, r["text"])):
             n[r["lang"]] = n.get(r["lang"], 0) + 1
             texts.append(r["text"].encode())
             langs.append(r["lang"])
     return Classifier(texts, langs) if texts else None
 
 
-def predict(docs: DataFrame, model: Classifier | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), reject: bool = False) -> DataFrame:
-    """The kept columns with lang_pred and score (0 to 1: the winning regression value, from -1..1); reject: unfamiliar text is `und` with score 0."""
+def predict(docs: DataFrame, model: Classifier | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), reject: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The kept columns with two more, by default lang_pred and score (0 to 1: the winning regression value, from -1..1); reject: unfamiliar text is `und` with score 0."""
     ship(docs.sparkSession)
-    source = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c != "__text")
-    return source.mapInArrow(tb.tidy(_predict(model, reject)), f"{schema}, lang_pred string, score double")
+    text = tb.fresh([*keep, *names], "text")
+    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias(text))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return source.mapInArrow(tb.tidy(_predict(model, reject, names)), schema)
 
 
 def remainder(column: str = "doc_id"):
@@ -199,8 +201,8 @@ def held_out_predictions(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame, least: float = 0.2) -> DataFrame:
     """docs without those that have no language: `und`, text unfamiliar to the classifier, or none that reaches the least score."""
     model = fit(docs.select("doc_id", "text", "lang"))
-    wide = docs.withColumn("text", F.col("text").cast("string")).withColumn("__copy", F.col("text"))
-    out = predict(wide, model, text_col="__copy", keep=tuple(docs.columns), reject=True)
     if model is None:
         return docs.limit(0)
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    names = tb.fresh(docs.columns, "lang_pred"), tb.fresh(docs.columns, "score")
+    out = predict(docs.withColumn("text", F.col("text").cast("string")), model, keep=tuple(docs.columns), reject=True, names=names)
+    return out.where((F.col(names[0]) != "und") & (F.col(names[1]) >= least)).select(*docs.columns)
