@@ -4,9 +4,10 @@ Each task hashes all windows of its texts and keeps the first of each hash in it
 The firsts go to slices by the hash's leading bits, where all occurrences of a hash meet and the one with the smallest
 (doc_id, start) stays. As a block sends each hash at most once, a window that a third of all documents share costs a slice
 one entry a block. Repeats return by buckets of documents as removal intervals, which the texts are joined with.
+Windows are told apart by 88 bits: a 64-bit hash and 24 bits of another polynomial of other word hashes (n windows share one with a probability of about n^2 / 2^89).
 
-Defined results: null text and texts below `size` words lose nothing; rows of one doc_id count as one document (their
-intervals unite); a null doc_id comes before all others; other columns pass through or are ignored.
+Defined results: null text and texts below `size` words lose nothing; a null doc_id comes before all others; rows of one doc_id, null or not, with different texts
+are different documents, in order of a hash of the text; those with equal texts are one document; other columns, whatever their names, pass through or are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm import textblocks as tb
-from evalloom.runtime import materialize, ship, slices
+from evalloom.runtime import global_index, materialize, ship, slices
 
 BLOCK_WINDOWS = 1 << 20
 
@@ -54,32 +55,31 @@ def _from_bucket(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(ids, counts.astype(np.int64)), start.astype(np.int64)
 
 
-def _block(h: np.ndarray, doc: np.ndarray, start: np.ndarray, bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(h, kind="stable") if len(doc) < 2 or (doc[1:] >= doc[:-1]).all() else np.lexsort((start, doc, h))
-    h, doc, start = h[order], doc[order], start[order]
-    first = np.ones(len(h), dtype=bool)
-    first[1:] = h[1:] != h[:-1]
+def _block(h: np.ndarray, check: np.ndarray, doc: np.ndarray, start: np.ndarray, bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    sorted_already = len(doc) < 2 or (doc[1:] >= doc[:-1]).all()
+    order, first = tb.by_key(h, check) if sorted_already else tb.by_key(h, check, doc, start)
+    h, check, doc, start = h[order], check[order], doc[order], start[order]
     lead = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
     later = ~first & ((doc != doc[lead]) | (start != start[lead]))
     keys, blobs = _by_bucket(doc[later], start[later], buckets)
     if keys:
         yield _send(np.array(keys) % (1 << bits), [k.to_bytes(4, "little") + b for k, b in zip(keys, blobs, strict=True)], 1)
-    h, doc, start = h[first], doc[first], start[first]
+    h, check, doc, start = h[first], check[first], doc[first], start[first]
     at = (h >> np.uint64(64 - bits)).astype(np.int64)
     cut = np.searchsorted(at, np.arange((1 << bits) + 1))
     low = int(doc.min()) if len(doc) else 0
     off = tb.narrow((doc - low).astype(np.uint64))
-    start, raw = tb.narrow(start), tb.low7(h)
+    start, raw, more = tb.narrow(start), tb.low7(h), tb.low3(check)
     some = np.flatnonzero(np.diff(cut))
     for group in np.array_split(some, max(1, len(some) // 256)):
-        blobs = [low.to_bytes(8, "little", signed=True) + tb.pack(off[cut[s] : cut[s + 1]], start[cut[s] : cut[s + 1]]) + raw[cut[s] : cut[s + 1]].tobytes() for s in group]
+        blobs = [low.to_bytes(8, "little", signed=True) + tb.pack(off[cut[s] : cut[s + 1]], start[cut[s] : cut[s + 1]]) + raw[cut[s] : cut[s + 1]].tobytes() + more[cut[s] : cut[s + 1]].tobytes() for s in group]
         if blobs:
             yield _send(group, blobs, 0)
 
 
 def _hash_windows(size: int, bits: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         n = 0
         for batch in batches:
             ids, (offsets, data) = tb.ids_of(batch.column("doc_id")), tb.utf8(batch.column("text"))
@@ -87,8 +87,9 @@ def _hash_windows(size: int, bits: int, buckets: int):
                 off = offsets[lo : hi + 1] - offsets[lo]
                 part = data[offsets[lo] : offsets[hi]]
                 first, starts, ends = tb.words(off, part)
-                h, row, start = tb.windows(tb.word_hashes(part, starts, ends, False), first, size)
-                held.append((h, ids[lo:hi][row], start))
+                words = tb.word_hashes(part, starts, ends, False)
+                h, row, start = tb.windows(words, first, size)
+                held.append((h, tb.window_checks(words, first[row] + start, size), ids[lo:hi][row], start))
                 n += len(h)
                 if n >= BLOCK_WINDOWS:
                     yield from _block(*map(np.concatenate, zip(*held, strict=True)), bits, buckets)
@@ -103,7 +104,7 @@ def _meet(buckets: int):
     """All occurrences of the hashes of one slice: what isn't the first of its hash, by buckets of documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        hashes, docs, starts, keys, blobs = [], [], [], [], []
+        hashes, checks, docs, starts, keys, blobs = [], [], [], [], [], []
         for kind, body in zip(table.column("kind").to_pylist(), table.column("body").to_pylist(), strict=True):
             if kind:
                 keys.append(int.from_bytes(body[:4], "little"))
@@ -111,21 +112,21 @@ def _meet(buckets: int):
                 continue
             low = int.from_bytes(body[:8], "little", signed=True)
             off, start = tb.unpack(body[8:], 2)
-            hashes.append(tb.from7(body, len(off), len(body) - 7 * len(off)))
+            hashes.append(tb.from7(body, len(off), len(body) - 10 * len(off)))
+            checks.append(tb.from3(body, len(off), len(body) - 3 * len(off)))
             docs.append((off.astype(np.uint64) + np.uint64(low & (1 << 64) - 1)).astype(np.int64))
             starts.append(start.astype(np.int64))
         if hashes:
-            h, doc, start = map(np.concatenate, (hashes, docs, starts))
+            h, check, doc, start = map(np.concatenate, (hashes, checks, docs, starts))
             order = np.argsort(h)
             s = h[order]
             same = np.zeros(len(s), dtype=bool)
             same[1:] = s[1:] == s[:-1]
             same[:-1] |= same[1:]
             take = order[same]
-            order = take[np.lexsort((start[take], doc[take], h[take]))]
+            h, check, doc, start = h[take], check[take], doc[take], start[take]
+            order, first = tb.by_key(h, check, doc, start)
             h, doc, start = h[order], doc[order], start[order]
-            first = np.ones(len(h), dtype=bool)
-            first[1:] = h[1:] != h[:-1]
             lead = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0)) if len(h) else np.zeros(0, dtype=np.int64)
             later = ~first & ((doc != doc[lead]) | (start != start[lead]))
             more = _by_bucket(doc[later], start[later], buckets)
@@ -187,24 +188,36 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _with_intervals(docs: DataFrame, size: int) -> DataFrame:
-    found = removal_intervals(docs, size)
-    left = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(tb.NULL_ID)))
-    return left.hint("merge").join(found, "__id", "left")
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a document number in order of doc_id: the id itself, or where ids repeat the ordinal by id and hash of the text."""
+    doc, print_, count = (tb.fresh([*docs.columns, name], c) for c in ("doc", "print", "count"))
+    rows = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), F.lit(tb.NULL_ID)))
+    if rows.groupBy(name).agg(F.count("*").alias(count)).where(F.col(count) > 1).isEmpty():
+        return rows
+    rows = rows.withColumnRenamed(name, doc).withColumn(print_, F.xxhash64(F.col("text").cast("string")))
+    numbers = materialize(global_index(rows.select(doc, print_).distinct(), [doc, print_], name), "document_numbers")
+    return rows.join(numbers, [doc, print_]).select(*docs.columns, name)
+
+
+def _with_intervals(docs: DataFrame, size: int, number: str, starts: str, ends: str) -> DataFrame:
+    left = _numbered(docs, number)
+    found = removal_intervals(left.select(F.col(number).alias("doc_id"), F.col("text").cast("string").alias("text")), size)
+    return left.hint("merge").join(found.select(F.col("__id").alias(number), F.col("starts").alias(starts), F.col("ends").alias(ends)), number, "left")
 
 
 def removal_report(docs: DataFrame, size: int = 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
-    both = _with_intervals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), size)
+    both = _with_intervals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), size, "number", "starts", "ends")
     return both.select("doc_id", "text", "starts", "ends").mapInArrow(tb.tidy(_apply), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the removed words; the white space between kept words stays, untouched texts stay as they are."""
+    """Texts without the removed words; the white space between kept words stays, untouched texts stay as they are. The last two columns are the starts and ends."""
     for batch in batches:
         offsets, data = tb.utf8(batch.column("text"))
         out = []
-        for i, (s, e) in enumerate(zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)):
+        nulls = batch.column("text").is_null().to_pylist()
+        for i, (s, e) in enumerate(zip(*(c.to_pylist() for c in batch.columns[-2:]), strict=True)):
             part = data[offsets[i] : offsets[i + 1]]
             if not s:
                 out.append(part.tobytes().decode())
@@ -215,13 +228,14 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(raw[at : begin[min(a, len(begin) - 1)]])
                 at = int(begin[min(b, len(begin) - 1)])
             out.append(b"".join([*kept, raw[at:]]).decode().strip())
-        table = {name: batch.column(name) for name in batch.schema.names if name not in ("starts", "ends", "__null")}
-        table["text"] = pa.array([None if null else x for null, x in zip(batch.column("__null").to_pylist(), out, strict=True)], pa.string())
+        table = dict(zip(batch.schema.names[:-2], batch.columns[:-2], strict=True))
+        table["text"] = pa.array([None if null else x for null, x in zip(nulls, out, strict=True)], pa.string())
         yield pa.RecordBatch.from_arrays(list(table.values()), list(table))
 
 
 def drop_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
     """docs with repeated passages removed from the texts; the other columns are as they were."""
-    both = _with_intervals(docs, size).withColumn("text", F.col("text").cast("string")).withColumn("__null", F.col("text").isNull())
     plain = docs.withColumn("text", F.col("text").cast("string"))
-    return both.select(*plain.columns, "starts", "ends", "__null").mapInArrow(tb.tidy(_rewrite), plain.schema)
+    number, starts, ends = (tb.fresh(docs.columns, c) for c in ("number", "starts", "ends"))
+    both = _with_intervals(plain, size, number, starts, ends)
+    return both.select(*plain.columns, starts, ends).mapInArrow(tb.tidy(_rewrite), plain.schema)

@@ -21,7 +21,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD1342543DE82EF95)
+OTHER = np.uint64(0xAEF17502108EF2D9)
 SUB_BYTES = 1 << 20
+CHECK_BITS = 24
 NULL_ID = -(1 << 63)
 
 
@@ -113,13 +115,23 @@ def windows(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np
         for k in range(1, size):
             out = out * STEP + h[at + k]
     else:
-        p, inverse = powers(STEP, len(h)), powers(np.uint64(pow(int(STEP), -1, 1 << 64)), len(h))
-        prefix = np.zeros(len(h) + 1, dtype=np.uint64)
-        np.cumsum(h * p, out=prefix[1:])
-        out = (prefix[at + size] - prefix[at]) * inverse[at]
+        out = rolled(h, at, size, STEP)
     return mix(out), row, start
 
 
+def rolled(h: np.ndarray, at: np.ndarray, size: int, step: np.uint64) -> np.ndarray:
+    """Polynomials of the runs of `size` words that start at the given words, by prefix sums."""
+    p, inverse = powers(step, len(h)), powers(np.uint64(pow(int(step), -1, 1 << 64)), len(h))
+    prefix = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * p, out=prefix[1:])
+    return (prefix[at + size] - prefix[at]) * inverse[at]
+
+
+def window_checks(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """CHECK_BITS more bits of the runs of `size` words at the given words, independent of windows()."""
+    return (mix(rolled(mix(h ^ OTHER), at, size, OTHER)) & np.uint64((1 << CHECK_BITS) - 1)).astype(np.uint32)
+
+
 def narrow(values: np.ndarray) -> np.ndarray:
     """The smallest unsigned type that holds the values."""
     top = int(values.max()) if len(values) else 0
@@ -151,6 +163,36 @@ def from7(raw: bytes, n: int, offset: int = 0) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
+def low3(c: np.ndarray) -> np.ndarray:
+    """The low 24 bits as three bytes a value."""
+    return c.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+
+
+def from3(raw: bytes, n: int, offset: int = 0) -> np.ndarray:
+    out = np.zeros((n, 4), dtype=np.uint8)
+    out[:, :3] = np.frombuffer(raw, dtype=np.uint8, count=3 * n, offset=offset).reshape(n, 3)
+    return out.reshape(-1).view("<u4").astype(np.uint32)
+
+
+def by_key(h: np.ndarray, c: np.ndarray, *ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by h, then c, then the ties; whether each entry of it opens a new (h, c)). The checks c hardly ever differ where h is equal, so they are only sorted by if they do."""
+    order = np.lexsort((*ties[::-1], h)) if ties else np.argsort(h, kind="stable")
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    if (~new[1:] & (c[order[1:]] != c[order[:-1]])).any():
+        order = np.lexsort((*ties[::-1], c, h))
+        new[1:] = (h[order[1:]] != h[order[:-1]]) | (c[order[1:]] != c[order[:-1]])
+    return order, new
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """A column name that no column has yet, whatever its case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def ids_of(column: pa.Array) -> np.ndarray:
     """An integer id column as int64; null becomes NULL_ID."""
     if column.null_count:

@@ -9,6 +9,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,7 +126,7 @@ def test_lm_forward_and_counts_equal_brute_force():
     rng = np.random.default_rng(3)
     k, m = 3, 5
     norm = lambda a, axis: a / a.sum(axis=axis, keepdims=True)
-    model = hmm_lm.Model(norm(rng.random(k), 0), norm(rng.random((k, k)), 1), norm(rng.random((m, k)), 0), norm(rng.random(k), 0))
+    model = hmm_lm.Model(norm(rng.random(k), 0), norm(rng.random((k, k)), 1), norm(rng.random((m, k)), 0))
     seqs = [rng.integers(m, size=n) for n in (1, 4, 6, 2)]
     lens = np.array([len(s) for s in seqs])
     cls, first = np.concatenate(seqs), np.cumsum(lens) - lens
@@ -140,7 +142,7 @@ def test_lm_forward_and_counts_equal_brute_force():
 
     want = [math.log10(sum(p for _, p in paths(s))) for s in seqs]
     assert model.log10(cls, first, lens) == pytest.approx(want)
-    start, moves, emit, likelihood = model.counts(cls, first, lens, np.ones(4, dtype=bool))
+    start, moves, emit, likelihood = model.expected(cls, first, lens)
     a, b, e = np.zeros(k), np.zeros((k, k)), np.zeros((m, k))
     for s in seqs:
         total = sum(p for _, p in paths(s))
@@ -153,6 +155,41 @@ def test_lm_forward_and_counts_equal_brute_force():
     assert np.allclose(start, a) and np.allclose(moves, b) and np.allclose(emit, e) and likelihood == pytest.approx(sum(want))
 
 
+@pytest.mark.parametrize("segment", [2048, 64, 1])
+def test_lm_counts_are_those_of_whole_texts(segment, monkeypatch):
+    """Against a plain forward-backward pass over texts of up to 1,000 tokens, in segments of any size."""
+    monkeypatch.setattr(hmm_lm, "SEGMENT", segment)
+    monkeypatch.setattr(hmm_lm, "GROUP_TOKENS", 300)
+    rng = np.random.default_rng(5)
+    k, m = 4, 9
+    norm = lambda a, axis: a / a.sum(axis=axis, keepdims=True)
+    model = hmm_lm.Model(norm(rng.random(k), 0), norm(rng.random((k, k)) ** 3, 1), norm(rng.random((m, k)), 0))
+    seqs = [rng.integers(m, size=n) for n in (1000, 3, 64, 65, 1, 500)]
+    a, b, e, want = np.zeros(k), np.zeros((k, k)), np.zeros((m, k)), 0.0
+    for s in seqs:
+        alpha, scale, beta = np.zeros((len(s), k)), np.zeros(len(s)), np.ones((len(s), k))
+        for t, x in enumerate(s):
+            alpha[t] = (model.start if t == 0 else alpha[t - 1] @ model.move) * model.emit[x]
+            scale[t] = alpha[t].sum()
+            alpha[t] /= scale[t]
+        for t in range(len(s) - 2, -1, -1):
+            beta[t] = model.move @ (model.emit[s[t + 1]] * beta[t + 1]) / scale[t + 1]
+            b += np.outer(alpha[t], model.emit[s[t + 1]] * beta[t + 1]) * model.move / scale[t + 1]
+        a += alpha[0] * beta[0]
+        np.add.at(e, s, alpha * beta)
+        want += np.log10(scale).sum()
+    lens = np.array([len(s) for s in seqs])
+    start, moves, emit, likelihood = model.expected(np.concatenate(seqs), np.cumsum(lens) - lens, lens)
+    assert np.allclose(start, a) and np.allclose(moves, b) and np.allclose(emit, e) and likelihood == pytest.approx(want)
+
+
+def test_lm_sums_merge_in_trees(spark, docs, monkeypatch):
+    """Fan-in 2 gives the scores of fan-in 64."""
+    want = {r["doc_id"]: r["score"] for r in hmm_lm.score(docs).collect()}
+    monkeypatch.setattr(hmm_lm, "MERGE", 2)
+    assert {r["doc_id"]: r["score"] for r in hmm_lm.score(docs).collect()} == {i: pytest.approx(x) for i, x in want.items()}
+
+
 def test_lm_distribution_sums_to_one(monkeypatch):
     monkeypatch.setattr(hmm_lm, "TOP_WORDS", 3)
     h, c, end = np.array([5, 9, 1, 7], dtype=np.uint64), np.array([4, 1, 2, 8], dtype=np.uint64), np.array([3, 3, 8, 3], dtype=np.uint16)
@@ -557,6 +594,36 @@ def test_language_id_edges(spark, docs, data):
     assert language_id.keep_known(docs).columns == docs.columns
 
 
+def test_all_languages_are_learned(spark):
+    """More than 200 languages, some of them with very long texts only, and one id for all rows."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(230):
+        words = ["".join(chr(0x4E00 + 40 * k + rng.randrange(40)) for _ in range(4)) for _ in range(20)]
+        rows += [(1 if k % 2 else k * 10 + i, " ".join(rng.choice(words) for _ in range(30 if k else 6000)), f"l{k:03}") for i in range(4)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert len(model.langs) == 230
+    got = language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model, keep=("lang",)).where("lang <> lang_pred").count()
+    assert got <= 20
+
+
+def test_stages_take_clashing_names_null_and_repeated_ids(spark, sf):
+    """Every stage of the pipeline over columns that are named like its own, ids that repeat or are null, and no rows."""
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = docs.selectExpr("CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN 7 ELSE doc_id END AS doc_id", "text", "lang", "source", "n_chars")
+    odd = odd.selectExpr("*", "1 AS starts", "'e' AS ends", "0.5 AS score", "'xx' AS lang_pred", "2 AS number", "3 AS __id", "4 AS __text", "5 AS __copy", "6 AS __null", "text AS uid", "7 AS count", "8 AS print", "9 AS doc", "10 AS id", "11 AS name")
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.columns == odd.columns and stage(spark, odd.limit(0), sf).count() == 0
+        texts = {r["text"] for r in out.collect()}
+        assert texts and out.where("starts <> 1 OR ends <> 'e' OR score <> 0.5 OR lang_pred <> 'xx' OR number <> 2").count() == 0
+    pieces = cp.STAGES[-1][1](spark, odd, sf)
+    assert pieces.agg(F.sum("length")).first()[0] == sum(r["n"] for r in pieces.where("start = 0").selectExpr("doc_tokens AS n").collect())
+    assert cp.STAGES[-1][1](spark, odd.limit(0), sf).count() == 0
+
+
 def test_keep_known_rejects_unfamiliar_text(spark, sf):
     """Unseen scripts, unseen languages of a known script and letters at random go; texts of the four languages and too short ones stay."""
     rng = random.Random(8)
@@ -616,6 +683,40 @@ def test_repeats_over_blocks_and_unsorted_ids(spark, data, monkeypatch):
     assert got == brute_repeats(rows, 20)
 
 
+def test_repeats_with_colliding_hashes(spark, data, monkeypatch):
+    """With 14 bits of window hash most windows collide; the other 24 bits still tell them apart."""
+    plain = textblocks.windows
+
+    def few_bits(h, first, size):
+        out, row, start = plain(h, first, size)
+        return out & np.uint64(0xFE0000000000007F), row, start
+
+    monkeypatch.setattr(textblocks, "windows", few_bits)
+    found = []
+    for r in [r for r in data if r[1]]:
+        raw = r[1].encode()
+        offsets = np.array([0, len(raw)])
+        b = np.frombuffer(raw, dtype=np.uint8)
+        first, starts, ends = textblocks.words(offsets, b)
+        words = textblocks.word_hashes(b, starts, ends, False)
+        h, row, start = textblocks.windows(words, first, 20)
+        found.append((h, textblocks.window_checks(words, first[row] + start, 20), np.full(len(h), r[0]), start))
+    h, check, doc, start = map(np.concatenate, zip(*found, strict=True))
+    assert len(np.unique(h)) < len(h) / 2
+    buckets, gone = 64, {i: set() for i, *_ in data}
+    met = []
+    for rows in (slice(0, len(h) // 2), slice(len(h) // 2, None)):
+        for batch in substring_dedup._block(h[rows], check[rows], doc[rows], start[rows], 8, buckets):
+            met.append(pa.Table.from_batches([batch]))
+    sent = pa.concat_tables(met)
+    for s in set(sent.column("slice").to_pylist()):
+        table = substring_dedup._meet(buckets)(sent.filter(pc.equal(sent.column("slice"), s)))
+        for blob in table.column("body").to_pylist():
+            for d, at in zip(*(x.tolist() for x in substring_dedup._from_bucket(blob)), strict=True):
+                gone[d].update(range(at, at + 20))
+    assert {i: len(g) for i, g in gone.items()} == {i: v[1] for i, v in brute_repeats(data, 20).items()}
+
+
 def test_drop_repeats(spark, docs, data):
     assert substring_dedup.removal_report(empty(spark)).count() == 0
     out = {r["doc_id"]: r for r in substring_dedup.drop_repeats(docs).collect()}
@@ -626,6 +727,10 @@ def test_drop_repeats(spark, docs, data):
             assert out[i]["text"] == t
         else:
             assert hashlib.sha256(" ".join(WORD.findall(out[i]["text"])).encode()).hexdigest() == want[i][2]
+    # rows of one id with different texts are different documents
+    mixed = [(7, "p q r s t"), (7, "a b c d e"), (None, "x a b c"), (None, "p q r"), (9, "a b c d e")]
+    got = sorted(((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring_dedup.removal_report(spark.createDataFrame(mixed, "doc_id long, text string").repartition(2), 3).collect()))
+    assert got == [(0, 3, 0), (0, 4, 0), (7, 5, 3), (7, 5, 3), (9, 5, 5)]
     twice = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in substring_dedup.removal_report(twice, 3).collect()) == [(0, 0), (1, 5), (1, 5)]
 
@@ -656,6 +761,20 @@ def test_warc(spark, monkeypatch):
     assert warc.read_archive(warc.write_archive(df.limit(0))).count() == 0
 
 
+def test_warc_writer_and_reader_stream():
+    """A payload of 56 MB leaves the writer in batches of BATCH bytes, and comes back whole from a reader that holds a chunk."""
+    raw = np.random.default_rng(3).integers(0x21, 0x7F, 56 << 20, dtype=np.uint8).tobytes()
+    digest = hashlib.sha256(raw).hexdigest()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["u"]), pa.array([raw], pa.binary()), pa.array([digest]), pa.array([len(raw)]), pa.array([1])], ["page", "url", "html", "digest", "size", "first"])
+    batches = list(warc._write(iter([batch])))
+    assert len(batches) > 8 and max(sum(map(len, b.column("data").to_pylist())) for b in batches) <= warc.BATCH
+    (row,) = [r for b in warc._read(iter(batches)) for r in b.to_pylist()]
+    assert (row["page_id"], row["payload_bytes"], row["payload_digest"]) == (1, len(raw), digest)
+    easy = [pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["u"]), pa.array([b"a" * (20 << 20)], pa.binary()), pa.array([hashlib.sha256(b"a" * (20 << 20)).hexdigest()]), pa.array([20 << 20]), pa.array([1])], batch.schema.names)]
+    (row,) = [r for b in warc._read(warc._write(iter(easy))) for r in b.to_pylist()]
+    assert row["payload_bytes"] == 20 << 20
+
+
 # --- pipeline
 
 
