@@ -69,10 +69,11 @@ def _block(h: np.ndarray, check: np.ndarray, doc: np.ndarray, start: np.ndarray,
     cut = np.searchsorted(at, np.arange((1 << bits) + 1))
     low = int(doc.min()) if len(doc) else 0
     off = tb.narrow((doc - low).astype(np.uint64))
-    start, raw, more = tb.narrow(start), tb.low7(h), tb.low3(check)
+    start, raw, more = tb.narrow(start), tb.low(h, 5), tb.low(check, 3)
+    high = h >> np.uint64(40) & np.uint64(0xFFFF)  # of a slice's 56 bits: ascending, so differences are small
     some = np.flatnonzero(np.diff(cut))
     for group in np.array_split(some, max(1, len(some) // 256)):
-        blobs = [low.to_bytes(8, "little", signed=True) + tb.pack(off[cut[s] : cut[s + 1]], start[cut[s] : cut[s + 1]]) + raw[cut[s] : cut[s + 1]].tobytes() + more[cut[s] : cut[s + 1]].tobytes() for s in group]
+        blobs = [low.to_bytes(8, "little", signed=True) + tb.pack(off[cut[s] : cut[s + 1]], start[cut[s] : cut[s + 1]], tb.narrow(np.diff(high[cut[s] : cut[s + 1]], prepend=np.uint64(0)))) + raw[cut[s] : cut[s + 1]].tobytes() + more[cut[s] : cut[s + 1]].tobytes() for s in group]
         if blobs:
             yield _send(group, blobs, 0)
 
@@ -111,9 +112,9 @@ def _meet(buckets: int):
                 blobs.append(body[4:])
                 continue
             low = int.from_bytes(body[:8], "little", signed=True)
-            off, start = tb.unpack(body[8:], 2)
-            hashes.append(tb.from7(body, len(off), len(body) - 10 * len(off)))
-            checks.append(tb.from3(body, len(off), len(body) - 3 * len(off)))
+            off, start, rise = tb.unpack(body[8:], 3)
+            hashes.append(np.cumsum(rise, dtype=np.uint64) << np.uint64(40) | tb.from_low(body, len(off), len(body) - 8 * len(off), 5))
+            checks.append(tb.from_low(body, len(off), len(body) - 3 * len(off), 3))
             docs.append((off.astype(np.uint64) + np.uint64(low & (1 << 64) - 1)).astype(np.int64))
             starts.append(start.astype(np.int64))
         if hashes:

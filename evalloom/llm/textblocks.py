@@ -152,26 +152,24 @@ def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
     return out
 
 
-def low7(h: np.ndarray) -> np.ndarray:
-    """The low 56 bits as seven bytes a value."""
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
+def low(values: np.ndarray, width: int) -> np.ndarray:
+    """The low bytes of values, as so many bytes a value."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
 
 
-def from7(raw: bytes, n: int, offset: int = 0) -> np.ndarray:
+def from_low(raw: bytes, n: int, offset: int, width: int) -> np.ndarray:
     out = np.zeros((n, 8), dtype=np.uint8)
-    out[:, :7] = np.frombuffer(raw, dtype=np.uint8, count=7 * n, offset=offset).reshape(n, 7)
+    out[:, :width] = np.frombuffer(raw, dtype=np.uint8, count=width * n, offset=offset).reshape(n, width)
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def low3(c: np.ndarray) -> np.ndarray:
-    """The low 24 bits as three bytes a value."""
-    return c.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+def low7(h: np.ndarray) -> np.ndarray:
+    """The low 56 bits as seven bytes a value."""
+    return low(h, 7)
 
 
-def from3(raw: bytes, n: int, offset: int = 0) -> np.ndarray:
-    out = np.zeros((n, 4), dtype=np.uint8)
-    out[:, :3] = np.frombuffer(raw, dtype=np.uint8, count=3 * n, offset=offset).reshape(n, 3)
-    return out.reshape(-1).view("<u4").astype(np.uint32)
+def from7(raw: bytes, n: int, offset: int = 0) -> np.ndarray:
+    return from_low(raw, n, offset, 7)
 
 
 def by_key(h: np.ndarray, c: np.ndarray, *ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
