@@ -57,17 +57,13 @@ def budget_check(given: Column, generated: Column, most_in: int, most_out: int)
     return F.when(given.isNull() | generated.isNull(), "unknown").when(given > most_in, "input_cap_exceeded").when(generated > most_out, "output_cap_exceeded").otherwise("pass")
 
 
-def analysis_availability(status: Column, reason: Column) -> Column:
-    """available, or why a campaign wasn't, by what its reason mentions."""
-    why = F.lower(F.coalesce(reason, F.lit("")))
-    return (
-        F.when(status == "available", "available")
-        .when(status == "unsupported", "unsupported")
-        .when(why.contains("timeout"), "timeout")
-        .when(why.contains("provider"), "provider_failure")
-        .when(why.contains("unsupported"), "unsupported")
-        .otherwise("unknown")
-    )
+def analysis_availability(status: Column, reason: Column, stages: Column | None = None) -> Column:
+    """available, or why a campaign wasn't: a provider's failure in its reason, a timeout of one of its stages or in the reason, no support, else unknown."""
+    why = F.coalesce(reason, F.lit(""))
+    late = why.contains("timeout")
+    if stages is not None:
+        late = late | F.coalesce(F.array_contains(stages, "timeout"), F.lit(False))
+    return F.when(status == "available", "available").when(why.contains("provider_failure"), "provider_failure").when(late, "timeout").when(status == "unsupported", "unsupported").otherwise("unknown")
 
 
 def outcome_availability(verified: Column, statuses: Column) -> Column:
@@ -98,8 +94,15 @@ def remaining_budget(query: float, deadline: Column, elapsed: Column) -> Column:
 
 
 def foundry_class(message: Column) -> Column:
+    """struct<status, reason> of a failed test run: faults of the compiler's installation aren't failures of the test."""
     m = F.lower(F.coalesce(message, F.lit("")))
-    return F.when(m.contains("timed out") | m.contains("timeout"), "timeout").when(m.contains("compil"), "compile_error").when(m.contains("revert"), "revert").when(m.contains("not found"), "missing").otherwise("crash")
+    result = lambda status, reason: F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
+    return (
+        F.when(m.contains("missing solc") & m.contains("offline"), result("unsupported", "compiler_missing"))
+        .when(m.contains("permission denied") & (m.contains(".svm") | m.contains("solc")), result("unknown", "compiler_execution_denied"))
+        .when(m.contains("binaries.soliditylang.org") | m.contains("failed to lookup address"), result("unknown", "compiler_install_unavailable"))
+        .otherwise(result("fail", "foundry_nonzero_exit"))
+    )
 
 
 def is_hex(c: Column, digits: int, prefix: bool = False) -> Column:

@@ -28,6 +28,15 @@ def from_long(c: Column) -> Column:
     return F.concat(F.when(c < 0, F.lit("f" * 48)).otherwise(F.lit("0" * 48)), F.lower(F.lpad(F.hex(c), 16, "0")))
 
 
+def from_decimal(c: Column) -> Column:
+    """A whole DECIMAL(38, 0)."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else encode(int(v)) for v in values], dtype=object)
+
+    return F.pandas_udf(run, "string")(c)
+
+
 def signed_key(c: Column) -> Column:
     """A string that orders as the signed value does."""
     return F.concat(F.translate(F.substring(c, 1, 1), "0123456789abcdef", "89abcdef01234567"), F.substring(c, 2, 63))
@@ -56,11 +65,14 @@ def compute(operator: str, left: int, right: int, signed: bool) -> tuple[int | N
     else:
         out = {"add": left + right, "sub": left - right, "mul": left * right}[operator]
     low, high = (-SIGN, SIGN) if signed else (0, LIMIT)
-    return (out, None) if low <= out < high else (None, "overflow")
+    return (out, None) if low <= out < high else (None, "underflow" if out < low and not signed else "overflow")
 
 
 def arith(operator: str, left: Column, right: Column, signed: bool = False) -> Column:
-    """struct<value string, error string> of encoded operands; a NULL operand gives a missing binding."""
+    """struct<value string, error string> of operands as hex digits or whole decimals; a NULL operand gives a missing binding."""
+
+    def number(x: object, as_signed: bool) -> int:
+        return decode(x, as_signed) if isinstance(x, str) else int(x)
 
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         rows = []
@@ -68,7 +80,7 @@ def arith(operator: str, left: Column, right: Column, signed: bool = False) -> C
             if x is None or y is None:
                 rows.append((None, "missing binding"))
                 continue
-            v, e = compute(operator, decode(x, signed), decode(y, signed and operator not in ("shl", "shr", "sar")), signed)
+            v, e = compute(operator, number(x, signed), number(y, signed and operator not in ("shl", "shr", "sar")), signed)
             rows.append((None if v is None else encode(v), e))
         return pd.DataFrame(rows, columns=["value", "error"])
 

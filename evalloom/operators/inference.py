@@ -6,29 +6,30 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evalloom.functions.columns import draw_index, draw_uniform, r9
 
 
-def exact_two_sided(wins: int | None, losses: int | None) -> float | None:
-    """The exact two-sided sign test of untied pairs."""
-    if wins is None or losses is None or wins + losses == 0:
-        return None
-    n, low = wins + losses, min(wins, losses)
-    return sum(math.comb(n, k) for k in range(n + 1) if min(k, n - k) <= low) / 2**n
+UNITS = 1e9  # of effects in exact sums
 
 
 def sign_test(effects: DataFrame, by: list[str], effect: str = "effect") -> DataFrame:
-    """wins, losses, ties, n and p by group; the binomial tail is computed once for each group."""
+    """wins, losses, ties, n and the exact two-sided p by group: twice the smaller binomial tail, summed by running ratios of its terms."""
     t = effects.groupBy(*by).agg(F.count_if(F.col(effect) > 0).alias("wins"), F.count_if(F.col(effect) < 0).alias("losses"), F.count_if(F.col(effect) == 0).alias("ties"))
-    p = F.udf(lambda wins, losses: exact_two_sided(wins, losses), T.DoubleType())
-    return t.select(*by, "wins", "losses", "ties", (F.col("wins") + F.col("losses")).alias("n"), r9(p("wins", "losses")).alias("p"))
+    n, low = F.col("wins") + F.col("losses"), F.least("wins", "losses")
+    # logarithms, as 2^-n is no double for large n; the state holds log C(n, k) and the sum so far
+    first = F.struct(F.lit(0.0).alias("c"), F.exp(-n * math.log(2)).alias("s"))
+    step = lambda a, k: F.struct((a["c"] + F.log((n - k + 1) / k)).alias("c"), (a["s"] + F.exp(a["c"] + F.log((n - k + 1) / k) - n * math.log(2))).alias("s"))
+    terms = F.when(low > 0, F.sequence(F.lit(1).cast("long"), low)).otherwise(F.array().cast("array<bigint>"))
+    tail = F.aggregate(terms, first, step, lambda a: a["s"])
+    return t.select(*by, "wins", "losses", "ties", n.alias("n"), r9(F.when(n > 0, F.least(F.lit(1.0), 2 * tail))).alias("p"))
 
 
 def holm(tests: DataFrame, key: str, p: str = "p", by: list[str] | None = None) -> DataFrame:
-    """Holm's step-down adjustment; tests without p stay out of the family."""
+    """Holm's step-down adjustment; tests without p stay out of the family, a p outside [0, 1] fails the query. A family is ranked in one task: it is a list of contrasts."""
     by = by or []
+    outside = F.raise_error(F.lit("a p-value lies outside [0, 1]")).cast("double")
+    tests = tests.withColumn(p, F.when(F.isnan(p) | (F.col(p) < 0) | (F.col(p) > 1), outside).otherwise(F.col(p)))
     known = tests.where(F.col(p).isNotNull())
     order = Window.partitionBy(*by).orderBy(p, key)
     m = F.count("*").over(Window.partitionBy(*by))
@@ -40,35 +41,41 @@ def holm(tests: DataFrame, key: str, p: str = "p", by: list[str] | None = None)
 
 
 def bootstrap(effects: DataFrame, by: list[str], seed: int, draws: int, confidence: float, effect: str = "effect", order: str = "lineage_id") -> DataFrame:
-    """Percentile intervals of the mean under resampling with replacement, by md5 draws."""
-    w = Window.partitionBy(*by).orderBy(order)
-    indexed = effects.select(*by, F.col(effect).alias("v"), (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
-    # a group's effects fold into one array, so the draws need no join
-    arrays = indexed.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("a"), F.max("n").alias("n"))
-    drawn = arrays.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    means = drawn.withColumn("v", F.element_at("a", (draw_index(seed, F.col("draw"), F.col("k"), F.col("n")) + 1).cast("int"))).groupBy(*by, "draw").agg(F.avg("v").alias("mean"))
+    """Percentile intervals of the mean under resampling with replacement, by md5 draws.
+
+    A group's effects are one array (effects are of lineages, so it is small); each draw folds it in its own row, and draws are spread over the tasks. Sums are of
+    whole billionths, so they don't depend on their order.
+    """
+    units = F.round(F.col(effect) * UNITS).cast("long")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), units.alias("v")))), lambda x: x["v"])
+    arrays = effects.groupBy(*by).agg(ordered.alias("a"), F.count("*").alias("n"))
+    drawn = arrays.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).repartition(*by, "draw")
+    total = F.aggregate(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), F.lit(0).cast("long"), lambda s, k: s + F.element_at("a", (draw_index(seed, F.col("draw"), k, F.col("n")) + 1).cast("int")))
+    means = drawn.select(*by, (total.cast("double") / F.col("n") / UNITS).alias("mean"))
     low = (1 - confidence) / 2
-    point = effects.groupBy(*by).agg(F.avg(effect).alias("point"))
+    point = effects.groupBy(*by).agg((F.sum(units).cast("double") / F.count("*") / UNITS).alias("point"))
     ci = means.groupBy(*by).agg(F.percentile("mean", F.lit(low)).alias("low"), F.percentile("mean", F.lit(1 - low)).alias("high"))
     return point.join(ci, by).select(*by, r9("point").alias("point"), r9("low").alias("low"), r9("high").alias("high"))
 
 
 def cluster_bootstrap(items: DataFrame, cluster: str, value: str, seed: int, draws: int, confidence: float) -> DataFrame:
-    """Percentile interval of a mean when whole clusters are resampled; clusters enter as their sums and counts."""
-    sums = items.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("c"))
+    """Percentile interval of a mean when whole clusters are resampled; clusters enter as their sums and counts, one array that each draw folds in its own row."""
+    sums = items.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").cast("double").alias("c"))
     arr = sums.agg(F.array_sort(F.collect_list(F.struct(F.col(cluster), "s", "c"))).alias("a"))
-    drawn = arr.withColumn("n", F.size("a")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    pick = F.element_at("a", (draw_index(seed, F.col("draw"), F.col("k"), F.col("n")) + 1).cast("int"))
-    means = drawn.select("draw", pick.alias("p")).groupBy("draw").agg((F.sum("p.s") / F.sum("p.c")).alias("m"))
+    drawn = arr.withColumn("n", F.size("a")).where("n > 0").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).repartition("draw")
+    pick = lambda k: F.element_at("a", (draw_index(seed, F.col("draw"), k, F.col("n")) + 1).cast("int"))
+    total = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c")), lambda t, k: F.struct((t["s"] + pick(k)["s"]).alias("s"), (t["c"] + pick(k)["c"]).alias("c")), lambda t: t["s"] / t["c"])
     low = (1 - confidence) / 2
-    return means.agg(F.count("*").alias("draws"), r9(F.percentile("m", F.lit(low))).alias("low"), r9(F.percentile("m", F.lit(1 - low))).alias("high"))
+    return drawn.select(total.alias("m")).agg(F.count("*").alias("draws"), r9(F.percentile("m", F.lit(low))).alias("low"), r9(F.percentile("m", F.lit(1 - low))).alias("high"))
 
 
 def leave_one_out(effects: DataFrame, by: list[str], key: str, effect: str = "effect") -> DataFrame:
-    """The mean of the others for each key; NULL for a single key."""
-    w = Window.partitionBy(*by)
-    others = F.try_divide(F.sum(effect).over(w) - F.col(effect), F.count("*").over(w) - 1)
-    return effects.select(*by, key, r9(others).alias("mean_of_others"))
+    """The mean of the others for each key; NULL for a single key. Effects count to nine digits, as whole numbers, so that sums don't depend on their order."""
+    units = F.round(F.col(effect) * UNITS).cast("long")
+    totals = effects.groupBy(*by).agg(F.sum(units).alias("_s"), F.count("*").alias("_n"))
+    joined = effects.join(totals, by) if by else effects.crossJoin(totals)  # totals: a single row
+    others = F.try_divide((F.col("_s") - units).cast("double"), (F.col("_n") - 1).cast("double")) / UNITS
+    return joined.select(*by, key, others.alias("mean_of_others"))
 
 
 def zero_event_bound(rows: DataFrame, by: list[str], confidence: float) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evalloom.functions.columns import measured, poisoned_sum, r9
 
 # What interrupted an attempt, and what follows.
-RESUME = {"transient_provider": "retry_same_slot", "worker_crash": "recover_uncertain", "operator_stop": "resume", "budget_exhausted": "stop"}
+RESUME = {"worker_restart": "resume_same_attempt", "lost_response": "resume_same_attempt", "provider_outage": "resume_same_attempt", "version_drift": "block"}
 
 
 def preflight(results: DataFrame, families: list[str], key: str, checks: list[str]) -> DataFrame:
@@ -41,9 +41,11 @@ def launch_guard(requested: DataFrame, plan: DataFrame, key: str, gates: dict[st
 
 
 def resume_policy(interrupted: DataFrame, kind: Column, version: Column, current: str) -> DataFrame:
-    """What follows an interruption; another version always blocks, an unknown kind needs review."""
+    """What follows an interruption; another version than the current one is version drift, whatever the kind, and an unknown kind fails the query."""
     policy = F.create_map(*(F.lit(x) for kv in RESUME.items() for x in kv))
-    return interrupted.withColumn("action", F.when(~version.eqNullSafe(F.lit(current)), "blocked_version_drift").otherwise(F.coalesce(F.try_element_at(policy, kind), F.lit("review"))))
+    seen = F.when(version.eqNullSafe(F.lit(current)), kind).otherwise("version_drift")
+    unknown = F.raise_error(F.concat(F.lit("unknown interruption: "), F.coalesce(seen, F.lit("none")))).cast("string")
+    return interrupted.withColumn("action", F.coalesce(F.try_element_at(policy, seen), unknown))
 
 
 def timing_summary(rows: DataFrame, by: list[str], fields: list[str]) -> DataFrame:

@@ -10,19 +10,19 @@ from evalloom.functions.columns import r9
 
 
 def stratified_sample(rows: DataFrame, key: str, stratum: str, sizes: dict[str, int], seed: int) -> DataFrame:
-    """Seeded sampling without replacement by stratum, with weights; strata without a size are left out, a size beyond the stratum fails.
+    """Seeded sampling without replacement by stratum, with weights; strata without a size are left out. The query fails for a size beyond the
+    stratum, and for null or repeated keys.
 
-    A stratum is cut by hash range before ranking, so ranks are only computed for about as many rows as are asked for.
+    Ranks up to the greatest size only are asked for, so each partition sends no more than that many rows of a stratum.
     """
-    hashed = rows.where(F.col(stratum).isin(list(sizes))).withColumn("_h", F.md5(F.concat(F.lit(str(seed)), F.lit("|"), F.col(key).cast("string"))))
-    counts = hashed.groupBy(stratum).agg(F.count("*").alias("_n"))
+    wanted = rows.where(F.col(stratum).isin(list(sizes)))
+    counts = wanted.groupBy(stratum).agg(F.count("*").alias("_n"), F.count_distinct(key).alias("_d"))
+    hashed = wanted.withColumn("_h", F.md5(F.concat(F.lit(str(seed)), F.lit("|"), F.col(key).cast("string"))))
+    ranked = hashed.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key))).where(F.col("_r") <= max(sizes.values(), default=0))
     want = F.create_map(*(x for k, v in sizes.items() for x in (F.lit(k), F.lit(v))))
-    both = hashed.join(F.broadcast(counts), stratum).withColumn("_k", want[F.col(stratum)])  # counts: at most one row a size
-    share = F.least(F.lit(1.0), (F.col("_k") + 6 * F.sqrt("_k") + 20) / F.col("_n"))
-    near = both.where(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") <= share * F.lit(4294967296.0))
-    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key)))
-    short = F.when(F.col("_k") > F.col("_n"), F.raise_error(F.lit("a stratum is smaller than its sample")).cast("double"))
-    return ranked.where("_r <= _k").select(key, stratum, r9(F.coalesce(short, F.col("_n") / F.col("_k"))).alias("weight"))
+    both = ranked.join(F.broadcast(counts), stratum).withColumn("_k", want[F.col(stratum)])  # counts: at most one row a size
+    problem = F.when(F.col("_d") < F.col("_n"), F.raise_error(F.lit("keys are null or repeat"))).when(F.col("_k") > F.col("_n"), F.raise_error(F.lit("a stratum is smaller than its sample"))).cast("double")
+    return both.withColumn("_w", F.coalesce(problem, F.col("_n") / F.col("_k"))).where("_r <= _k AND _w IS NOT NULL").select(key, stratum, r9("_w").alias("weight"))
 
 
 def balanced_subset(rows: DataFrame, key: str, balance: list[str], cover: list[str], size: int, seed: int) -> DataFrame:

@@ -127,9 +127,9 @@ SELECT budget_n, round(coalesce(hits, 0) / nullif(coalesce(known, 0), 0), 9) AS
   CASE WHEN coalesce(total, 0) = 0 THEN 'no_scheduled_observations' WHEN coalesce(known, 0) = 0 THEN 'no_known_measurements' END AS note FROM (VALUES (1), (2), (4), (8), (16)) w(budget_n) LEFT JOIN t ON b = budget_n""",
     "poisoned_resource_sums": f"""WITH {SLOTS}, f AS (SELECT l_orderkey % 3 AS arm, 'elapsed' AS field, elapsed AS v FROM slots UNION ALL SELECT l_orderkey % 3, 'tax', l_tax FROM slots)
 SELECT arm, field, round(CASE WHEN count(v) = count(*) THEN sum(v) END, 6) AS value, count(v) AS known, count(*) AS total, count(*) - count(v) AS missing, CASE WHEN count(v) < count(*) THEN 'missing_observation' END AS note FROM f GROUP BY 1, 2""",
-    "paired_resource": f"""WITH {OUTCOMES}, {SLOTS}, s AS (SELECT l_orderkey, CASE WHEN count(elapsed) = count(*) THEN sum(elapsed) END AS v FROM slots GROUP BY 1), x AS (SELECT o.*, v FROM outcomes o JOIN s ON key = l_orderkey WHERE v IS NOT NULL),
+    "paired_resource": f"""WITH {OUTCOMES}, {SLOTS}, s AS (SELECT l_orderkey, CASE WHEN count(elapsed) = count(*) THEN sum(round(elapsed * 100000)::BIGINT)::BIGINT END AS v FROM slots GROUP BY 1), x AS (SELECT o.*, v FROM outcomes o JOIN s ON key = l_orderkey WHERE v IS NOT NULL),
 i AS (SELECT a.lineage_id, a.instance_id, avg(a.v - b.v) AS v FROM x a JOIN x b ON a.method = 'X' AND b.method = 'P' AND a.lineage_id = b.lineage_id AND a.instance_id = b.instance_id AND a.replicate = b.replicate GROUP BY 1, 2)
-SELECT 'X-P' AS contrast, lineage_id, round(avg(v), 4) AS effect, count(*) AS n FROM i GROUP BY 2""",
+SELECT 'X-P' AS contrast, lineage_id, round(round(avg(v), 9) / 100000, 7) AS effect, count(*) AS n FROM i GROUP BY 2""",
     "telemetry_by_phase": """SELECT event_type AS phase, count(*) AS n, round(sum(value), 6) AS cpu, round(max(value), 9) AS memory_peak, CASE WHEN count(tokens) = count(*) THEN sum(tokens) END AS tokens
 FROM (SELECT *, CASE WHEN event_type <> 'error' OR event_id % 2 = 0 THEN (event_id % 97)::DOUBLE END AS tokens FROM events) GROUP BY 1""",
     "agreement_kappa": """WITH m AS (SELECT quality AS l, toxic AS r FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), t AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (l = r) AS same FROM m),
@@ -141,13 +141,13 @@ SELECT a.v AS "left", b.v AS "right", count(m.l) AS n FROM k a CROSS JOIN k b LE
     "sign_test": f"WITH {EFFECTS}{SIGNS} SELECT contrast, wins, losses, ties, n, round(p, 9) AS p FROM p",
     "holm": f"""WITH {EFFECTS}{SIGNS}, q AS (SELECT contrast, round(p, 9) AS p FROM p), s AS (SELECT *, row_number() OVER (ORDER BY p, contrast) AS rn, count(*) OVER () AS m FROM q WHERE p IS NOT NULL)
 SELECT q.contrast, q.p, round(a.adjusted, 9) AS adjusted FROM q LEFT JOIN (SELECT contrast, max(least(1.0, (m - rn + 1) * p)) OVER (ORDER BY p, contrast ROWS UNBOUNDED PRECEDING) AS adjusted FROM s) a USING (contrast)""",
-    "bootstrap_ci": f"""WITH {EFFECTS}, x AS (SELECT contrast, effect, row_number() OVER (PARTITION BY contrast ORDER BY lineage_id) - 1 AS i, count(*) OVER (PARTITION BY contrast) AS c FROM e),
-d AS (SELECT s.contrast, d, avg(x.effect) AS m FROM (SELECT contrast, d, {DRAW.format(seed=11, draw='d', i='k', n='c')} AS i FROM (SELECT DISTINCT contrast, c FROM x), range(200) q(d), range(c) w(k)) s JOIN x ON x.contrast = s.contrast AND x.i = s.i GROUP BY 1, 2)
-SELECT d.contrast, round(max(p.point), 6) AS point, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM d JOIN (SELECT contrast, avg(effect) AS point FROM e GROUP BY 1) p USING (contrast) GROUP BY 1""",
+    "bootstrap_ci": f"""WITH {EFFECTS}, x AS (SELECT contrast, round(effect * 1e9)::BIGINT AS effect, row_number() OVER (PARTITION BY contrast ORDER BY lineage_id) - 1 AS i, count(*) OVER (PARTITION BY contrast) AS c FROM e),
+d AS (SELECT s.contrast, d, sum(x.effect)::DOUBLE / count(*) / 1e9 AS m FROM (SELECT contrast, d, {DRAW.format(seed=11, draw='d', i='k', n='c')} AS i FROM (SELECT DISTINCT contrast, c FROM x), range(200) q(d), range(c) w(k)) s JOIN x ON x.contrast = s.contrast AND x.i = s.i GROUP BY 1, 2)
+SELECT d.contrast, round(max(p.point), 6) AS point, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM d JOIN (SELECT contrast, sum(effect)::DOUBLE / count(*) / 1e9 AS point FROM x GROUP BY 1) p USING (contrast) GROUP BY 1""",
     "cluster_bootstrap": f"""WITH s AS (SELECT source, sum((quality = toxic)::INT)::DOUBLE AS s, count(*) AS c FROM labels JOIN documents USING (doc_id) GROUP BY 1), x AS (SELECT *, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS n FROM s),
 d AS (SELECT d, sum(x.s) / sum(x.c) AS m FROM (SELECT d, {DRAW.format(seed=5, draw='d', i='k', n='n')} AS i FROM (SELECT max(n) AS n FROM x), range(200) q(d), range(n) w(k)) z JOIN x ON x.i = z.i GROUP BY 1)
 SELECT count(*) AS draws, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM d""",
-    "leave_one_out": f"WITH {EFFECTS} SELECT contrast, lineage_id, round((sum(effect) OVER w - effect) / nullif(count(*) OVER w - 1, 0), 9) AS mean_of_others FROM e WINDOW w AS (PARTITION BY contrast)",
+    "leave_one_out": f"WITH {EFFECTS} SELECT contrast, lineage_id, (sum(u) OVER w - u)::DOUBLE / nullif(count(*) OVER w - 1, 0)::DOUBLE / 1e9 AS mean_of_others FROM (SELECT *, round(effect * 1e9)::BIGINT AS u FROM e) WINDOW w AS (PARTITION BY contrast)",
     "zero_event_bound": f"WITH {OUTCOMES} SELECT method, count(*) AS n, round(1 - pow(0.05, 1.0 / count(*)), 9) AS bound FROM outcomes WHERE ground_truth = 'negative' GROUP BY 1",
     "stratified_sample": """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('3|' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n, CASE lang WHEN 'en' THEN 20 WHEN 'de' THEN 10 WHEN 'fr' THEN 5 END AS k FROM documents WHERE lang IN ('en', 'de', 'fr'))
 SELECT doc_id, lang, round(n / k, 9) AS weight FROM r WHERE r <= k""",
@@ -193,7 +193,7 @@ SELECT l_orderkey, CASE WHEN x IS NOT NULL AND (h IS NULL OR x < h) THEN 'unknow
     SELECT depth + 1, list_concat(pending[1:i - 1], pending[i + 1:]), committed, list_append(delivered, pending[i]), log || CASE WHEN log = '' THEN '' ELSE ', ' END || 'deliver ' || pending[i], rank * 4 + 1 + i FROM s, (VALUES (1), (2)) v(i) WHERE depth < 4 AND len(pending) >= i)
 )
 SELECT depth, count(*) AS states, count(*) FILTER (list_contains(delivered, 2)) AS violations, arg_min(log, rank) FILTER (list_contains(delivered, 2)) AS witness FROM s GROUP BY 1""",
-    "import_closure": """WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey <= 400 AND p_partkey // 2 > 0), c AS (SELECT src, dst, 1 AS hops FROM e UNION SELECT c.src, e.dst, hops + 1 FROM c JOIN e ON c.dst = e.src)
+    "import_closure": """WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey // 2 > 0), c AS (SELECT src, dst, 1 AS hops FROM e UNION SELECT c.src, e.dst, hops + 1 FROM c JOIN e ON c.dst = e.src)
 SELECT src, dst, min(hops)::INT AS hops FROM c GROUP BY 1, 2""",
     "manifest_rules": """SELECT o_orderkey, 'negative_total' AS rule FROM orders WHERE o_totalprice < 1000 UNION ALL SELECT o_orderkey, 'open_and_urgent' FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'
 UNION ALL SELECT o_orderkey, 'old' FROM orders WHERE o_orderdate < TIMESTAMP '1993-01-01'""",
@@ -225,7 +225,7 @@ ORACLES |= {
 SELECT o_orderstatus AS status, CASE WHEN k IS NULL THEN 'terminal_missing' WHEN s <> o_orderstatus THEN 'status_differs' ELSE 'matched' END AS "check", count(*) AS n FROM orders LEFT JOIN e ON k = o_orderkey GROUP BY 1, 2""",
     "design_balance": """WITH f AS (SELECT c_mktsegment AS v, count(*) AS n FROM customer GROUP BY 1), w(v, n) AS (VALUES ('BUILDING', 10), ('MACHINERY', 0), ('absent', 3))
 SELECT coalesce(f.v, w.v) AS value, coalesce(w.n, 0)::BIGINT AS expected, coalesce(f.n, 0) AS found FROM f FULL JOIN w ON f.v = w.v WHERE coalesce(w.n, 0) <> coalesce(f.n, 0)""",
-    "registry_differences": """WITH r AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey <= 150)
+    "registry_differences": """WITH r AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer WHERE c_acctbal > 0)
 SELECT coalesce(s_suppkey, k) AS k, CASE WHEN k IS NULL THEN 'only_in_left' WHEN s_suppkey IS NULL THEN 'only_in_right' ELSE 'differs:nation' END AS problem FROM supplier FULL JOIN r ON k = s_suppkey WHERE k IS NULL OR s_suppkey IS NULL OR n <> s_nationkey""",
     "symbol_bindings": """WITH s AS (SELECT p_partkey AS id, 'n' || p_partkey % 97 AS name, ['bool', 'uint256', 'address', 'string'][p_partkey % 4 + 1] AS t FROM part), l AS (SELECT 'n' || s_suppkey AS label, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey END AS slot, (s_suppkey % 20 - 1)::INT AS o FROM supplier),
 j AS (SELECT *, CASE WHEN t = 'string' THEN 'unsupported_type' WHEN label IS NULL THEN 'layout_missing' WHEN slot IS NULL THEN 'slot_missing' WHEN o < 0 THEN 'bad_offset' WHEN o + CASE t WHEN 'bool' THEN 1 WHEN 'address' THEN 20 ELSE 32 END > 32 THEN 'packing_exceeds_slot' ELSE 'bound' END AS status FROM s LEFT JOIN l ON name = label)
@@ -245,9 +245,9 @@ ORACLES |= {
     "preflight_panel": """WITH t AS (SELECT (p_partkey % 6)::VARCHAR AS f, bool_and(p_size > 0 AND p_partkey % 35 <> 4) AS ok, count(*) AS n FROM part GROUP BY 1)
 SELECT w.f AS family, coalesce(n, 0) AS rows, CASE WHEN ok IS NULL THEN 'missing' WHEN ok THEN 'passed' ELSE 'failed' END AS status FROM (SELECT i::VARCHAR AS f FROM range(8) r(i)) w LEFT JOIN t ON t.f = w.f""",
     "admission_blockers": """SELECT c_custkey, 'lock_missing' AS blocker FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT c_custkey, 'review_missing' FROM customer WHERE NOT c_acctbal > 5000""",
-    "launch_guard": """SELECT count(*) AS unplanned, 'budget,review' AS closed_gates, false AS allowed FROM (SELECT DISTINCT o_custkey AS k FROM orders) WHERE k NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)""",
-    "resume_actions": """WITH r AS (SELECT ['transient_provider', 'worker_crash', 'operator_stop', 'budget_exhausted', 'odd'][o_orderkey % 5 + 1] AS kind, CASE WHEN o_orderkey % 7 <> 0 THEN 'v' || o_custkey % 2 END AS version FROM orders)
-SELECT kind, CASE WHEN version IS DISTINCT FROM 'v1' THEN 'blocked_version_drift' ELSE CASE kind WHEN 'transient_provider' THEN 'retry_same_slot' WHEN 'worker_crash' THEN 'recover_uncertain' WHEN 'operator_stop' THEN 'resume' WHEN 'budget_exhausted' THEN 'stop' ELSE 'review' END END AS action, count(*) AS n FROM r GROUP BY 1, 2""",
+    "launch_guard": """SELECT count(*) AS unplanned, 'budget,review' AS closed_gates, false AS allowed FROM (SELECT DISTINCT o_custkey AS k FROM orders) WHERE k NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > -500)""",
+    "resume_actions": """WITH r AS (SELECT ['worker_restart', 'lost_response', 'provider_outage', 'version_drift'][o_orderkey % 4 + 1] AS kind, CASE WHEN o_orderkey % 7 <> 0 THEN 'v' || o_custkey % 2 END AS version FROM orders)
+SELECT kind, CASE WHEN version IS DISTINCT FROM 'v1' OR kind = 'version_drift' THEN 'block' ELSE 'resume_same_attempt' END AS action, count(*) AS n FROM r GROUP BY 1, 2""",
     "timing_summary": """WITH f AS (SELECT l_returnflag, 'wall' AS field, CASE WHEN l_discount > 0 THEN l_extendedprice END AS v FROM lineitem UNION ALL SELECT l_returnflag, 'solver', l_quantity - CASE WHEN l_returnflag = 'A' THEN 10 ELSE 0 END FROM lineitem UNION ALL SELECT l_returnflag, 'queue', l_tax FROM lineitem)
 SELECT l_returnflag, field, round(CASE WHEN count(*) FILTER (v >= 0) = count(*) THEN sum(v) END, 6) AS value, count(*) FILTER (v >= 0) AS known, count(*) AS total, count(*) - count(*) FILTER (v >= 0) AS missing FROM f GROUP BY 1, 2""",
     "benchmark_rows": """SELECT substr(sha256(l || '|' || m || '|' || k), 1, 16) AS instance_id, l AS lineage_id, m AS mutation, k AS kind, substr(sha256(l || '|' || m || '|' || CASE k WHEN 'mutant' THEN 'control' ELSE 'mutant' END), 1, 16) AS paired_instance_id
@@ -255,3 +255,12 @@ FROM (VALUES ('l1'), ('l2'), ('l3')) a(l), (SELECT 'm' || i AS m FROM range(10)
     "power_table": """WITH g AS (SELECT n, rate, ceil(0.5 * n)::INT AS least FROM (VALUES (5), (10), (20), (40)) a(n), (VALUES (0.3::DOUBLE), (0.5), (0.7)) b(rate))
 SELECT n, rate, least, round(least(1.0, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(rate) + (n - k) * ln(1 - rate)))), 9) AS power FROM g, range(0, 41) r(k) WHERE k BETWEEN least AND n GROUP BY 1, 2, 3""",
 }
+
+ORACLES |= {
+    "predicate_wide": f"""WITH {SLOTS}, b AS (SELECT l_orderkey, slot_index, l_quantity::BIGINT AS q, CASE WHEN l_discount > 0 THEN round(l_discount * 100)::BIGINT END AS d FROM slots),
+r AS (SELECT l_orderkey, slot_index, q * xor(q, 5) >= 2048 AS a, d % 64 > 4 AS b, CASE WHEN q * xor(q, 5) >= 2048 AND d IS NULL THEN 'missing binding d' END AS error FROM b)
+SELECT l_orderkey, slot_index, CASE WHEN error IS NULL THEN a AND b END AS holds, error, CASE WHEN error IS NOT NULL THEN 'UNKNOWN' WHEN a AND b THEN 'PASS' ELSE 'FAIL' END AS verdict FROM r""",
+    "uint256_arith": """WITH k AS (SELECT o_orderkey, o_orderkey % 65536 AS top FROM orders)
+SELECT o_orderkey, lpad(lower(to_hex(top)), 4, '0') || repeat('0', 60) AS big, lpad(lower(to_hex(top)), 4, '0') || lpad(lower(to_hex(o_orderkey)), 60, '0') AS sum,
+  CASE WHEN top * o_orderkey < 65536 THEN lpad(lower(to_hex(top * o_orderkey)), 4, '0') || repeat('0', 60) END AS product, CASE WHEN top * o_orderkey >= 65536 THEN 'overflow' END AS error FROM k""",
+}

@@ -139,10 +139,11 @@ def poisoned_resource_sums(v: Views) -> DataFrame:
 
 @query
 def paired_resource(v: Views) -> DataFrame:
-    sums = v.slots().groupBy("l_orderkey").agg(C.poisoned_sum(F.col("elapsed")).alias("v"))
+    # hundred-thousandths are whole numbers here, so that sums don't depend on their order
+    sums = v.slots().groupBy("l_orderkey").agg(C.poisoned_sum(F.round(F.col("elapsed") * 100000).cast("long"), empty_is_zero=False).alias("v"))
     rows = v.facts().join(sums, F.col("key") == F.col("l_orderkey"))
     out = pairing.paired_effects(rows, CONTRASTS[:1], ["lineage_id", "instance_id", "replicate"], "v", "arm", [["lineage_id", "instance_id"], ["lineage_id"]])
-    return out.withColumn("effect", F.round("effect", 4))
+    return out.withColumn("effect", F.round(F.col("effect") / 100000, 7))
 
 
 @query
@@ -298,6 +299,19 @@ def predicate_eval(v: Views) -> DataFrame:
     return predicate.evaluate(rows, {"kind": "invariant", "body": body}, compiler, ["l_orderkey", "slot_index"])
 
 
+@query
+def predicate_wide(v: Views) -> DataFrame:
+    """q * 2^130 * (q bxor 5) >= 2^141 and (d shl 250) > 2^252: beyond any native integer."""
+    symbol = lambda s: {"kind": "symbol", "symbol_id": s, "state": "post"}
+    literal = lambda n: {"kind": "literal", "type": "uint256", "value": n}
+    binary = lambda o, a, b: {"kind": "binary", "operator": o, "left": a, "right": b}
+    product = binary("mul", binary("mul", symbol("q"), literal(1 << 130)), binary("bxor", symbol("q"), literal(5)))
+    body = binary("and", binary("ge", product, literal(1 << 141)), binary("gt", binary("shl", symbol("d"), literal(250)), literal(1 << 252)))
+    rows = v.slots().select("l_orderkey", "slot_index", F.col("l_quantity").cast("decimal(38,0)").alias("q"), F.when(F.col("l_discount") > 0, F.round(F.col("l_discount") * 100).cast("decimal(38,0)")).alias("d"))
+    compiler = predicate.Compiler({s: ("uint256", "source") for s in "qd"}, {(s, "post"): F.col(s) for s in "qd"})
+    return predicate.evaluate(rows, {"kind": "invariant", "body": body}, compiler, ["l_orderkey", "slot_index"])
+
+
 @query
 def uint256_arith(v: Views) -> DataFrame:
     key = uint256.from_long(F.col("o_orderkey"))
@@ -444,7 +458,7 @@ def design_balance(v: Views) -> DataFrame:
 @query
 def registry_differences(v: Views) -> DataFrame:
     left = v.table("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("nation"))
-    right = v.table("customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nation"))
+    right = v.table("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nation"))
     return campaigns.registry_differences(left, right, "k", ["nation"])
 
 
@@ -522,12 +536,12 @@ def admission_blockers(v: Views) -> DataFrame:
 @query
 def launch_guard(v: Views) -> DataFrame:
     asked = v.table("orders").select(F.col("o_custkey").alias("k")).distinct()
-    return readiness.launch_guard(asked, v.table("customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("k")), "k", {"protocol": True, "review": None, "budget": False})
+    return readiness.launch_guard(asked, v.table("customer").where("c_acctbal > -500").select(F.col("c_custkey").alias("k")), "k", {"protocol": True, "review": None, "budget": False})
 
 
 @query
 def resume_actions(v: Views) -> DataFrame:
-    kinds = F.element_at(F.array(*map(F.lit, ["transient_provider", "worker_crash", "operator_stop", "budget_exhausted", "odd"])), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    kinds = F.element_at(F.array(*map(F.lit, ["worker_restart", "lost_response", "provider_outage", "version_drift"])), (F.col("o_orderkey") % 4 + 1).cast("int"))
     rows = v.table("orders").select("o_orderkey", kinds.alias("kind"), F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("v"), F.col("o_custkey") % 2)).alias("version"))
     return readiness.resume_policy(rows, F.col("kind"), F.col("version"), "v1").groupBy("kind", "action").agg(F.count("*").alias("n"))
 

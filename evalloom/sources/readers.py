@@ -152,14 +152,14 @@ def tool_findings(rows: DataFrame, tool: str, payload: str, dialect: str = "json
 
 
 def test_summary(rows: DataFrame, payload: str) -> DataFrame:
-    """(total, passed, failed) of every test_results map anywhere in JSON text; none gives NULLs."""
+    """(total, passed, failed) of every test_results map anywhere in JSON text; results without a status don't count, and no results give NULLs."""
     def walk(v: object):
         if isinstance(v, dict):
-            for k, x in v.items():
-                if k == "test_results" and isinstance(x, dict):
-                    yield from (str(t.get("status", "")).lower() for t in x.values() if isinstance(t, dict))
-                else:
-                    yield from walk(x)
+            found = v.get("test_results")
+            if isinstance(found, dict):
+                yield from (t["status"].lower() for t in found.values() if isinstance(t, dict) and isinstance(t.get("status"), str))
+            for x in v.values():
+                yield from walk(x)
         elif isinstance(v, list):
             for x in v:
                 yield from walk(x)
@@ -168,7 +168,7 @@ def test_summary(rows: DataFrame, payload: str) -> DataFrame:
         out = []
         for t in texts:
             found = list(walk(json.loads(t)))
-            ok = sum(s in ("success", "passed") for s in found)
+            ok = sum(s in ("success", "passed", "pass") for s in found)
             out.append((len(found), ok, len(found) - ok) if found else (None, None, None))
         return pd.DataFrame(out, columns=["total", "passed", "failed"]).astype("Int64")
 

@@ -8,11 +8,12 @@ import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from evalloom.functions.canonical import canonical, sha256_hex
+from evalloom.functions.canonical import canonical, forbidden_key_paths, sha256_hex
 
 # Keys that name a method's identity.
-METHOD_KEYS = {"method", "arm", "backbone", "model", "model_tag", "provider", "config_hash", "prompt", "track"}
+METHOD_KEYS = {"method", "method_id", "track", "backbone", "model", "model_tag", "provider", "checkpoint", "served_weight_digest"}
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -62,11 +63,31 @@ def write_plan(plan: DataFrame, path: str) -> str:
     return folded.first()["h"]
 
 
-def blinded(findings: DataFrame, keep: list[str]) -> DataFrame:
-    """The allowed columns only; a column that names a method is refused."""
-    if bad := METHOD_KEYS & {c.lower() for c in keep}:
-        raise ValueError(f"columns that name a method: {sorted(bad)}")
-    return findings.select(*keep).withColumn("export_id", F.sha2(F.to_json(F.struct(*keep)), 256))
+def _field_names(kind: T.DataType) -> set[str]:
+    """The names of all nested fields of a type."""
+    if isinstance(kind, T.StructType):
+        return {f.name for f in kind} | {n for f in kind for n in _field_names(f.dataType)}
+    if isinstance(kind, T.ArrayType):
+        return _field_names(kind.elementType)
+    return _field_names(kind.keyType) | _field_names(kind.valueType) if isinstance(kind, T.MapType) else set()
+
+
+def blinded(findings: DataFrame, keep: list[str], json: tuple[str, ...] = ()) -> DataFrame:
+    """The allowed columns only. Columns, nested fields, map keys, and keys of the JSON columns that name a method are refused: the query fails.
+
+    Maps are looked at on their first level; deeper ones belong into JSON columns.
+    """
+    out = findings.select(*keep)
+    if bad := {n for n in _field_names(out.schema) if n.lower() in METHOD_KEYS}:
+        raise ValueError(f"fields that name a method: {sorted(bad)}")
+    named = F.array().cast("array<string>")
+    for c in json:
+        named = F.concat(named, F.coalesce(forbidden_key_paths(F.col(c), METHOD_KEYS), F.array().cast("array<string>")))
+    for f in out.schema:
+        if isinstance(f.dataType, T.MapType) and isinstance(f.dataType.keyType, T.StringType):
+            named = F.concat(named, F.coalesce(F.filter(F.map_keys(f.name), lambda k: F.lower(k).isin(sorted(METHOD_KEYS))), F.array().cast("array<string>")))
+    digest = F.sha2(F.to_json(F.struct(*keep)), 256)
+    return out.withColumn("export_id", F.when(F.size(named) > 0, F.raise_error(F.concat(F.lit("keys that name a method: "), F.array_join(named, ", "))).cast("string")).otherwise(digest))
 
 
 def bar_svg(values: dict[str, float], title: str, width: int = 480, row: int = 22) -> str:
