@@ -264,3 +264,60 @@ SELECT l_orderkey, slot_index, CASE WHEN error IS NULL THEN a AND b END AS holds
 SELECT o_orderkey, lpad(lower(to_hex(top)), 4, '0') || repeat('0', 60) AS big, lpad(lower(to_hex(top)), 4, '0') || lpad(lower(to_hex(o_orderkey)), 60, '0') AS sum,
   CASE WHEN top * o_orderkey < 65536 THEN lpad(lower(to_hex(top * o_orderkey)), 4, '0') || repeat('0', 60) END AS product, CASE WHEN top * o_orderkey >= 65536 THEN 'overflow' END AS error FROM k""",
 }
+
+RESPONSES = """
+a AS (
+  SELECT user_id AS attempt_id, event_id AS slot, event_id % 29 = 0 AND event_type <> 'error' AS other, event_type = 'error' AS failed, event_id % 23 = 0 AS part, event_id % 13 = 0 AS blank, event_id % 17 = 0 AS junk, event_id % 19 = 0 AS abstain, 'n' || event_id % 7 AS id,
+    CASE WHEN event_id % 50 > 45 THEN 'input_cap_exceeded' WHEN event_id % 31 > 28 THEN 'output_cap_exceeded' END AS over FROM events
+), b AS (
+  SELECT *, CASE WHEN other OR failed THEN 'provider_failure' WHEN part THEN 'truncated' WHEN blank THEN 'refusal' WHEN junk THEN 'invalid' WHEN abstain THEN 'abstain' ELSE 'candidate' END AS s,
+    CASE WHEN other THEN 'response_model_mismatch' WHEN failed THEN 'http_500' WHEN part THEN 'provider_response_partial' WHEN blank THEN 'empty_response' WHEN junk THEN 'response_not_json' WHEN abstain THEN 'none' END AS r FROM a
+), c AS (
+  SELECT *, s = 'candidate' AND coalesce(slot > min(slot) FILTER (s = 'candidate' AND over IS NULL) OVER (PARTITION BY attempt_id, CASE WHEN s = 'candidate' THEN id END), false) AS again FROM b
+), m AS (
+  SELECT attempt_id, slot, CASE WHEN again THEN 'duplicate' WHEN over IS NOT NULL AND s <> 'provider_failure' THEN 'invalid' ELSE s END AS status,
+    CASE WHEN again THEN 'duplicate_candidate' WHEN over IS NOT NULL AND s <> 'provider_failure' THEN over ELSE r END AS reason, id FROM c
+), run AS (SELECT attempt_id, slot, status, reason, CASE WHEN status IN ('candidate', 'duplicate') THEN id END AS identity FROM m)"""
+
+ORACLES |= {
+    "method_run": f"WITH {RESPONSES} SELECT * FROM run",
+    "unique_candidates": f"WITH {RESPONSES} SELECT attempt_id, count(DISTINCT identity) AS unique_candidates, count(*) FILTER (status = 'candidate') AS candidates, count(*) FILTER (status = 'duplicate') AS duplicates, count(*) AS slots FROM run GROUP BY 1",
+    "slot_ledger": """WITH s AS (SELECT l_orderkey, l_linenumber - 1 AS slot, l_partkey AS k, CASE WHEN l_partkey % 11 = 0 THEN 'pending' WHEN l_returnflag = 'A' THEN 'candidate' WHEN l_partkey % 5 = 0 THEN 'odd' ELSE 'abstain' END AS status, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem),
+e AS (SELECT l_orderkey, slot, unnest([CASE WHEN slot < 0 OR slot >= 5 THEN 'out_of_bounds' END, CASE WHEN status = 'odd' THEN 'unknown_status' END, CASE WHEN status = 'pending' THEN 'not_terminal' END, CASE WHEN n > 1 THEN 'several_records' END,
+  CASE WHEN status = 'candidate' AND k % 3 = 0 THEN 'candidate_without_payload' END, CASE WHEN status <> 'candidate' AND k % 3 <> 0 THEN 'payload_without_candidate' END, CASE WHEN (k % 4 = 0 OR k % 9 = 0) AND status <> 'candidate' THEN 'hash_without_candidate' END, CASE WHEN k % 4 <> 0 AND k % 9 = 0 THEN 'malformed_hash' END]) AS error FROM s)
+SELECT DISTINCT l_orderkey, slot, error FROM e WHERE error IS NOT NULL""",
+    "missing_slots": """SELECT o_orderkey AS l_orderkey, i::INT AS slot FROM orders, range(4) r(i) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber - 1 = i AND l_returnflag <> 'R')""",
+    "version_block": """WITH r AS (SELECT CASE WHEN o_orderkey % 5 <> 0 THEN 'h' || o_orderkey % 3 END AS h, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 2 = 0 END AS ok, CASE WHEN o_orderkey % 11 = 0 THEN 'approved' END AS d FROM orders)
+SELECT CASE WHEN d IS NOT NULL THEN 'deviation' WHEN h IS DISTINCT FROM 'h1' OR ok IS DISTINCT FROM true THEN 'blocked' ELSE 'passed' END AS status,
+  CASE WHEN d IS NOT NULL THEN d WHEN h IS DISTINCT FROM 'h1' THEN 'version identity drift; explicit deviation required' WHEN ok IS DISTINCT FROM true THEN 'canary panel failed' END AS reason, count(*) AS n FROM r GROUP BY 1, 2""",
+    "status_errors": """WITH r AS (SELECT o_orderkey, o_custkey % 7 = 0 AS v, CASE WHEN o_custkey % 9 <> 0 THEN o_orderstatus END AS c, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS s FROM orders)
+SELECT * FROM (SELECT o_orderkey, unnest([CASE WHEN v THEN 'unsupported status_mapping_version' END, CASE WHEN c IS NULL OR c NOT IN ('F', 'O') THEN 'invalid campaign_status: ' || coalesce(c, 'none') END, CASE WHEN s NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'invalid search_status: ' || s END]) AS error FROM r) WHERE error IS NOT NULL""",
+    "parity": """WITH t AS (SELECT l_partkey, l_returnflag AS f, CASE WHEN l_partkey % 6 = 0 AND l_returnflag = 'A' THEN 'partial' ELSE 'done' END AS status, 's' || l_suppkey % 2 || ':' || CASE WHEN l_quantity > 25 THEN 'high' ELSE 'low' END AS x, l_orderkey * 10 + l_linenumber AS o FROM lineitem WHERE l_returnflag <> 'N'),
+g AS (SELECT l_partkey, f, max(status) AS status, list(x ORDER BY o, x) AS found FROM t GROUP BY 1, 2), j AS (SELECT coalesce(a.l_partkey, b.l_partkey) AS l_partkey, a.status AS s, b.status AS u, a.found AS p, b.found AS q FROM (SELECT * FROM g WHERE f = 'A') a FULL JOIN (SELECT * FROM g WHERE f = 'R') b ON a.l_partkey = b.l_partkey),
+d AS (SELECT l_partkey, concat_ws(',', CASE WHEN s IS DISTINCT FROM u THEN 'status:' || coalesce(s, 'none') || '!=' || coalesce(u, 'none') END, CASE WHEN p IS DISTINCT FROM q THEN 'finding_ids_or_categories_differ' END) AS differences FROM j)
+SELECT l_partkey, differences = '' AS equal, differences FROM d""",
+    "worker_isolation": """WITH c AS (SELECT c_custkey AS k FROM customer), r AS (
+  SELECT k, 'mount' AS operation, CASE WHEN k % 7 = 0 THEN 'private gold mount is forbidden' WHEN k % 3 = 0 THEN 'writable bind mount is forbidden' WHEN k % 5 = 0 THEN 'model-weight/cache mount is forbidden' END AS reason FROM c
+  UNION ALL SELECT k, 'evm_broadcast', CASE WHEN k % 10 = 0 THEN 'execution must not broadcast' END FROM c
+  UNION ALL SELECT k, 'network', CASE k % 4 WHEN 1 THEN 'endpoint must be an HTTP(S) URL' WHEN 2 THEN 'endpoint is outside provider allowlist' END FROM c WHERE k % 4 <> 3)
+SELECT k AS c_custkey, operation, CASE WHEN reason IS NULL THEN 'allowed' ELSE 'blocked' END AS status, reason FROM r""",
+    "support_admits": """WITH q AS (SELECT DISTINCT l_orderkey, l_suppkey % 30 AS c, l_returnflag FROM lineitem)
+SELECT l_orderkey, bool_and(c < 25 AND c % 9 <> 0) AS admitted, count(*) FILTER (c >= 25) AS unknown FROM q GROUP BY 1""",
+    "artifact_status": """WITH c AS (SELECT p_partkey % 40 AS lineage, sum(p_size)::BIGINT AS functions, count(*) FILTER (p_size > 10) AS events, 2 * count(*) AS slots FROM part GROUP BY 1), b AS (SELECT s_suppkey % 53 AS lineage, bool_or(s_suppkey % 8 = 0) AS short FROM supplier GROUP BY 1)
+SELECT c.*, CASE WHEN short IS NULL THEN 'Missing' WHEN short THEN 'Incomplete (empty/placeholder)' ELSE 'Non-empty (unverified)' END AS bytecode FROM c LEFT JOIN b ON b.lineage = c.lineage""",
+    "batch_report": """SELECT 'runs' AS part, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'events', event_type, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'telemetry', l_linestatus, count(*) FROM lineitem GROUP BY 2""",
+    "ablation_plan": """WITH s(study, study_id, factor, treatment, control, diagnostic) AS (VALUES (0, 'learned-vs-t0', 'proposer', 'learned', 't0', false), (1, 'primitive-vs-generic-typed-core', 'property_representation', 'primitive', 'generic', false), (2, 'grounding-early-vs-deferred', 'grounding_timing', 'early', 'deferred', false),
+  (3, 'replay-on-vs-off', 'replay_filter', 'replay-on', 'replay-off', false), (4, 'adversarial-channel-vs-fifo', 'channel_mode', 'adversarial', 'fifo', false), (5, 'gold-diagnostic-after-primary-freeze', 'property_source', 'automatic', 'gold', true))
+SELECT study, study_id, factor, diagnostic, 0 AS side, treatment AS arm FROM s UNION ALL SELECT study, study_id, factor, diagnostic, 1, control FROM s""",
+    "campaign_envelope": f"""WITH {OUTCOMES}, {SLOTS}, t AS (SELECT l_orderkey, count(*)::INT AS n, string_agg(identity::VARCHAR, ',' ORDER BY slot_index) AS identities, CASE WHEN count(elapsed) = count(*) THEN 'available' ELSE 'unavailable' END AS timing, round(CASE WHEN count(elapsed) = count(*) THEN sum(elapsed) END, 6) AS seconds FROM slots GROUP BY 1)
+SELECT key AS l_orderkey, method, coalesce(n, 0) AS n, identities, timing, seconds FROM outcomes LEFT JOIN t ON t.l_orderkey = key""",
+    "adjudication_reconcile": """WITH l AS (SELECT 'f' || doc_id AS finding_id, doc_id AS k, quality::VARCHAR AS q, toxic::VARCHAR AS t FROM labels), e AS (
+  SELECT *, CASE WHEN k % 13 = 0 THEN 'unknown_finding' WHEN k % 7 = 0 THEN 'exactly_two_labels' WHEN k % 11 = 0 THEN 'same_rater' WHEN k % 10 = 5 THEN 'adjudicator_is_rater' END AS error FROM l)
+SELECT finding_id, CASE WHEN error IS NULL THEN CASE WHEN q = t THEN q ELSE 'unresolved' END END AS status, CASE WHEN error IS NULL AND q <> t THEN 'timeout_or_unsupported' WHEN error IS NULL AND k % 4 = 0 THEN 'late' END AS first_failure,
+  CASE WHEN error IS NULL THEN true END AS role_overlap, error FROM e""",
+    "requirement_mappings": """WITH m AS (SELECT l_partkey * 3 AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
+SELECT 'f' || k AS finding_id, CASE WHEN p_partkey IS NULL THEN 'unknown_finding' ELSE 'several_mappings' END AS error FROM m LEFT JOIN part ON p_partkey = k WHERE p_partkey IS NULL OR n > 1""",
+    "adjudication_templates": """SELECT n_name AS instance_id, n_regionkey AS lineage_id, 'template_pending_independent_review' AS record_status, sha256('{"cohort":"dev","instance_id":"' || n_name || '","lineage_id":' || n_regionkey || ',"property_family":null}') AS source_manifest_row_hash, 0 AS labels, 'independent_rater_1,independent_rater_2,third_adjudicator' AS reviewer_roles FROM nation""",
+    "distinct_findings": """WITH f AS (SELECT l_orderkey || ':' || l_linenumber AS finding_id, l_partkey AS instance_id, CASE WHEN l_suppkey % 3 <> 0 THEN 'c' || l_suppkey % 4 END AS root_cause_id, l_orderkey * 10 + l_linenumber AS o FROM lineitem)
+SELECT instance_id, coalesce(root_cause_id, finding_id) AS cause, arg_min(finding_id, o) AS finding_id FROM f GROUP BY 1, 2""",
+}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evalloom.functions import columns as C
 from evalloom.functions import predicate, uint256
-from evalloom.operators import bindings, campaigns, endpoints, events, inference, pairing, planning, quality, readiness, scheduler, search, selection
+from evalloom.operators import adjudication, bindings, campaigns, endpoints, events, inference, methods, pairing, planning, quality, readiness, scheduler, search, selection
 from evalloom.plans.views import Views
 
 CONTRASTS = [("X", "P"), ("X", "T0")]
@@ -560,3 +560,134 @@ def benchmark_rows(v: Views) -> DataFrame:
 @query
 def power_table(v: Views) -> DataFrame:
     return readiness.power_table(v.spark, [5, 10, 20, 40], [0.3, 0.5, 0.7], 0.5)
+
+
+def _responses(v: Views) -> DataFrame:
+    """Events as archived responses: a user's events in order are the slots of an attempt."""
+    e, i = v.table("events"), F.col("event_id")
+    text = F.when(i % 13 == 0, "  ").when(i % 17 == 0, "no json").when(i % 19 == 0, '{"abstain": true, "reason": "none"}').otherwise(F.concat(F.lit('{"kind": "invariant", "n": '), (i % 7).cast("string"), F.lit("}")))
+    return e.select(
+        F.col("user_id").alias("attempt_id"), F.col("event_id").alias("slot"), F.when(F.col("event_type") == "error", "http_500").alias("error"), (i % 23 == 0).alias("partial"), text.alias("text"),
+        F.when(i % 29 == 0, "other").otherwise("m1").alias("response_model"), (i % 50).alias("tokens_in"), (i % 31).alias("tokens_out"),
+    )
+
+
+def _method_slots(v: Views) -> DataFrame:
+    n = F.get_json_object("text", "$.n")
+    return methods.run(_responses(v), "attempt_id", "slot", F.when(n.isNotNull(), F.concat(F.lit("n"), n)), 45, 28, model="m1")
+
+
+@query
+def method_run(v: Views) -> DataFrame:
+    return _method_slots(v)
+
+
+@query
+def unique_candidates(v: Views) -> DataFrame:
+    return methods.unique_candidates(_method_slots(v), "attempt_id")
+
+
+@query
+def slot_ledger(v: Views) -> DataFrame:
+    """Lines as slot records, with repeated, unfinished and contradictory ones."""
+    k = F.col("l_partkey")
+    status = F.when(k % 11 == 0, "pending").when(F.col("l_returnflag") == "A", "candidate").when(k % 5 == 0, "odd").otherwise("abstain")
+    rows = v.table("lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("slot"), status.alias("status"), F.when(k % 3 != 0, k).alias("candidate"), F.when(k % 4 == 0, F.sha2(k.cast("string"), 256)).when(k % 9 == 0, "zz").alias("canonical_ast_hash"))
+    return methods.slot_errors(rows, "l_orderkey", "slot", 5)
+
+
+@query
+def missing_slots(v: Views) -> DataFrame:
+    slots = v.table("lineitem").where("l_returnflag <> 'R'").select("l_orderkey", (F.col("l_linenumber") - 1).alias("slot"))
+    return methods.missing_slots(slots, v.table("orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "slot", 4)
+
+
+@query
+def version_block(v: Views) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = v.table("orders").select("o_orderkey", F.when(k % 5 != 0, F.concat(F.lit("h"), (k % 3).cast("string"))).alias("identity_hash"), F.when(k % 4 != 0, k % 2 == 0).alias("canary_passed"), F.when(k % 11 == 0, "approved").alias("deviation"))
+    return methods.version_block(rows, "h1").groupBy("status", "reason").agg(F.count("*").alias("n"))
+
+
+@query
+def status_errors(v: Views) -> DataFrame:
+    rows = v.table("orders").select("o_orderkey", F.when(F.col("o_custkey") % 7 != 0, F.lit(1)).otherwise(2).alias("status_mapping_version"), F.when(F.col("o_custkey") % 9 != 0, F.col("o_orderstatus")).alias("campaign_status"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("search_status"))
+    return methods.status_errors(rows, "o_orderkey", {"campaign_status": ["F", "O"], "search_status": ["1-URGENT", "2-HIGH", "3-MEDIUM"]})
+
+
+@query
+def parity(v: Views) -> DataFrame:
+    """The lines of two return flags as the findings of a reference and an adapted run, by part."""
+    rows = v.table("lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag", F.concat(F.lit("s"), F.col("l_suppkey") % 2).alias("finding_id"), F.when(F.col("l_quantity") > 25, "high").otherwise("low").alias("category"), F.when(F.col("l_partkey") % 6 == 0, "partial").otherwise("done").alias("status"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
+    return methods.parity(rows.where("l_returnflag = 'A'"), rows.where("l_returnflag = 'R'").withColumn("status", F.lit("done")), "l_partkey", "o")
+
+
+@query
+def worker_isolation(v: Views) -> DataFrame:
+    k = F.col("c_custkey")
+    mount = lambda source, kind, ro: F.struct(source.alias("source"), F.lit("/mnt/x").alias("target"), kind.alias("sensitivity"), ro.alias("read_only"))
+    mounts = F.array(mount(F.lit("/data/pack"), F.lit("public_artifact"), F.lit(True)), mount(F.when(k % 5 == 0, "C:\\Users\\Models").otherwise("/data/raw"), F.when(k % 7 == 0, "private_gold").otherwise("controlled_raw"), k % 3 != 0))
+    endpoint = F.when(k % 4 == 0, "https://Provider.example/v1").when(k % 4 == 1, "ftp://provider.example").when(k % 4 == 2, "http://user@other.example:80/x")
+    return methods.isolation(v.table("customer").select("c_custkey", mounts.alias("mounts"), (k % 10 == 0).alias("broadcast"), endpoint.alias("endpoint")), "c_custkey", ["provider.example"])
+
+
+@query
+def support_admits(v: Views) -> DataFrame:
+    """Suppliers of an order as required features, nations as categories of a support matrix."""
+    required = v.table("lineitem").select("l_orderkey", (F.col("l_suppkey") % 30).alias("category"), F.col("l_returnflag").alias("feature")).distinct()
+    support = v.table("nation").select(F.col("n_nationkey").alias("category"), F.explode(F.array(*map(F.lit, "ANR"))).alias("feature")).withColumn("status", F.when(F.col("category") % 9 == 0, "unsupported").when(F.col("category") % 2 == 0, "conditional").otherwise("supported"))
+    return methods.admits(required, support, "l_orderkey")
+
+
+@query
+def artifact_status(v: Views) -> DataFrame:
+    contracts = v.table("part").select((F.col("p_partkey") % 40).alias("lineage"), F.col("p_size").alias("functions"), F.when(F.col("p_size") > 10, 1).alias("events"), F.lit(2).alias("slots"))
+    code = v.table("supplier").select((F.col("s_suppkey") % 53).alias("lineage"), F.when(F.col("s_suppkey") % 8 == 0, "0x").otherwise("0x6000").alias("hex"))
+    return methods.artifact_status(contracts, code, "lineage")
+
+
+@query
+def batch_report(v: Views) -> DataFrame:
+    runs = v.table("orders").select(F.col("o_orderstatus").alias("status"))
+    return methods.batch_report(runs, v.table("events"), v.table("lineitem").select(F.col("l_linestatus").alias("phase")))
+
+
+@query
+def ablation_plan(v: Views) -> DataFrame:
+    return methods.ablation_plan(v.spark)
+
+
+@query
+def campaign_envelope(v: Views) -> DataFrame:
+    """Campaigns with nested outcomes, read back as counts, the order of slots and the timing."""
+    nested = methods.envelope(v.outcomes().select(F.col("key").alias("l_orderkey"), "method"), v.slots().select("l_orderkey", "slot_index", "identity", "elapsed"), "l_orderkey", "slot_index")
+    return nested.select("l_orderkey", "method", F.coalesce(F.size("outcomes"), F.lit(0)).alias("n"), F.array_join(F.transform("outcomes", lambda o: o["identity"]), ",").alias("identities"), F.col("timing.status").alias("timing"), F.round("timing.seconds", 6).alias("seconds"))
+
+
+@query
+def adjudication_reconcile(v: Views) -> DataFrame:
+    """Labels of documents as those of two raters; some findings have one label, one rater, or a rater who adjudicates."""
+    base = v.table("labels").select(F.concat(F.lit("f"), F.col("doc_id")).alias("finding_id"), "doc_id", "quality", "toxic")
+    label = lambda rater, status, failure: F.struct(rater.alias("rater_id"), F.lit("rater").alias("role"), status.cast("string").alias("status"), failure.alias("first_failure"))
+    k = F.col("doc_id")
+    one, two = label(F.lit("r1"), F.col("quality"), F.lit(None).cast("string")), label(F.when(k % 11 == 0, "r1").otherwise("r2"), F.col("toxic"), F.when(k % 4 == 0, "late"))
+    labels = base.select("finding_id", F.inline(F.when(k % 7 == 0, F.array(one)).otherwise(F.array(one, two))))
+    return adjudication.reconcile(base.where(k % 13 != 0), labels, F.when(F.col("finding_id").endswith("5"), "r2").otherwise("r3"))
+
+
+@query
+def requirement_mappings(v: Views) -> DataFrame:
+    mappings = v.table("lineitem").select(F.concat(F.lit("f"), F.col("l_partkey") * 3).alias("finding_id")).where("l_returnflag = 'A'")
+    return adjudication.mapping_errors(mappings, v.table("part").select(F.concat(F.lit("f"), F.col("p_partkey")).alias("finding_id")))
+
+
+@query
+def adjudication_templates(v: Views) -> DataFrame:
+    rows = v.table("nation").select(F.col("n_name").alias("instance_id"), F.col("n_regionkey").alias("lineage_id"), F.lit(None).cast("string").alias("property_family"), F.lit("dev").alias("cohort"))
+    return adjudication.templates(rows).select("instance_id", "lineage_id", "record_status", "source_manifest_row_hash", F.size("labels").alias("labels"), F.array_join("reviewer_roles", ",").alias("reviewer_roles"))
+
+
+@query
+def distinct_findings(v: Views) -> DataFrame:
+    rows = v.table("lineitem").select(F.concat("l_orderkey", F.lit(":"), "l_linenumber").alias("finding_id"), F.col("l_partkey").alias("instance_id"), F.when(F.col("l_suppkey") % 3 != 0, F.concat(F.lit("c"), F.col("l_suppkey") % 4)).alias("root_cause_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
+    return adjudication.distinct_findings(rows, "o")

@@ -427,3 +427,55 @@ def test_prefix_sums_and_ranks(spark):
     assert got == {(k, i): i * (i + 1) // 2 for k in ("a", None) for i in range(50)}
     ranks = global_index(df.where("k = 'a'").repartition(7), ["i"], "n").collect()
     assert all(r["n"] == r["i"] for r in ranks) and len(ranks) == 50
+
+
+def test_reports_are_reproducible(spark, tmp_path):
+    """The analysis of an outcome file and the paired report by prefix: equal inputs give equal bundles, wrong ones are refused."""
+    from evalloom.plans import report
+
+    one = [{"campaign_id": f"c{i}", "instance_id": f"i{i // 2}", "lineage_id": f"l{i % 3}", "method": "XP"[i % 2], "replicate": 1, "ground_truth": "positive", "detected": i % 4 < 2, "claim_emitted": True, "correct_claim": i % 3 > 0} for i in range(24)]
+    (tmp_path / "o.jsonl").write_text("\n".join(json.dumps(r) for r in one))
+    rows = readers.outcomes(spark, str(tmp_path / "o.jsonl"))
+    a = report.analysis(rows, str(tmp_path / "a"), [("X", "P")], draws=50)
+    b = report.analysis(rows.orderBy(F.desc("campaign_id")), str(tmp_path / "b"), [("X", "P")], draws=50, expected_input_hash=a["report"]["input_hash"])
+    assert a == b and report.valid(a["report"]) and not report.valid({**a["report"], "seed": 1}) and set(a["report"]["tables"]) == {"endpoints", "false_discovery", "restricted_time", "denominators", "effects", "contrasts"}
+    assert (tmp_path / "a" / "manifest.json").read_bytes() == (tmp_path / "b" / "manifest.json").read_bytes()
+    for wrong in ({"expected_input_hash": "0"}, {"comparisons": [("X", "Z")]}, {"comparisons": [("X", "X")]}):
+        with pytest.raises(ValueError):
+            report.analysis(rows, str(tmp_path / "c"), **wrong)
+    tagged = rows.withColumn("model_tag", F.when(F.col("method") == "X", "m1").otherwise("m2")).withColumn("first_verified", F.lit(1))
+    with pytest.raises(ValueError, match="several model tags"):
+        report.paired(tagged, str(tmp_path / "p"), prefixes=(1,))
+    with pytest.raises(ValueError, match="no campaign"):
+        report.paired(tagged, str(tmp_path / "p"), prefixes=(1,), model_tag="m9")
+    with pytest.raises(ValueError, match="positive"):
+        report.paired(tagged, str(tmp_path / "p"), prefixes=(0,), model_tag="m1")
+    out = report.paired(tagged.withColumn("model_tag", F.lit("m1")), str(tmp_path / "p"), prefixes=(1, 2, 1), draws=20, model_tag="m1")
+    assert out["prefixes"] == [1, 2] and report.valid(out) and (tmp_path / "p" / "prefix-2" / "analysis.json").exists()
+
+
+def test_ledgers_and_small_functions(spark):
+    from evalloom.operators import adjudication, methods
+
+    finding = {"finding_id": "f1", "instance_id": "i", "claim": {"x": 1}, "evidence_hash": None, "raw_claim_hash": None, "root_cause_id": None}
+    text = adjudication.write_ledger({"findings": [finding], "requirement_mappings": [{"finding_id": "f1", "requirement_id": "r", "status": "mapped", "reviewer_id": "a", "reason": None, "created_at": None}]})
+    read = adjudication.read_ledger(spark, text)
+    assert read["findings"].first()["claim"] == '{"x": 1}' and read["labels"].count() == 0 and len(adjudication.export_id(read["findings"], ["finding_id", "claim"])) == 64
+    body = json.loads(text)
+    named = {**finding, "claim": {"a": [{"Track": 1}]}}
+    mapping = {"finding_id": "f2", "requirement_id": "r", "status": "mapped", "reviewer_id": "a", "reason": None, "created_at": None}
+    for bad, why in [({**body, "ledger_hash": "0"}, "hash"), (json.loads(adjudication.write_ledger({"findings": [named]})), "name a method"), (json.loads(adjudication.write_ledger({"findings": [finding], "requirement_mappings": [mapping]})), "unknown_finding")]:
+        with pytest.raises(ValueError, match=why):
+            adjudication.read_ledger(spark, json.dumps(bad))
+    own = {"body": {"b": 1, "a": "x"}}
+    good = json.dumps({**own, "canonical_hash": canonical.sha256_hex(own["body"])})
+    forged = json.dumps({**own, "canonical_hash": "0" * 64})
+    got = [r["i"] for r in spark.createDataFrame([(good,), (forged,), ('{"a": 1}',)], "t string").select(methods.identity(F.col("t")).alias("i")).collect()]
+    assert got[0]["hash"] == got[0]["semantic"] == canonical.sha256_hex(own["body"]) and got[1]["semantic"] is None and got[1]["hash"] == canonical.sha256_hex(json.loads(forged)) and got[2]["hash"] == canonical.sha256_hex({"a": 1})
+    df = spark.createDataFrame([(["b", "", "a", "b"], [4, 1, 4], "pack", "6BA7B810-9dad-11d1-80b4-00c04fd430c8")], "s array<string>, p array<int>, k string, u string")
+    r = df.select(methods.distinct_strings(F.col("s")).alias("s"), methods.prefixes(F.col("p")).alias("p"), methods.missing_capabilities(F.col("s"), F.array(F.lit("a"))).alias("m"), methods.render("x {artifact_pack} y", F.col("k")).alias("r"), methods.is_uuid(F.col("u")).alias("u"), methods.is_uuid(F.col("k")).alias("n")).first()
+    assert (r["s"], r["p"], r["m"], r["r"]["prompt"], r["u"], r["n"]) == (["a", "b"], [4, 1], ["", "b"], "x pack y", True, False)
+    with pytest.raises(Exception, match="positive"):
+        df.select(methods.prefixes(F.array(F.lit(0)))).collect()
+    with pytest.raises(ValueError):
+        methods.render("none", F.col("k"))
