@@ -40,11 +40,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or a new local one where it is unset and the session is local (tests)."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _LOCAL_SHARED:
         _LOCAL_SHARED[app] = tempfile.mkdtemp(prefix="evalloom-shared-")
     return _LOCAL_SHARED[app]
@@ -105,7 +107,7 @@ def size_hint(df: DataFrame) -> int:
     return total
 
 
-def slices(df: DataFrame, bytes_each: int, least: int = 256, most: int = 1 << 20) -> int:
+def slices(df: DataFrame, bytes_each: int, least: int = 256, most: int = 1 << 22) -> int:
     """A power of two of hash slices, in proportion to the input."""
     n = least
     while n < most and n * bytes_each < size_hint(df):
