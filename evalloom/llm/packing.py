@@ -1,6 +1,6 @@
 """Packing: deficit round-robin over source queues.
 
-Texts are tokenized once into a written table. Shards take documents by hash of the id; in a shard every source is a queue. Each round adds a source's
+Texts are tokenized once into a written table. Shards take rows by hash of their number, so ids that repeat or are null make no hot shard; in a shard every source is a queue. Each round adds a source's
 target share of one window to its deficit and serves packets (whole documents, or PACKET ids of longer ones) while the deficit covers
 them; what isn't served is carried to the next window. Between shards deficits carry in closed form: target share times all tokens of the earlier
 shards, less the source's own tokens there. The stream is cut into full windows; the rest of a shard goes to windows of powers of two, so nothing is padded.
@@ -167,7 +167,7 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer: st
     light = coded.select("uid", "doc_id", "source", "n")
     total = light.agg(F.sum("n")).first()[0] or 0
     shards = max(1, round(total / SHARD_TOKENS))
-    light = light.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    light = light.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
 
     cells = light.groupBy("shard", "source").agg(F.sum("n").alias("t"))
     whole = cells.groupBy("source").agg(F.sum("t").alias("all"))

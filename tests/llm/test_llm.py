@@ -350,6 +350,25 @@ def test_packing_in_shards(spark, docs, data, monkeypatch):
     check_packing(packing.pack(docs, targets={"s0": 0.5, "s2": 0.5}).collect(), data, packing.default_tokenizer())
 
 
+def test_windows_hold_the_target_proportions(spark, monkeypatch):
+    """Sources of very different sizes of documents, null and repeated ids: the token shares of windows, over several shards."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 40_000)
+    rng = random.Random(13)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta"])
+    rows = [(None if i % 3 else 5, " ".join(word() for _ in range({"a": 40, "b": 900, "c": 3000}[s])), "en", s, 1) for s, n in (("a", 1500), ("b", 60), ("c", 10)) for i in range(n)]
+    got = packing.pack(spark.createDataFrame(rows, DOCS).repartition(5)).select("sequence_id", "source", "length").collect()
+    whole, windows = Counter(), {}
+    for r in got:
+        whole[r["source"]] += r["length"]
+        windows.setdefault(r["sequence_id"], Counter())[r["source"]] += r["length"]
+    total = sum(whole.values())
+    full = [w for w in windows.values() if sum(w.values()) == packing.WINDOW]
+    assert len({s >> 32 for s in windows}) > 2 and len(full) * packing.WINDOW > 0.9 * total
+    for s in whole:  # a window misses its share by no more than the packets that straddle its ends and the rests of sources
+        off = [abs(w[s] / packing.WINDOW - whole[s] / total) for w in full]
+        assert sum(off) / len(off) < packing.PACKET / packing.WINDOW and abs(sum(w[s] for w in full) / (len(full) * packing.WINDOW) - whole[s] / total) < 0.03
+
+
 def test_round_robin_keeps_proportions():
     from collections import deque
 
