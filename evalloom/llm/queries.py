@@ -35,12 +35,21 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table's rows are records of the turn-row layout; conversation -7 holds control strings."""
+    """The table's rows as records of four layouts, dealt by a hash, which the fingerprints tell apart again; conversation -7 holds control strings."""
     same = r"\### Assistant: </turn> ok"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", same), (-7, 1, "assistant", same)], "conv_id long, turn long, role string, text string")
     rows = rows.unionByName(probe)
-    records = rows.select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    role, text, deal = F.col("role"), F.col("text"), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    as_json = lambda *fields: F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    listed = lambda name, who, what: as_json(F.array(F.struct(role.alias(who), text.alias(what))).alias(name))
+    record = (
+        F.when(deal == 1, listed("messages", "role", "content"))
+        .when((deal == 2) & ~F.coalesce(role, F.lit("")).isin(list(chat_format.ROLES)), listed("conversations", "from", "value"))  # those names would be translated
+        .when((deal == 3) & (role == "user"), as_json(text.alias("prompt")))
+        .otherwise(as_json("conv_id", "turn", "role", "text"))
+    )
+    records = rows.select("conv_id", "turn", record.alias("record"))
     return chat_format.read_back(chat_format.format_turns(chat_format.canonical_turns(records)))
 
 
