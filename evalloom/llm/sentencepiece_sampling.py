@@ -1,12 +1,17 @@
 """SentencePiece encoding and decoding: sampled segmentations by Gumbel top-k without replacement.
 
 A text becomes a lattice of the vocabulary's pieces over its code points (spaces as U+2581, one in front; code points without a piece are their UTF-8 byte
-pieces). A piece's log probability follows Zipf's law by its rank in the vocabulary. Segmentations are drawn by a perturbed A-star search: a partial segmentation stands for
-all its completions, its priority is the greatest Gumbel-perturbed log probability among them, and expanding it draws its extensions' priorities under
-that maximum. The first k complete ones are an exact sample of k distinct segmentations without replacement; the (k + 1)-th priority is the
-threshold of their inclusion probabilities. The search is exact with an agenda of the k + 1 best partials, so its memory is bounded by k times the text.
+pieces). A piece's log probability follows Zipf's law by its rank in the vocabulary. Segmentations are drawn by a perturbed A-star search: an item of the agenda is a
+partial segmentation with edges split off, it stands for all its completions by other edges, and its priority is the greatest Gumbel-perturbed log probability among
+them. Expanding the best item draws the completion that has its priority and splits the others into one item for each edge of the completion, with priorities under that
+of the whole. The first k completions are an exact sample of k distinct segmentations without replacement; the (k + 1)-th priority is the threshold of their inclusion
+probabilities. No more than k items can still be wanted, so the agenda holds k of them and memory is bounded by k times the text.
 
-Draws are seeded by the row's key, so a row gives the same samples wherever it is computed. Decoding restores the text exactly; a U+2581 in a text is written as bytes.
+Array operations do the work of many rows together: no piece holds a blank after another sign, so lattices fall into runs of blanks with what follows (chunks);
+distinct chunks of a part of the rows get their edges and masses once, and each expansion walks all chunks of all rows of the part at the same time.
+
+Draws are hashes of the row's key, the expansion and the place in the text, so a row gives the same samples wherever it is computed. Decoding restores the text exactly; a
+U+2581 in a text is written as bytes.
 Defined results: null text is empty; empty text has one segmentation, without pieces, of probability 1; a text with fewer than k segmentations gives all of them, with inclusion 1;
 rows of equal key and text give equal samples.
 """
@@ -15,20 +20,23 @@ from __future__ import annotations
 
 import hashlib
 import math
-import random
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.llm import textblocks as tb
+from evalloom.llm.tokens import NONE, Pairs
 from evalloom.runtime import ship
 
 SAMPLES = 3
 BLANK = "▁"
-LITERAL = "\ud800"  # marks a U+2581 of the text in lattices; a lone surrogate occurs in no text
-CACHE_ENTRIES = 100_000
+MARK = ord(BLANK)
+LITERAL = 0xD800  # marks a U+2581 of the text in lattices; a lone surrogate occurs in no text
+PART_BYTES = 1 << 19
 FIRST_RANKED = 259  # of the model's vocabulary: control and byte pieces come before
 _STATE: dict[str, Vocabulary] = {}
 
@@ -39,34 +47,19 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def add_exp(a: float, b: float) -> float:
-    """log(exp(a) + exp(b))."""
-    if a < b:
-        a, b = b, a
-    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
-
-
-class Chunk:
-    """The lattice of a run that no piece crosses: edges (end, id, log p), the log mass of completions and the shares of the edges in it, by position."""
+def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each span, one span after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
-    __slots__ = ("text", "edges", "mass", "shares", "others")
 
-    def __init__(self, text: str, edges: list[list[tuple[int, int, float]]]):
-        self.text, self.edges = text, edges
-        self.mass = [-math.inf] * (len(text) + 1)
-        self.mass[len(text)] = 0.0
-        self.shares: list[list[float]] = [[] for _ in text]
-        self.others: list[list[float]] = [[] for _ in text]
-        for i in range(len(text) - 1, -1, -1):
-            m = -math.inf
-            for end, _, p in edges[i]:
-                m = add_exp(m, p + self.mass[end])
-            self.mass[i] = m
-            self.shares[i] = own = [math.exp(p + self.mass[end] - m) for end, _, p in edges[i]]
-            self.others[i] = [sum(own[:j]) + sum(own[j + 1 :]) for j in range(len(own))] if len(own) > 1 else [0.0]
+def starts_of(size: np.ndarray) -> np.ndarray:
+    """n + 1 offsets of spans that lie one after another."""
+    return np.concatenate([[0], np.cumsum(size)])
 
 
 class Vocabulary:
+    """Pieces with their log probabilities, and the tree of their prefixes: states numbered from 0, the piece that ends in each (or -1)."""
+
     def __init__(self, path: str):
         import sentencepiece
 
@@ -79,49 +72,20 @@ class Vocabulary:
         byte = min(weights.values()) / 10
         total = sum(weights.values()) + 256 * byte
         self.raw = [bytes([int(p[3:5], 16)]) if p in byte_pieces else p.replace(BLANK, " ").encode() for p in self.pieces]
-        self.log_p = {i: math.log(w / total) for i, w in weights.items()}
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), dtype=np.uint8)
+        self.raw_starts = starts_of(np.array([len(r) for r in self.raw]))
         self.byte_log_p = math.log(byte / total)
-        self.ids = {self.pieces[i]: i for i in weights}
-        self.scored = {p: (i, self.log_p[i]) for p, i in self.ids.items()}
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.log_p = np.array([math.log(weights[i] / total) if i in weights else self.byte_log_p for i in range(n)])
+        ids = {self.pieces[i]: i for i in weights}
+        state = {"": 0}
+        for p in ids:
+            for k in range(1, len(p) + 1):
+                state.setdefault(p[:k], len(state))
+        inner = [p for p in state if p]
+        self.next = Pairs(np.array([state[p[:-1]] for p in inner]), np.array([ord(p[-1]) for p in inner]), np.array([state[p] for p in inner]))
+        self.ends = np.array([ids.get(p, -1) for p in state])
         # pieces may only hold blanks before other signs, so blanks split texts into chunks
-        self.splits = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids)
-        self.cache: dict[str, Chunk] = {}
-
-    def chunk(self, text: str) -> Chunk:
-        got = self.cache.get(text)
-        if got is None:
-            edges, scored, prefixes, n = [], self.scored, self.prefixes, len(text)
-            for i, sign in enumerate(text):
-                here, end = [], i + 1
-                while end <= n and (s := text[i:end]) in prefixes:
-                    if (got := scored.get(s)) is not None:
-                        here.append((end, *got))
-                    end += 1
-                if not here or here[0][0] != i + 1:
-                    raw = (BLANK if sign == LITERAL else sign).encode()
-                    here.append((i + 1, -1 - ord(sign), self.byte_log_p * len(raw)))
-                edges.append(here)
-            got = Chunk(text, edges)
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            if len(text) <= 64:
-                self.cache[text] = got
-        return got
-
-    def spread(self, edge: int) -> list[int]:
-        """The ids of an edge: one piece, or the bytes of a code point."""
-        if edge >= 0:
-            return [edge]
-        sign = chr(-1 - edge)
-        return [self.bytes[b] for b in (BLANK if sign == LITERAL else sign).encode()]
-
-    def lattice(self, text: str) -> list[Chunk]:
-        if not text:
-            return []
-        marked = BLANK + text.replace(BLANK, LITERAL).replace(" ", BLANK)
-        parts = re.findall(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", marked) if self.splits else [marked]
-        return [self.chunk(p) for p in parts]
+        self.splits = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in ids)
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation."""
@@ -135,61 +99,257 @@ def vocabulary(path: str) -> Vocabulary:
     return _STATE[path]
 
 
-def sample(chunks: list[Chunk], k: int, draw: random.Random) -> tuple[list[tuple[float, float, list[int]]], float]:
-    """((perturbed, log probability, edges) of up to k distinct segmentations, best first; the (k + 1)-th priority).
+class Lattices:
+    """The lattices of distinct chunks. Nodes are places in chunks, those with fewest code points after them first; the last node ends every chunk.
 
-    An item of the agenda stands for the completions of a partial segmentation by all edges but some. Expanding it picks the edge that has the item's
-    priority, in proportion to mass, and splits off the other edges as one item, whose priority is a Gumbel variable of their mass truncated at that of the whole.
+    By edge, a node's edges together: dest, size (code points), id (of a piece, or -1 - code point), share (of the mass of the node's completions that
+    take it), upto (the shares of the node up to it; above 1 for the last) and others (the shares of the node's other edges, summed without it).
     """
-    after = [0.0] * (len(chunks) + 1)
-    for c in range(len(chunks) - 1, -1, -1):
-        after[c] = after[c + 1] + chunks[c].mass[0]
-    total, uniform, log, exp = after[0], draw.random, math.log, math.exp
-    # (priority, log p so far, chunk, position, edges as a linked list, edges split off), in falling order of priority
-    agenda: list[tuple] = [(-log(-log(uniform() or 5e-324)), 0.0, 0, 0, None, ())]
-    done: list[tuple[float, float, list[int]]] = []
-    while agenda:
-        top, p, c, at, path, without = agenda.pop(0)
-        if len(done) == k:
-            return done, top
-        room = k - len(done)  # besides this one: those still wanted and the threshold
-        while c < len(chunks):
-            chunk = chunks[c]
-            edges = chunk.edges[at]
-            if len(edges) - len(without) > 1:
-                shares, r, pick = chunk.shares[at], uniform(), -1
-                if without:
-                    r *= sum(share for j, share in enumerate(shares) if j not in without)
-                for j, share in enumerate(shares):
-                    if j not in without:
-                        pick, r = j, r - share
-                        if r < 0:
-                            break
-                rest = sum(share for j, share in enumerate(shares) if j != pick and j not in without) if without else chunk.others[at][pick]
-                if rest > 0:
-                    m = p + chunk.mass[at] + after[c + 1] - total + log(rest)
-                    # exp(-priority) is exp(-top) and an exponential variable of rate exp(m)
-                    g = m - log(exp(min(700.0, m - top)) - log(uniform() or 5e-324))
-                    if len(agenda) < room or g > agenda[room - 1][0]:
-                        i = len(agenda)
-                        while i and agenda[i - 1][0] < g:
-                            i -= 1
-                        agenda.insert(i, (g, p, c, at, path, (*without, pick)))
-                        del agenda[room:]
-            else:
-                pick = next(j for j in range(len(edges)) if j not in without)
-            end, edge, q = edges[pick]
-            p, path, without = p + q, (path, edge), ()
-            if end == len(chunk.text):
-                c, at = c + 1, 0
+
+    def __init__(self, v: Vocabulary, cp: np.ndarray, size: np.ndarray):
+        n, ends = len(cp), np.cumsum(size)
+        left = np.repeat(ends, size) - np.arange(n)  # code points from here to the end of the chunk
+        order = np.argsort(left.astype(np.uint16) if n < 1 << 16 or int(left.max()) < 1 << 16 else left, kind="stable")
+        node = np.empty(n, dtype=np.int64)
+        node[order] = np.arange(n)
+        self.root = node[ends - size]
+        found, count = self._pieces(v, cp, left), np.zeros(n, dtype=np.int64)
+        for at, _, _ in found:
+            count[at] += 1
+        degree = count[order]
+        self.first = starts_of(degree)
+        self.dest, self.id, self.size, log_p = (np.empty(int(self.first[-1]), dtype=t) for t in (np.int64, np.int64, np.int64, np.float64))
+        fill = self.first[node]
+        for at, length, ids in reversed(found):  # longer ones first
+            e = fill[at]
+            fill[at] += 1
+            inside = left[at] > length
+            self.dest[e], self.dest[e[inside]] = n, node[at[inside] + length]
+            self.size[e], self.id[e] = length, ids
+            log_p[e] = v.log_p[np.maximum(ids, 0)]
+            signs = ids < 0
+            log_p[e[signs]] = v.byte_log_p * utf8_bytes(-1 - ids[signs])
+        self._shares(log_p, degree, starts_of(np.bincount(left)[1:]))
+        self.end = n
+
+    @staticmethod
+    def _pieces(v: Vocabulary, cp: np.ndarray, left: np.ndarray) -> list[tuple[np.ndarray, int, np.ndarray]]:
+        """(places, length, ids) of the edges by length: one walk down the tree of prefixes from all places at once."""
+        at, state, out, length = np.arange(len(cp)), np.zeros(len(cp), dtype=np.int64), [], 1
+        while len(at):
+            r = v.next.rank(state, cp[at + length - 1])
+            known = r != NONE
+            ids = np.full(len(at), -1)
+            state = v.next.merged[r[known]]
+            ids[known] = v.ends[state]
+            if length == 1:
+                alone = ids < 0
+                ids[alone] = -1 - cp[at[alone]].astype(np.int64)
+                out.append((at, length, ids))
+            elif (ids >= 0).any():
+                out.append((at[ids >= 0], length, ids[ids >= 0]))
+            at = at[known]
+            more = left[at] > length
+            at, state, length = at[more], state[more], length + 1
+        return out
+
+    def _shares(self, log_p: np.ndarray, degree: np.ndarray, level: np.ndarray) -> None:
+        """level: offsets of the nodes by their code points to the end, of which each level needs those before only."""
+        n, first = len(degree), self.first
+        mass, self.share = np.zeros(n + 1), np.empty(len(log_p))
+        for lo, hi in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
+            a, b = first[lo], first[hi]
+            begin, own = first[lo:hi] - a, degree[lo:hi]
+            value = log_p[a:b] + mass[self.dest[a:b]]
+            top = np.maximum.reduceat(value, begin)
+            value = np.exp(value - np.repeat(top, own))
+            total = np.add.reduceat(value, begin)
+            mass[lo:hi] = top + np.log(total)
+            self.share[a:b] = value / np.repeat(total, own)
+        self.upto, self.others = self.share.copy(), np.zeros(len(log_p))
+        after = self.share.copy()
+        for j in range(1, int(degree.max(initial=0))):
+            wide = np.flatnonzero(degree > j)
+            e = first[wide] + j
+            self.others[e] += self.upto[e - 1]
+            self.upto[e] += self.upto[e - 1]
+            e = first[wide + 1] - 1 - j
+            self.others[e] += after[e + 1]
+            after[e] += after[e + 1]
+        self.upto[first[1:] - 1] = 2.0
+
+    def walk(self, node: np.ndarray, place: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(edges, their count by walk) of completions from each node, drawn in proportion to mass; place: of the node in its text, for the draws."""
+        who, steps = np.arange(len(node)), []
+        while len(who):
+            e = self.first[node]
+            r = uniform(seed, place)
+            more = np.flatnonzero(r >= self.upto[e])
+            while len(more):
+                e[more] += 1
+                more = more[r[more] >= self.upto[e[more]]]
+            steps.append((who, e))
+            node = self.dest[e]
+            go = node < self.end
+            place = place[go] + self.size[e[go]]
+            who, node, seed = who[go], node[go], seed[go]
+        count = np.zeros(len(steps[0][0]) if steps else 0, dtype=np.int64)
+        for w, _ in steps:
+            count[w] += 1
+        begin = starts_of(count)
+        edges = np.empty(int(begin[-1]), dtype=np.int64)
+        for k, (w, e) in enumerate(steps):
+            edges[begin[w] + k] = e
+        return edges, count
+
+
+def utf8_bytes(cp: np.ndarray) -> np.ndarray:
+    """Bytes of code points in UTF-8 (a marked U+2581 has three, as its mark would)."""
+    return 1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000)
+
+
+def uniform(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Draws between 0 and 1, by the hash of a seed and a place."""
+    return ((tb.mix(seed + place.astype(np.uint64) * tb.BASE) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def streams(seed: np.ndarray, number: int) -> np.ndarray:
+    """The seeds of a numbered stream of draws."""
+    return tb.mix(seed + np.uint64(number * int(tb.OTHER) % (1 << 64)))
+
+
+class Part:
+    """Texts, one after another, as the chunks of their marked code points."""
+
+    def __init__(self, v: Vocabulary, offsets: np.ndarray, data: np.ndarray):
+        cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype="<u4").copy()
+        at = starts_of((data & 0xC0) != 0x80)[offsets]
+        cp[cp == MARK] = LITERAL
+        cp[cp == 0x20] = MARK
+        some = np.diff(at) > 0
+        cp = np.insert(cp, at[:-1][some], MARK)
+        self.rows = at + starts_of(some)  # offsets of the texts in code points
+        opens = np.zeros(len(cp) + 1, dtype=bool)
+        opens[self.rows] = True
+        if v.splits:
+            opens[1:-1] |= (cp[1:] == MARK) & (cp[:-1] != MARK)
+        self.starts = np.flatnonzero(opens[:-1])
+        self.size = np.diff(np.append(self.starts, len(cp)))
+        self.chunks = np.searchsorted(self.starts, self.rows)  # offsets of the texts in chunks
+        kind, first = self._distinct(cp)
+        self.lattices = Lattices(v, cp[spans(self.starts[first], self.size[first])], self.size[first])
+        self.root = self.lattices.root[kind]
+
+    def _distinct(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each chunk's content, the first chunk of each content)."""
+        if not len(self.starts):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        inside = spans(np.zeros(len(self.starts), dtype=np.int64), self.size)
+        value = (cp.astype(np.uint64) + np.uint64(1)) * tb.powers(tb.BASE, int(self.size.max()))[inside]
+        h = tb.mix(np.add.reduceat(value, self.starts) + self.size.astype(np.uint64) * tb.STEP)
+        _, first, kind = np.unique(h, return_index=True, return_inverse=True)
+        like = first[kind]
+        other = self.size != self.size[like]  # chunks whose hash is another content's are contents by themselves
+        safe = np.where(other, np.arange(len(like)), like)
+        differs = cp[spans(self.starts[safe], self.size)] != cp
+        other |= np.logical_or.reduceat(differs, self.starts)
+        lone = np.flatnonzero(other)
+        kind[lone] = len(first) + np.arange(len(lone))
+        return kind, np.concatenate([first, lone])
+
+
+def sample(part: Part, seeds: np.ndarray, k: int) -> tuple[list[list[tuple[float, float, np.ndarray]]], list[float]]:
+    """By text: [(perturbed, log probability, edges)] of up to k distinct segmentations, best first, and the (k + 1)-th priority (-inf if there is none).
+
+    An item of the agenda is (priority, log probability of the edges before, sample that has them, their count, edges split off there).
+    """
+    lat, n = part.lattices, len(seeds)
+    roots = -np.log(-np.log(uniform(streams(seeds, 0), np.zeros(n, dtype=np.int64))))
+    agendas: list[list[tuple]] = [[(g, 0.0, 0, 0, ())] for g in roots.tolist()]
+    done: list[list[tuple[float, float, np.ndarray]]] = [[] for _ in range(n)]
+    threshold = [-math.inf] * n
+    for turn in range(k + 1):
+        live = [i for i in range(n) if agendas[i]]
+        items = [agendas[i].pop(0) for i in live]
+        if turn == k:
+            for i, item in zip(live, items, strict=True):
+                threshold[i] = item[0]
+            break
+        draws, gumbels = streams(seeds, 2 * turn + 1), streams(seeds, 2 * turn + 2)
+        kept, rests, places, nodes, chunks = [], [], [], [], []  # by row: edges before, share left of those split off, place, node of the walk in the chunk, chunks walked whole
+        for i, (_, _, parent, steps, without) in zip(live, items, strict=True):
+            place, last = int(part.rows[i]), int(part.chunks[i + 1])
+            if not without:
+                before, rest, node, chunk = np.zeros(0, dtype=np.int64), 0.0, lat.end, int(part.chunks[i])
             else:
-                at = end
-        edges = []
-        while path:
-            path, edge = path
-            edges.append(edge)
-        done.append((top, p - total, edges[::-1]))
-    return done, -math.inf
+                path = done[i][parent][2]
+                place += int(lat.size[path[:steps]].sum())
+                pick, rest = _another(lat, without, float(uniform(draws[i : i + 1], np.array([place - part.rows[i]]))[0]))
+                before, node = np.append(path[:steps], pick), int(lat.dest[pick])
+                place += int(lat.size[pick])
+                chunk = int(np.searchsorted(part.starts, place)) if place < part.rows[i + 1] else last
+            kept.append(before)
+            rests.append(rest)
+            places.append(place)
+            nodes.append(node)
+            chunks.append(chunk)
+        rows, chunk = np.array(live, dtype=np.int64), np.array(chunks, dtype=np.int64)
+        inner, whole = (np.array(nodes, dtype=np.int64) < lat.end).astype(np.int64), part.chunks[rows + 1] - chunk
+        walks = inner + whole
+        begin = starts_of(walks)
+        node, place = np.empty(int(begin[-1]), dtype=np.int64), np.empty(int(begin[-1]), dtype=np.int64)
+        some = inner > 0
+        node[begin[:-1][some]], place[begin[:-1][some]] = np.array(nodes, dtype=np.int64)[some], np.array(places, dtype=np.int64)[some]
+        to, of = spans(begin[:-1] + inner, whole), spans(chunk, whole)
+        node[to], place[to] = part.root[of], part.starts[of]
+        owner = np.repeat(rows, walks)
+        edges, count = lat.walk(node, place - part.rows[owner], draws[owner])
+        cuts = starts_of(count)[begin]
+        log_share, others, sizes = np.log(lat.share[edges]), lat.others[edges], lat.size[edges]
+        for x, (i, item, before) in enumerate(zip(live, items, kept, strict=True)):
+            a, b = int(cuts[x]), int(cuts[x + 1])
+            top, log_p, parent, steps, without = item
+            fresh = edges[a:b]
+            path, own, rest, size = fresh, log_share[a:b], others[a:b], sizes[a:b]
+            if without:  # the step that leaves the parent comes first
+                path = np.concatenate([before, fresh])
+                pick = before[-1:]
+                own, rest, size = np.concatenate([np.log(lat.share[pick]), own]), np.concatenate([[rests[x]], rest]), np.concatenate([lat.size[pick], size])
+            sums = starts_of(own) + log_p
+            done[i].append((top, float(sums[-1]), path))
+            _split(agendas[i], k - turn, top, sums[:-1], rest, (int(part.rows[i + 1] - part.rows[i]) - int(size.sum())) + np.cumsum(size) - size, gumbels[i], turn, steps, path, without)
+    return done, threshold
+
+
+def _another(lat: Lattices, without: tuple[int, ...], r: float) -> tuple[int, float]:
+    """(an edge of the node of the edges `without` that isn't one of them, in proportion to mass; the shares of the node's other edges that aren't)."""
+    node = int(np.searchsorted(lat.first, without[0], side="right")) - 1
+    left = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in without]
+    shares = lat.share[left].tolist()
+    r *= sum(shares)
+    pick = len(left) - 1
+    for j, share in enumerate(shares):
+        r -= share
+        if r < 0:
+            pick = j
+            break
+    return left[pick], sum(s for j, s in enumerate(shares) if j != pick)
+
+
+def _split(agenda: list[tuple], room: int, top: float, log_p: np.ndarray, rest: np.ndarray, place: np.ndarray, seed: np.uint64, turn: int, steps: int, path: np.ndarray, without: tuple[int, ...]) -> None:
+    """Puts the best items that the steps of a completion leave over on the agenda, which keeps `room`."""
+    at = np.flatnonzero(rest > 0)
+    if not len(at):
+        return
+    mass = log_p[at] + np.log(rest[at])
+    # exp(-priority) is exp(-top) and an exponential variable of rate exp(mass)
+    g = mass - np.log(np.exp(np.minimum(700.0, mass - top)) - np.log(uniform(seed, place[at])))
+    best = np.argpartition(-g, room - 1)[:room] if len(g) > room else np.arange(len(g))
+    for j in best.tolist():
+        step = int(at[j])
+        agenda.append((float(g[j]), float(log_p[step]), turn, steps + step, (*(without if step == 0 else ()), int(path[steps + step]))))
+    agenda.sort(key=lambda item: -item[0])
+    del agenda[room:]
 
 
 def inclusion(log_p: float, threshold: float) -> float:
@@ -197,38 +357,76 @@ def inclusion(log_p: float, threshold: float) -> float:
     return 1.0 if threshold == -math.inf else -math.expm1(-math.exp(min(700.0, log_p - threshold)))
 
 
+def piece_ids(v: Vocabulary, lat: Lattices, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, count of each edge): one piece, or the bytes of a code point."""
+    ids = lat.id[edges]
+    signs = np.flatnonzero(ids < 0)
+    count = np.ones(len(ids), dtype=np.int64)
+    kinds, back = np.unique(ids[signs], return_inverse=True)
+    raw = [(BLANK if s == -1 - LITERAL else chr(-1 - s)).encode() for s in kinds.tolist()]
+    width = np.array([len(r) for r in raw], dtype=np.int64)
+    count[signs] = width[back]
+    begin = starts_of(count)
+    out = np.empty(int(begin[-1]), dtype=np.int32)
+    plain = ids >= 0
+    out[begin[:-1][plain]] = ids[plain]
+    if len(signs):
+        of_byte = np.array([v.bytes[b] for b in range(256)], dtype=np.int32)[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+        out[spans(begin[signs], count[signs])] = of_byte[spans(starts_of(width)[back], count[signs])]
+    return out, count
+
+
 ROWS = "sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids array<int>, decoded boolean"
 
 
+def segmentations(v: Vocabulary, keys: list[str], offsets: np.ndarray, data: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """(row of each sample, the columns of ROWS) of texts that lie one after another."""
+    seeds = np.array([int.from_bytes(hashlib.sha256(f"{seed}|{key}".encode()).digest()[:8], "little") for key in keys], dtype=np.uint64)
+    part = Part(v, offsets, data)
+    done, threshold = sample(part, seeds, k)
+    row = np.repeat(np.arange(len(keys)), [len(found) for found in done])
+    flat = [s for found in done for s in found]
+    lengths = np.array([len(path) for _, _, path in flat], dtype=np.int64)
+    ids, count = piece_ids(v, part.lattices, np.concatenate([path for _, _, path in flat]) if flat else np.zeros(0, dtype=np.int64))
+    cuts = starts_of(count)[starts_of(lengths)]
+    width = v.raw_starts[ids + 1] - v.raw_starts[ids]
+    back, ends = v.raw_bytes[spans(v.raw_starts[ids], width)].tobytes(), starts_of(width)[cuts].tolist()
+    raw, at = data.tobytes(), offsets.tolist()
+    decoded = [back[ends[x] : ends[x + 1]] == (b" " + raw[at[i] : at[i + 1]] if at[i + 1] > at[i] else b"") for x, i in enumerate(row.tolist())]
+    return row, [
+        pa.array([n for found in done for n in range(1, len(found) + 1)], pa.int32()),
+        pa.array(np.diff(cuts), pa.int64()),
+        pa.array([p for _, p, _ in flat], pa.float64()),
+        pa.array([g for g, _, _ in flat], pa.float64()),
+        pa.array([inclusion(p, threshold[i]) for i, (_, p, _) in zip(row.tolist(), flat, strict=True)], pa.float64()),
+        pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids)),
+        pa.array(decoded, pa.bool_()),
+    ]
+
+
 def _encode(path: str, k: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                take, out = [], []
-                for i, (key, text) in enumerate(zip(part.column("__key").to_pylist(), part.column("__text").to_pylist(), strict=True)):
-                    text = text or ""
-                    draw = random.Random(hashlib.sha256(f"{seed}|{key}".encode()).digest())
-                    found, threshold = sample(v.lattice(text), k, draw)
-                    for n, (g, p, edges) in enumerate(found, 1):
-                        ids = [x for e in edges for x in v.spread(e)]
-                        take.append(i)
-                        out.append((n, len(ids), p, g, inclusion(p, threshold), ids, v.decode(ids) == text))
-                names = [n for n in batch.schema.names if n not in ("__key", "__text")]
-                kept = [part.column(n).take(pa.array(take, pa.int32())) for n in names]
-                types = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], [*names, *(c.split()[0] for c in ROWS.split(", "))])
-
-    return run
+            names = [n for n in batch.schema.names if n not in ("__key", "__text")]
+            offsets, data = tb.utf8(batch.column("__text"))
+            for lo, hi in tb.parts(offsets, PART_BYTES):
+                some = batch.slice(lo, hi - lo)
+                row, columns = segmentations(v, some.column("__key").to_pylist(), offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]], k, seed)
+                yield pa.RecordBatch.from_arrays([*(some.column(n).take(pa.array(row)) for n in names), *columns], [*names, *(c.split()[0] for c in ROWS.split(", "))])
+
+    return tb.tidy(run)
 
 
 def sampled(rows: DataFrame, key: list[str], text_col: str = "text", k: int = SAMPLES, seed: int = 0, model: str | None = None) -> DataFrame:
-    """The key columns with up to k sampled segmentations each: columns of ROWS."""
+    """The key columns with up to k sampled segmentations each: columns of ROWS. A key column of such a name gets a trailing underscore."""
     ship(rows.sparkSession)
     named = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key))
-    source = rows.select(*key, named.alias("__key"), F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if not c.startswith("__"))
+    names: list[str] = []
+    for c in key:
+        names.append(tb.fresh([*(r.split()[0] for r in ROWS.split(", ")), "__key", "__text", *names], c))
+    source = rows.select(*(F.col(c).alias(n) for c, n in zip(key, names, strict=True)), named.alias("__key"), F.col(text_col).cast("string").alias("__text"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c not in ("__key", "__text"))
     return source.mapInArrow(_encode(model or default_model(), k, seed), f"{schema}, {ROWS}")
 
 

@@ -216,43 +216,87 @@ def test_lm_beats_base_on_held_out(spark, sf):
 # --- 2 SentencePiece
 
 
-def all_segmentations(chunks):
-    out = [((), 0.0)]
-    for c in chunks:
-        here = [((), 0.0, 0)]
-        done = []
-        while here:
-            path, p, at = here.pop()
-            if at == len(c.text):
-                done.append((path, p))
-                continue
-            here += [((*path, e), p + q, end) for end, e, q in c.edges[at]]
-        out = [(a + b, p + q) for a, p in out for b, q in done]
+def all_segmentations(v, text):
+    """{ids: log probability} of every segmentation of a text, by recursion over its pieces."""
+    marked = "\u2581" + text.replace(" ", "\u2581")
+    weights = {v.pieces[i]: i for i in range(sentencepiece_sampling.FIRST_RANKED, len(v.pieces))}
+
+    def rest(at):
+        if at == len(marked):
+            return [((), 0.0)]
+        here = [((weights[marked[at:end]],), float(v.log_p[weights[marked[at:end]]]), end) for end in range(at + 1, len(marked) + 1) if marked[at:end] in weights]
+        if not any(end == at + 1 for *_, end in here):
+            raw = marked[at].encode()
+            here.append((tuple(v.bytes[b] for b in raw), v.byte_log_p * len(raw), at + 1))
+        return [(ids + more, p + q) for ids, p, end in here for more, q in rest(end)]
+
+    out = rest(0)
     total = sum(math.exp(p) for _, p in out)
-    return {path: p - math.log(total) for path, p in out}
+    assert len(dict(out)) == len(out)
+    return {ids: p - math.log(total) for ids, p in out}
 
 
-def test_gumbel_top_k_is_a_sample_without_replacement():
+def drawn(v, texts, k, seed=0):
+    """[(perturbed, log probability, ids)] and the threshold of each text, with its place as its key."""
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *(len(r) for r in raw)])
+    part = sentencepiece_sampling.Part(v, offsets, np.frombuffer(b"".join(raw), dtype=np.uint8))
+    seeds = textblocks.mix(np.arange(len(texts), dtype=np.uint64) + np.uint64(seed << 32))
+    done, threshold = sentencepiece_sampling.sample(part, seeds, k)
+    return [([(g, p, tuple(sentencepiece_sampling.piece_ids(v, part.lattices, e)[0].tolist())) for g, p, e in found], t) for found, t in zip(done, threshold, strict=True)]
+
+
+@pytest.mark.parametrize("text", ["the dog s", "a 日é on", "  no"])
+def test_gumbel_top_k_is_a_sample_without_replacement(text):
     v = sentencepiece_sampling.vocabulary(sentencepiece_sampling.default_model())
-    lattice = v.lattice("the dog s")
-    every = all_segmentations(lattice)
-    assert len(every) > 20
+    every = all_segmentations(v, text)
+    assert len(every) > 5
     n, k = 4000, 3
-    first, estimate = Counter(), 0.0
-    for seed in range(n):
-        found, threshold = sentencepiece_sampling.sample(lattice, k, random.Random(seed))
-        paths = [tuple(e) for _, _, e in found]
+    first, second, estimate = Counter(), Counter(), 0.0
+    for found, threshold in drawn(v, [text] * n, k):
+        paths = [ids for _, _, ids in found]
         assert len(set(paths)) == k and all(abs(every[x] - p) < 1e-9 for x, (_, p, _) in zip(paths, found, strict=True))
         assert [g for g, _, _ in found] == sorted((g for g, _, _ in found), reverse=True) and found[-1][0] >= threshold
         first[paths[0]] += 1
+        second[paths[1]] += 1
         estimate += sum(math.exp(p) / sentencepiece_sampling.inclusion(p, threshold) for _, p, _ in found)
     assert estimate / n == pytest.approx(1.0, abs=0.03)  # Horvitz-Thompson
     for path, p in every.items():
         q = math.exp(p)
         assert abs(first[path] / n - q) < 5 * math.sqrt(q * (1 - q) / n) + 1e-3
+        # the second of a sample without replacement
+        q = sum(math.exp(x) * math.exp(p) / -math.expm1(x) for other, x in every.items() if other != path)
+        assert abs(second[path] / n - q) < 5 * math.sqrt(q * (1 - q) / n) + 1e-3
+
+
+def test_sampled_segmentations_are_all_there_and_apart():
+    v = sentencepiece_sampling.vocabulary(sentencepiece_sampling.default_model())
     # with k beyond their number, all segmentations come out
-    small = v.lattice("ab")
-    assert {tuple(e) for _, _, e in sentencepiece_sampling.sample(small, 100, random.Random(1))[0]} == set(all_segmentations(small))
+    for text in ("ab", "a b", "日", "to \t"):
+        (found, threshold), *_ = drawn(v, [text], 1000)
+        assert {ids: pytest.approx(p, abs=1e-9) for _, p, ids in found} == all_segmentations(v, text) and threshold == -math.inf
+    # a long run without blanks, and rows that don't depend on their neighbours
+    texts = ["x" * 70_000, "", "the house of the dog " * 500, "日本語" * 300, "the house"]
+    several = {texts[0], texts[2], texts[4]}  # no piece joins the signs of texts[3]
+    together = drawn(v, texts, 4)
+    for i, t in enumerate(texts):
+        alone = drawn(v, [""] * i + [t], 4)[i]
+        assert alone == together[i]
+        assert len({ids for *_, ids in alone[0]}) == (4 if t in several else 1) and all(v.decode(ids) == t for *_, ids in alone[0])
+
+
+def test_chunks_of_colliding_hashes_stay_apart(monkeypatch):
+    v = sentencepiece_sampling.vocabulary(sentencepiece_sampling.default_model())
+    texts = ["the cat and the dog", "one two six ten", "the the the"]
+    want = drawn(v, texts, 3)
+    monkeypatch.setattr(sentencepiece_sampling.tb, "powers", lambda base, n: np.zeros(n, dtype=np.uint64))
+    assert drawn(v, texts, 3) == want
+
+
+def test_key_columns_may_have_names_of_the_output(spark):
+    df = spark.createDataFrame([(1, "the dog", 5)], "sample long, text string, ids long")
+    got = sentencepiece_sampling.sampled(df, ["sample", "ids"], k=2)
+    assert got.columns[:2] == ["sample_", "ids_"] and [r["sample_"] for r in got.collect()] == [1, 1]
 
 
 def test_sentencepiece_round_trip(spark):
