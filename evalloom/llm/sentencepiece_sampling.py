@@ -36,7 +36,7 @@ SAMPLES = 3
 BLANK = "▁"
 MARK = ord(BLANK)
 LITERAL = 0xD800  # marks a U+2581 of the text in lattices; a lone surrogate occurs in no text
-PART_BYTES = 1 << 19
+PART_BYTES = 1 << 20
 FIRST_RANKED = 259  # of the model's vocabulary: control and byte pieces come before
 _STATE: dict[str, Vocabulary] = {}
 
@@ -83,6 +83,10 @@ class Vocabulary:
                 state.setdefault(p[:k], len(state))
         inner = [p for p in state if p]
         self.next = Pairs(np.array([state[p[:-1]] for p in inner]), np.array([ord(p[-1]) for p in inner]), np.array([state[p] for p in inner]))
+        self.opening = np.full(0x110000, -1, dtype=np.int32)  # the states of one code point
+        for p in inner:
+            if len(p) == 1:
+                self.opening[ord(p)] = state[p]
         self.ends = np.array([ids.get(p, -1) for p in state])
         # pieces may only hold blanks before other signs, so blanks split texts into chunks
         self.splits = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in ids)
@@ -118,7 +122,7 @@ class Lattices:
             count[at] += 1
         degree = count[order]
         self.first = starts_of(degree)
-        self.dest, self.id, self.size, log_p = (np.empty(int(self.first[-1]), dtype=t) for t in (np.int64, np.int64, np.int64, np.float64))
+        self.dest, self.id, self.size, log_p = (np.empty(int(self.first[-1]), dtype=t) for t in (np.int32, np.int32, np.int32, np.float64))
         fill = self.first[node]
         for at, length, ids in reversed(found):  # longer ones first
             e = fill[at]
@@ -135,12 +139,17 @@ class Lattices:
     @staticmethod
     def _pieces(v: Vocabulary, cp: np.ndarray, left: np.ndarray) -> list[tuple[np.ndarray, int, np.ndarray]]:
         """(places, length, ids) of the edges by length: one walk down the tree of prefixes from all places at once."""
-        at, state, out, length = np.arange(len(cp)), np.zeros(len(cp), dtype=np.int64), [], 1
+        at, state, out, length = np.arange(len(cp)), np.zeros(0, dtype=np.int32), [], 1
         while len(at):
-            r = v.next.rank(state, cp[at + length - 1])
-            known = r != NONE
+            if length == 1:
+                state = v.opening[cp]
+                known = state >= 0
+                state = state[known]
+            else:
+                r = v.next.rank(state, cp[at + length - 1])
+                known = r != NONE
+                state = v.next.merged[r[known]]
             ids = np.full(len(at), -1)
-            state = v.next.merged[r[known]]
             ids[known] = v.ends[state]
             if length == 1:
                 alone = ids < 0
@@ -305,19 +314,32 @@ def sample(part: Part, seeds: np.ndarray, k: int) -> tuple[list[list[tuple[float
         owner = np.repeat(rows, walks)
         edges, count = lat.walk(node, place - part.rows[owner], draws[owner])
         cuts = starts_of(count)[begin]
-        log_share, others, sizes = np.log(lat.share[edges]), lat.others[edges], lat.size[edges]
+        tops, log_share = np.array([item[0] for item in items]), np.log(lat.share[edges])
+        log_p, sums = np.empty(len(edges)), []  # of what is before each edge, summed by row, so that it doesn't depend on other rows
+        for x, (item, before) in enumerate(zip(items, kept, strict=True)):
+            a, b = int(cuts[x]), int(cuts[x + 1])
+            start = item[1] + (math.log(lat.share[before[-1]]) if len(before) else 0.0)
+            total = np.cumsum(np.concatenate([[start], log_share[a:b]]))
+            log_p[a:b] = total[:-1]
+            sums.append(float(total[-1]))
+        steps = np.diff(cuts)
+        size = lat.size[edges]
+        ends = starts_of(size)
+        place = np.repeat(part.rows[rows + 1] - part.rows[rows] - ends[cuts[1:]], steps) + ends[:-1]
+        g = priorities(np.repeat(tops, steps), log_p, lat.others[edges], np.repeat(gumbels[rows], steps), place)
+        room = k - turn  # the samples still wanted after these, and the threshold
         for x, (i, item, before) in enumerate(zip(live, items, kept, strict=True)):
             a, b = int(cuts[x]), int(cuts[x + 1])
-            top, log_p, parent, steps, without = item
-            fresh = edges[a:b]
-            path, own, rest, size = fresh, log_share[a:b], others[a:b], sizes[a:b]
-            if without:  # the step that leaves the parent comes first
-                path = np.concatenate([before, fresh])
-                pick = before[-1:]
-                own, rest, size = np.concatenate([np.log(lat.share[pick]), own]), np.concatenate([[rests[x]], rest]), np.concatenate([lat.size[pick], size])
-            sums = starts_of(own) + log_p
-            done[i].append((top, float(sums[-1]), path))
-            _split(agendas[i], k - turn, top, sums[:-1], rest, (int(part.rows[i + 1] - part.rows[i]) - int(size.sum())) + np.cumsum(size) - size, gumbels[i], turn, steps, path, without)
+            done[i].append((item[0], sums[x], np.concatenate([before, edges[a:b]])))
+            agenda, at = agendas[i], len(before)
+            if at:  # what is left of the item's own step
+                log_q = np.array([item[1]])
+                here = places[x] - part.rows[i] - lat.size[before[-1:]]
+                own = float(priorities(np.array([item[0]]), log_q, np.array([rests[x]]), gumbels[i : i + 1], here)[0])
+                agenda.append((own, item[1], turn, at - 1, (*item[4], int(before[-1]))))
+            best = np.argpartition(g[a:b], b - a - room)[-room:] if b - a > room else np.arange(b - a)
+            agenda += [(float(g[a + j]), float(log_p[a + j]), turn, at + j, (int(edges[a + j]),)) for j in best.tolist()]
+            agenda[:] = sorted((item for item in agenda if item[0] > -math.inf), key=lambda item: -item[0])[:room]
     return done, threshold
 
 
@@ -336,20 +358,12 @@ def _another(lat: Lattices, without: tuple[int, ...], r: float) -> tuple[int, fl
     return left[pick], sum(s for j, s in enumerate(shares) if j != pick)
 
 
-def _split(agenda: list[tuple], room: int, top: float, log_p: np.ndarray, rest: np.ndarray, place: np.ndarray, seed: np.uint64, turn: int, steps: int, path: np.ndarray, without: tuple[int, ...]) -> None:
-    """Puts the best items that the steps of a completion leave over on the agenda, which keeps `room`."""
-    at = np.flatnonzero(rest > 0)
-    if not len(at):
-        return
-    mass = log_p[at] + np.log(rest[at])
+def priorities(top: np.ndarray, log_p: np.ndarray, rest: np.ndarray, seed: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Gumbel variables of the masses exp(log_p) * rest, truncated at top; -inf where nothing is left."""
+    with np.errstate(divide="ignore"):
+        mass = log_p + np.log(rest)
     # exp(-priority) is exp(-top) and an exponential variable of rate exp(mass)
-    g = mass - np.log(np.exp(np.minimum(700.0, mass - top)) - np.log(uniform(seed, place[at])))
-    best = np.argpartition(-g, room - 1)[:room] if len(g) > room else np.arange(len(g))
-    for j in best.tolist():
-        step = int(at[j])
-        agenda.append((float(g[j]), float(log_p[step]), turn, steps + step, (*(without if step == 0 else ()), int(path[steps + step]))))
-    agenda.sort(key=lambda item: -item[0])
-    del agenda[room:]
+    return mass - np.log(np.exp(np.minimum(700.0, mass - top)) - np.log(uniform(seed, place)))
 
 
 def inclusion(log_p: float, threshold: float) -> float:
