@@ -36,7 +36,7 @@ SAMPLES = 3
 BLANK = "▁"
 MARK = ord(BLANK)
 LITERAL = 0xD800  # marks a U+2581 of the text in lattices; a lone surrogate occurs in no text
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 21
 FIRST_RANKED = 259  # of the model's vocabulary: control and byte pieces come before
 _STATE: dict[str, Vocabulary] = {}
 
@@ -72,8 +72,7 @@ class Vocabulary:
         byte = min(weights.values()) / 10
         total = sum(weights.values()) + 256 * byte
         self.raw = [bytes([int(p[3:5], 16)]) if p in byte_pieces else p.replace(BLANK, " ").encode() for p in self.pieces]
-        self.raw_bytes = np.frombuffer(b"".join(self.raw), dtype=np.uint8)
-        self.raw_starts = starts_of(np.array([len(r) for r in self.raw]))
+        self.raw_column = pa.array(self.raw, pa.large_binary())
         self.byte_log_p = math.log(byte / total)
         self.log_p = np.array([math.log(weights[i] / total) if i in weights else self.byte_log_p for i in range(n)])
         ids = {self.pieces[i]: i for i in weights}
@@ -130,9 +129,10 @@ class Lattices:
             inside = left[at] > length
             self.dest[e], self.dest[e[inside]] = n, node[at[inside] + length]
             self.size[e], self.id[e] = length, ids
-            log_p[e] = v.log_p[np.maximum(ids, 0)]
-            signs = ids < 0
-            log_p[e[signs]] = v.byte_log_p * utf8_bytes(-1 - ids[signs])
+            log_p[e] = v.log_p[np.maximum(ids, 0)] if length == 1 else v.log_p[ids]
+            if length == 1:
+                signs = ids < 0
+                log_p[e[signs]] = v.byte_log_p * utf8_bytes(-1 - ids[signs])
         self._shares(log_p, degree, starts_of(np.bincount(left)[1:]))
         self.end = n
 
@@ -175,16 +175,16 @@ class Lattices:
             total = np.add.reduceat(value, begin)
             mass[lo:hi] = top + np.log(total)
             self.share[a:b] = value / np.repeat(total, own)
-        self.upto, self.others = self.share.copy(), np.zeros(len(log_p))
-        after = self.share.copy()
-        for j in range(1, int(degree.max(initial=0))):
-            wide = np.flatnonzero(degree > j)
-            e = first[wide] + j
-            self.others[e] += self.upto[e - 1]
+        if not n:
+            self.upto, self.others = self.share, self.share
+            return
+        heavy = self.share > 0.75  # one of a node's at most; 1 - share would lose digits there
+        rest = np.add.reduceat(np.where(heavy, 0.0, self.share), first[:-1])
+        self.others = np.where(heavy, np.repeat(rest, degree), 1.0 - self.share)
+        self.upto = self.share.copy()
+        for j in range(1, int(degree.max())):
+            e = first[np.flatnonzero(degree > j)] + j
             self.upto[e] += self.upto[e - 1]
-            e = first[wide + 1] - 1 - j
-            self.others[e] += after[e + 1]
-            after[e] += after[e + 1]
         self.upto[first[1:] - 1] = 2.0
 
     def walk(self, node: np.ndarray, place: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,28 +315,26 @@ def sample(part: Part, seeds: np.ndarray, k: int) -> tuple[list[list[tuple[float
         edges, count = lat.walk(node, place - part.rows[owner], draws[owner])
         cuts = starts_of(count)[begin]
         tops, log_share = np.array([item[0] for item in items]), np.log(lat.share[edges])
-        log_p, sums = np.empty(len(edges)), []  # of what is before each edge, summed by row, so that it doesn't depend on other rows
-        for x, (item, before) in enumerate(zip(items, kept, strict=True)):
-            a, b = int(cuts[x]), int(cuts[x + 1])
-            start = item[1] + (math.log(lat.share[before[-1]]) if len(before) else 0.0)
-            total = np.cumsum(np.concatenate([[start], log_share[a:b]]))
-            log_p[a:b] = total[:-1]
-            sums.append(float(total[-1]))
+        start = np.array([item[1] + (math.log(lat.share[before[-1]]) if len(before) else 0.0) for item, before in zip(items, kept, strict=True)])
+        total = np.zeros(len(edges) + 1)  # summed by row, so that a row's sums don't depend on other rows
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            np.cumsum(log_share[a:b], out=total[a + 1 : b + 1])
+        sums = (start + np.where(np.diff(cuts) > 0, total[cuts[1:]], 0.0)).tolist()
+        total[cuts[:-1]] = 0.0
+        log_p = np.repeat(start, np.diff(cuts)) + total[:-1]  # of what is before each edge
         steps = np.diff(cuts)
         size = lat.size[edges]
         ends = starts_of(size)
         place = np.repeat(part.rows[rows + 1] - part.rows[rows] - ends[cuts[1:]], steps) + ends[:-1]
         g = priorities(np.repeat(tops, steps), log_p, lat.others[edges], np.repeat(gumbels[rows], steps), place)
+        own = _own_steps(part, lat, items, kept, rests, places, rows, gumbels)
         room = k - turn  # the samples still wanted after these, and the threshold
         for x, (i, item, before) in enumerate(zip(live, items, kept, strict=True)):
             a, b = int(cuts[x]), int(cuts[x + 1])
             done[i].append((item[0], sums[x], np.concatenate([before, edges[a:b]])))
             agenda, at = agendas[i], len(before)
             if at:  # what is left of the item's own step
-                log_q = np.array([item[1]])
-                here = places[x] - part.rows[i] - lat.size[before[-1:]]
-                own = float(priorities(np.array([item[0]]), log_q, np.array([rests[x]]), gumbels[i : i + 1], here)[0])
-                agenda.append((own, item[1], turn, at - 1, (*item[4], int(before[-1]))))
+                agenda.append((own[x], item[1], turn, at - 1, (*item[4], int(before[-1]))))
             best = np.argpartition(g[a:b], b - a - room)[-room:] if b - a > room else np.arange(b - a)
             agenda += [(float(g[a + j]), float(log_p[a + j]), turn, at + j, (int(edges[a + j]),)) for j in best.tolist()]
             agenda[:] = sorted((item for item in agenda if item[0] > -math.inf), key=lambda item: -item[0])[:room]
@@ -358,6 +356,15 @@ def _another(lat: Lattices, without: tuple[int, ...], r: float) -> tuple[int, fl
     return left[pick], sum(s for j, s in enumerate(shares) if j != pick)
 
 
+def _own_steps(part: Part, lat: Lattices, items: list[tuple], kept: list[np.ndarray], rests: list[float], places: list[int], rows: np.ndarray, gumbels: np.ndarray) -> list[float]:
+    """The priorities of what is left at the steps where expanded items leave their parents (unused for items without a parent)."""
+    last = np.array([before[-1] if len(before) else -1 for before in kept], dtype=np.int64)
+    if not len(last) or last.max() < 0:
+        return [-math.inf] * len(last)
+    here = np.array(places, dtype=np.int64) - part.rows[rows] - np.where(last < 0, 0, lat.size[last])
+    return priorities(np.array([item[0] for item in items]), np.array([item[1] for item in items]), np.array(rests), gumbels[rows], here).tolist()
+
+
 def priorities(top: np.ndarray, log_p: np.ndarray, rest: np.ndarray, seed: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Gumbel variables of the masses exp(log_p) * rest, truncated at top; -inf where nothing is left."""
     with np.errstate(divide="ignore"):
@@ -403,8 +410,9 @@ def segmentations(v: Vocabulary, keys: list[str], offsets: np.ndarray, data: np.
     lengths = np.array([len(path) for _, _, path in flat], dtype=np.int64)
     ids, count = piece_ids(v, part.lattices, np.concatenate([path for _, _, path in flat]) if flat else np.zeros(0, dtype=np.int64))
     cuts = starts_of(count)[starts_of(lengths)]
-    width = v.raw_starts[ids + 1] - v.raw_starts[ids]
-    back, ends = v.raw_bytes[spans(v.raw_starts[ids], width)].tobytes(), starts_of(width)[cuts].tolist()
+    back = v.raw_column.take(pa.array(ids))
+    ends = np.frombuffer(back.buffers()[1], dtype=np.int64)[cuts].tolist() if len(ids) else cuts.tolist()
+    back = back.buffers()[2].to_pybytes() if len(ids) else b""
     raw, at = data.tobytes(), offsets.tolist()
     decoded = [back[ends[x] : ends[x + 1]] == (b" " + raw[at[i] : at[i + 1]] if at[i + 1] > at[i] else b"") for x, i in enumerate(row.tolist())]
     return row, [
