@@ -17,7 +17,7 @@ _LOCAL_SHARED: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-_BATCH, _BATCH_DEFAULT, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 16 << 20
+_BATCH, _BATCH_DEFAULT, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
