@@ -78,6 +78,13 @@ def _block(h: np.ndarray, check: np.ndarray, doc: np.ndarray, start: np.ndarray,
             yield _send(group, blobs, 0)
 
 
+def _joined(held: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """The columns of a block; the list is emptied, so that its parts don't stay beside them."""
+    out = [np.concatenate(c) for c in zip(*held, strict=True)]
+    held.clear()
+    return out
+
+
 def _hash_windows(size: int, bits: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -93,10 +100,10 @@ def _hash_windows(size: int, bits: int, buckets: int):
                 held.append((h, tb.window_checks(words, first[row] + start, size), ids[lo:hi][row], start))
                 n += len(h)
                 if n >= BLOCK_WINDOWS:
-                    yield from _block(*map(np.concatenate, zip(*held, strict=True)), bits, buckets)
-                    held, n = [], 0
+                    yield from _block(*_joined(held), bits, buckets)
+                    n = 0
         if n:
-            yield from _block(*map(np.concatenate, zip(*held, strict=True)), bits, buckets)
+            yield from _block(*_joined(held), bits, buckets)
 
     return run
 
