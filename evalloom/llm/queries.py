@@ -22,8 +22,7 @@ def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three sampled segmentations of every document."""
     rows = sentencepiece_sampling.sampled(_table(spark, sf_dir, "documents"), ["doc_id"])
-    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    return rows.select("doc_id", "sample", "n_pieces", F.round("log_prob", 9).alias("log_prob"), F.round("inclusion", 9).alias("inclusion"), digest.alias("ids_sha256"), "decoded")
+    return rows.select("doc_id", "sample", "n_pieces", F.round("log_prob", 9).alias("log_prob"), F.round("inclusion", 9).alias("inclusion"), "ids_sha256", "decoded")
 
 
 def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,7 +106,7 @@ class Lattices:
     """The lattices of distinct chunks. Nodes are places in chunks, those with fewest code points after them first; the last node ends every chunk.
 
     By edge, a node's edges together: dest, size (code points), id (of a piece, or -1 - code point), share (of the mass of the node's completions that
-    take it), upto (the shares of the node up to it; above 1 for the last) and others (the shares of the node's other edges, summed without it).
+    take it), upto (the shares of the node up to it; above 1 for the last) and the logarithms of share and of the shares of the node's other edges, summed without it.
     """
 
     def __init__(self, v: Vocabulary, cp: np.ndarray, size: np.ndarray):
@@ -176,11 +176,12 @@ class Lattices:
             mass[lo:hi] = top + np.log(total)
             self.share[a:b] = value / np.repeat(total, own)
         if not n:
-            self.upto, self.others = self.share, self.share
+            self.upto, self.log_share, self.log_others = self.share, self.share, self.share
             return
         heavy = self.share > 0.75  # one of a node's at most; 1 - share would lose digits there
         rest = np.add.reduceat(np.where(heavy, 0.0, self.share), first[:-1])
-        self.others = np.where(heavy, np.repeat(rest, degree), 1.0 - self.share)
+        with np.errstate(divide="ignore"):
+            self.log_share, self.log_others = np.log(self.share), np.log(np.where(heavy, np.repeat(rest, degree), 1.0 - self.share))
         self.upto = self.share.copy()
         for j in range(1, int(degree.max())):
             e = first[np.flatnonzero(degree > j)] + j
@@ -314,7 +315,7 @@ def sample(part: Part, seeds: np.ndarray, k: int) -> tuple[list[list[tuple[float
         owner = np.repeat(rows, walks)
         edges, count = lat.walk(node, place - part.rows[owner], draws[owner])
         cuts = starts_of(count)[begin]
-        tops, log_share = np.array([item[0] for item in items]), np.log(lat.share[edges])
+        tops, log_share = np.array([item[0] for item in items]), lat.log_share[edges]
         start = np.array([item[1] + (math.log(lat.share[before[-1]]) if len(before) else 0.0) for item, before in zip(items, kept, strict=True)])
         total = np.zeros(len(edges) + 1)  # summed by row, so that a row's sums don't depend on other rows
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -326,7 +327,7 @@ def sample(part: Part, seeds: np.ndarray, k: int) -> tuple[list[list[tuple[float
         size = lat.size[edges]
         ends = starts_of(size)
         place = np.repeat(part.rows[rows + 1] - part.rows[rows] - ends[cuts[1:]], steps) + ends[:-1]
-        g = priorities(np.repeat(tops, steps), log_p, lat.others[edges], np.repeat(gumbels[rows], steps), place)
+        g = priorities(np.repeat(tops, steps), log_p, lat.log_others[edges], np.repeat(gumbels[rows], steps), place)
         own = _own_steps(part, lat, items, kept, rests, places, rows, gumbels)
         room = k - turn  # the samples still wanted after these, and the threshold
         for x, (i, item, before) in enumerate(zip(live, items, kept, strict=True)):
@@ -362,13 +363,14 @@ def _own_steps(part: Part, lat: Lattices, items: list[tuple], kept: list[np.ndar
     if not len(last) or last.max() < 0:
         return [-math.inf] * len(last)
     here = np.array(places, dtype=np.int64) - part.rows[rows] - np.where(last < 0, 0, lat.size[last])
-    return priorities(np.array([item[0] for item in items]), np.array([item[1] for item in items]), np.array(rests), gumbels[rows], here).tolist()
+    with np.errstate(divide="ignore"):
+        log_rest = np.log(np.array(rests))
+    return priorities(np.array([item[0] for item in items]), np.array([item[1] for item in items]), log_rest, gumbels[rows], here).tolist()
 
 
-def priorities(top: np.ndarray, log_p: np.ndarray, rest: np.ndarray, seed: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Gumbel variables of the masses exp(log_p) * rest, truncated at top; -inf where nothing is left."""
-    with np.errstate(divide="ignore"):
-        mass = log_p + np.log(rest)
+def priorities(top: np.ndarray, log_p: np.ndarray, log_rest: np.ndarray, seed: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Gumbel variables of the masses exp(log_p + log_rest), truncated at top; -inf where nothing is left."""
+    mass = log_p + log_rest
     # exp(-priority) is exp(-top) and an exponential variable of rate exp(mass)
     return mass - np.log(np.exp(np.minimum(700.0, mass - top)) - np.log(uniform(seed, place)))
 
@@ -397,11 +399,11 @@ def piece_ids(v: Vocabulary, lat: Lattices, edges: np.ndarray) -> tuple[np.ndarr
     return out, count
 
 
-ROWS = "sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids array<int>, decoded boolean"
+ROWS = "sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids array<int>, ids_sha256 string, decoded boolean"
 
 
 def segmentations(v: Vocabulary, keys: list[str], offsets: np.ndarray, data: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, list[pa.Array]]:
-    """(row of each sample, the columns of ROWS) of texts that lie one after another."""
+    """(row of each sample, the columns of ROWS) of texts that lie one after another; ids_sha256: of the ids as little-endian unsigned 32-bit numbers."""
     seeds = np.array([int.from_bytes(hashlib.sha256(f"{seed}|{key}".encode()).digest()[:8], "little") for key in keys], dtype=np.uint64)
     part = Part(v, offsets, data)
     done, threshold = sample(part, seeds, k)
@@ -413,6 +415,8 @@ def segmentations(v: Vocabulary, keys: list[str], offsets: np.ndarray, data: np.
     back = v.raw_column.take(pa.array(ids))
     ends = np.frombuffer(back.buffers()[1], dtype=np.int64)[cuts].tolist() if len(ids) else cuts.tolist()
     back = back.buffers()[2].to_pybytes() if len(ids) else b""
+    wide, bounds = memoryview(ids.astype("<u4").tobytes()), (4 * cuts).tolist()
+    digests = [hashlib.sha256(wide[a:b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     raw, at = data.tobytes(), offsets.tolist()
     decoded = [back[ends[x] : ends[x + 1]] == (b" " + raw[at[i] : at[i + 1]] if at[i + 1] > at[i] else b"") for x, i in enumerate(row.tolist())]
     return row, [
@@ -422,6 +426,7 @@ def segmentations(v: Vocabulary, keys: list[str], offsets: np.ndarray, data: np.
         pa.array([g for g, _, _ in flat], pa.float64()),
         pa.array([inclusion(p, threshold[i]) for i, (_, p, _) in zip(row.tolist(), flat, strict=True)], pa.float64()),
         pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids)),
+        pa.array(digests, pa.string()),
         pa.array(decoded, pa.bool_()),
     ]
 

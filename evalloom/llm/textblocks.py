@@ -29,9 +29,12 @@ NULL_ID = -(1 << 63)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values (the splitmix64 finaliser)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))  # a new array, the rest is in place
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
