@@ -129,7 +129,7 @@ SELECT budget_n, round(coalesce(hits, 0) / nullif(coalesce(known, 0), 0), 9) AS
 SELECT arm, field, round(CASE WHEN count(v) = count(*) THEN sum(v) END, 6) AS value, count(v) AS known, count(*) AS total, count(*) - count(v) AS missing, CASE WHEN count(v) < count(*) THEN 'missing_observation' END AS note FROM f GROUP BY 1, 2""",
     "paired_resource": f"""WITH {OUTCOMES}, {SLOTS}, s AS (SELECT l_orderkey, CASE WHEN count(elapsed) = count(*) THEN sum(round(elapsed * 100000)::BIGINT)::BIGINT END AS v FROM slots GROUP BY 1), x AS (SELECT o.*, v FROM outcomes o JOIN s ON key = l_orderkey WHERE v IS NOT NULL),
 i AS (SELECT a.lineage_id, a.instance_id, avg(a.v - b.v) AS v FROM x a JOIN x b ON a.method = 'X' AND b.method = 'P' AND a.lineage_id = b.lineage_id AND a.instance_id = b.instance_id AND a.replicate = b.replicate GROUP BY 1, 2)
-SELECT 'X-P' AS contrast, lineage_id, round(round(avg(v), 9) / 100000, 7) AS effect, count(*) AS n FROM i GROUP BY 2""",
+SELECT 'X-P' AS contrast, lineage_id, round(round(avg(v), 9) / 100000, 9) AS effect, count(*) AS n FROM i GROUP BY 2""",
     "telemetry_by_phase": """SELECT event_type AS phase, count(*) AS n, round(sum(value), 6) AS cpu, round(max(value), 9) AS memory_peak, CASE WHEN count(tokens) = count(*) THEN sum(tokens) END AS tokens
 FROM (SELECT *, CASE WHEN event_type <> 'error' OR event_id % 2 = 0 THEN (event_id % 97)::DOUBLE END AS tokens FROM events) GROUP BY 1""",
     "agreement_kappa": """WITH m AS (SELECT quality AS l, toxic AS r FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), t AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (l = r) AS same FROM m),

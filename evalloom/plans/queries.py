@@ -143,7 +143,7 @@ def paired_resource(v: Views) -> DataFrame:
     sums = v.slots().groupBy("l_orderkey").agg(C.poisoned_sum(F.round(F.col("elapsed") * 100000).cast("long"), empty_is_zero=False).alias("v"))
     rows = v.facts().join(sums, F.col("key") == F.col("l_orderkey"))
     out = pairing.paired_effects(rows, CONTRASTS[:1], ["lineage_id", "instance_id", "replicate"], "v", "arm", [["lineage_id", "instance_id"], ["lineage_id"]])
-    return out.withColumn("effect", F.round(F.col("effect") / 100000, 7))
+    return out.withColumn("effect", F.round(F.col("effect") / 100000, 9))
 
 
 @query
