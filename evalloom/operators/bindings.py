@@ -22,13 +22,29 @@ def bind_symbols(symbols: DataFrame, layout: DataFrame) -> DataFrame:
     return j.select("symbol_id", status.alias("status"), F.when(status == "bound", slot).alias("slot"), F.when(status == "bound", offset).alias("offset"))
 
 
+def _tail(text: str, length: str) -> Column:
+    return F.expr(f"substring({text}, octet_length({text}) - {length} + 1, {length})")
+
+
 def bind_actions(actions: DataFrame, functions: DataFrame) -> DataFrame:
-    """actions (action, name, target) by functions (name, contract): by name, narrowed by suffix match of the target when any function has it."""
-    f = functions.select(F.col("name").alias("_n"), F.col("contract").alias("_c"))
-    hit = F.col("_c").isNotNull() & F.col("target").isNotNull() & ((F.col("_c") == F.col("target")) | F.col("_c").endswith(F.col("target")) | F.col("target").endswith(F.col("_c")))
-    j = actions.join(f, F.col("name") == F.col("_n"), "left").withColumn("_hit", F.coalesce(hit, F.lit(False)).cast("int"))
-    narrowed = j.withColumn("_any", F.max("_hit").over(Window.partitionBy("action"))).where("_hit = _any")
-    t = narrowed.groupBy("action").agg(F.count("_n").alias("n"), F.min("_c").alias("contract"))
+    """actions (action, name, target) by functions (name, contract): by name, narrowed by suffix match of the target when any function has it.
+
+    Functions are counted by name and contract before they meet anything, and each distinct name and target is answered once, so rows don't
+    grow with the functions of a name. A suffix match is an equality of the longer text's last bytes, for the lengths that the other side has under the name.
+    """
+    binary = lambda c: F.col(c).cast("binary")
+    f = functions.where("name IS NOT NULL").groupBy(F.col("name").alias("_n"), F.col("contract").alias("_c")).agg(F.count("*").alias("_k")).withColumn("_cb", binary("_c"))
+    every = f.groupBy("_n").agg(F.sum("_k").alias("_all"), F.min("_c").alias("_first"))
+    asked = actions.where("name IS NOT NULL").select(F.col("name").alias("_n"), F.col("target").alias("_t")).distinct().withColumn("_tb", binary("_t"))
+    f_known, a_known = f.where("_c IS NOT NULL"), asked.where("_t IS NOT NULL").select("_n", "_tb")
+    f_lengths, a_lengths = f_known.select("_n", F.expr("octet_length(_cb) AS _l")).distinct(), a_known.select("_n", F.expr("octet_length(_tb) AS _l")).distinct()
+    ends = f_known.join(a_lengths, "_n").where("octet_length(_cb) >= _l").groupBy("_n", _tail("_cb", "_l").alias("_tb")).agg(F.sum("_k").alias("_k"), F.min("_c").alias("_c"))
+    longer = a_known.join(f_lengths, "_n").where("octet_length(_tb) > _l").select("_n", "_tb", _tail("_tb", "_l").alias("_cb")).join(f_known, ["_n", "_cb"])
+    hits = a_known.join(ends, ["_n", "_tb"]).unionByName(longer.select("_n", "_tb", "_k", "_c")).groupBy("_n", "_tb").agg(F.sum("_k").alias("_hits"), F.min("_c").alias("_hit"))
+    answers = asked.join(every, "_n").join(hits, ["_n", "_tb"], "left").select("_n", "_t", "_all", "_first", "_hits", "_hit")
+    j = actions.join(answers, (F.col("name") == F.col("_n")) & F.col("target").eqNullSafe(F.col("_t")), "left")
+    sums = j.groupBy("action").agg(F.coalesce(F.sum("_hits"), F.lit(0)).alias("_hits"), F.min("_hit").alias("_hit"), F.coalesce(F.sum("_all"), F.lit(0)).alias("_all"), F.min("_first").alias("_first"))
+    t = sums.select("action", F.when(F.col("_hits") > 0, F.col("_hits")).otherwise(F.col("_all")).alias("n"), F.when(F.col("_hits") > 0, F.col("_hit")).otherwise(F.col("_first")).alias("contract"))
     return t.select("action", F.when(F.col("n") == 0, "missing").when(F.col("n") > 1, "ambiguous").otherwise("bound").alias("status"), F.when(F.col("n") == 1, F.col("contract")).alias("contract"))
 
 

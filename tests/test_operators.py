@@ -419,6 +419,36 @@ def test_bindings_and_matches(spark):
     assert {r["pair"]: r["matched"] for r in campaigns.strict_match(rows, ["pair"], "arm", "X", "P").collect()} == {"p": True, "q": False, "r": False}
 
 
+def most_rows(plan):
+    """The most rows that any node of an executed plan gave."""
+    kind = plan.getClass().getSimpleName()
+    inner = plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan() if kind.endswith("QueryStageExec") else None
+    below = [inner] if inner else [plan.children().apply(i) for i in range(plan.children().size())]
+    rows = plan.metrics().get("numOutputRows")
+    return max([rows.get().value() if rows.isDefined() else 0, *map(most_rows, below)])
+
+
+def test_actions_meet_counted_functions_not_each_function_of_a_name(spark):
+    from evalloom.operators import bindings
+
+    actions = spark.createDataFrame([(i, "f", f"c{i % 3}") for i in range(200)], "action int, name string, target string")
+    functions = spark.createDataFrame([("f", f"x.c{i % 4 + 1}") for i in range(300)] + [("f", "y.c0")], "name string, contract string")
+    got = bindings.bind_actions(actions, functions)
+    assert {(r["action"] % 3, r["status"], r["contract"]) for r in got.collect()} == {(0, "bound", "y.c0"), (1, "ambiguous", None), (2, "ambiguous", None)}
+    assert most_rows(got._jdf.queryExecution().executedPlan()) <= 301  # 60,200 if actions meet each function
+
+
+def test_actions_match_suffixes_both_ways(spark):
+    from evalloom.operators import bindings
+
+    cases = [("equal", "e", "p.C"), ("longer", "e", "q.p.C"), ("shorter", "e", "C"), ("other", "e", "D"), ("bytes", "u", "é"), ("null", "n", "C"), ("none", "n", None), ("empty", "u", ""), ("twice", "e", "p.C"), ("twice", "e", "Z"), ("both", "e", "p.C"), ("both", "e", "C"), (None, None, "C")]
+    actions = spark.createDataFrame(cases, "action string, name string, target string")
+    functions = spark.createDataFrame([("e", "p.C"), ("e", "p.D.E"), ("u", "sé"), ("u", "sè"), ("n", None), (None, "C")], "name string, contract string")
+    got = {r["action"]: (r["status"], r["contract"]) for r in bindings.bind_actions(actions, functions).collect()}
+    bound, ambiguous = ("bound", "p.C"), ("ambiguous", None)
+    assert got == {"equal": bound, "longer": bound, "shorter": bound, "other": ambiguous, "bytes": ("bound", "sé"), "null": ("bound", None), "none": ("bound", None), "empty": ambiguous, "twice": bound, "both": ambiguous, None: ("missing", None)}
+
+
 def test_prefix_sums_and_ranks(spark):
     from evalloom.runtime import global_index, sums_before
 
