@@ -7,8 +7,9 @@ them. Expanding the best item draws the completion that has its priority and spl
 of the whole. The first k completions are an exact sample of k distinct segmentations without replacement; the (k + 1)-th priority is the threshold of their inclusion
 probabilities. No more than k items can still be wanted, so the agenda holds k of them and memory is bounded by k times the text.
 
-Array operations do the work of many rows together: no piece holds a blank after another sign, so lattices fall into runs of blanks with what follows (chunks);
-distinct chunks of a part of the rows get their edges and masses once, and each expansion walks all chunks of all rows of the part at the same time.
+Array operations do the work of many rows together: no piece holds a blank after another sign, so lattices fall into runs of blanks with what follows (chunks).
+A place's completions depend on the rest of its chunk only, so each distinct rest gets its edges and masses once, for all chunks that end in it and, until the kept lattices
+are full, for all parts of the rows that a worker takes. Each expansion walks all chunks of all rows of a part at the same time.
 
 Draws are hashes of the row's key, the expansion and the place in the text, so a row gives the same samples wherever it is computed. Decoding restores the text exactly; a
 U+2581 in a text is written as bytes.
@@ -36,7 +37,8 @@ SAMPLES = 3
 BLANK = "▁"
 MARK = ord(BLANK)
 LITERAL = 0xD800  # marks a U+2581 of the text in lattices; a lone surrogate occurs in no text
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 19
+MOST_EDGES = 3 << 20  # of kept lattices, about 200 MB with their nodes; beyond that they start anew
 FIRST_RANKED = 259  # of the model's vocabulary: control and byte pieces come before
 _STATE: dict[str, Vocabulary] = {}
 
@@ -54,7 +56,9 @@ def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def starts_of(size: np.ndarray) -> np.ndarray:
     """n + 1 offsets of spans that lie one after another."""
-    return np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(len(size) + 1, dtype=np.int64)
+    np.cumsum(size, out=out[1:])
+    return out
 
 
 class Vocabulary:
@@ -88,6 +92,7 @@ class Vocabulary:
                 self.opening[ord(p)] = state[p]
         self.ends = np.array([ids.get(p, -1) for p in state])
         # pieces may only hold blanks before other signs, so blanks split texts into chunks
+        self.lattices: Lattices | None = None  # of the chunks met so far
         self.splits = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in ids)
 
     def decode(self, ids: list[int]) -> str:
@@ -103,109 +108,225 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Lattices:
-    """The lattices of distinct chunks. Nodes are places in chunks, those with fewest code points after them first; the last node ends every chunk.
+    """The lattices of chunks, kept over the parts of a worker's texts. A node is a suffix of chunks, whatever chunks end in it (what follows decides its completions);
+    node 0 is the end of all.
 
-    By edge, a node's edges together: dest, size (code points), id (of a piece, or -1 - code point), share (of the mass of the node's completions that
-    take it), upto (the shares of the node up to it; above 1 for the last) and the logarithms of share and of the shares of the node's other edges, summed without it.
+    By node: first (edge), mass (its logarithm), length (code points), rest (the node of the suffix without its first sign), place (of the suffix in `text`). By edge, a node's edges together: dest,
+    size (code points), id (of a piece, or -1 - code point), share (of the mass of the node's completions that take it), upto (the shares of the node up to it; above 1 for
+    the last) and the logarithms of share and of the shares of the node's other edges, summed without it.
     """
 
-    def __init__(self, v: Vocabulary, cp: np.ndarray, size: np.ndarray):
-        n, ends = len(cp), np.cumsum(size)
-        left = np.repeat(ends, size) - np.arange(n)  # code points from here to the end of the chunk
-        order = np.argsort(left.astype(np.uint16) if n < 1 << 16 or int(left.max()) < 1 << 16 else left, kind="stable")
-        node = np.empty(n, dtype=np.int64)
-        node[order] = np.arange(n)
-        self.root = node[ends - size]
-        found, count = self._pieces(v, cp, left), np.zeros(n, dtype=np.int64)
-        for at, _, _ in found:
-            count[at] += 1
-        degree = count[order]
-        self.first = starts_of(degree)
-        self.dest, self.id, self.size, log_p = (np.empty(int(self.first[-1]), dtype=t) for t in (np.int32, np.int32, np.int32, np.float64))
-        fill = self.first[node]
-        for at, length, ids in reversed(found):  # longer ones first
-            e = fill[at]
-            fill[at] += 1
-            inside = left[at] > length
-            self.dest[e], self.dest[e[inside]] = n, node[at[inside] + length]
+    NODE = {"mass": np.float64, "length": np.int32, "rest": np.int32, "place": np.int32}
+    EDGE = {"dest": np.int32, "id": np.int32, "size": np.int32, "share": np.float64, "upto": np.float64, "log_share": np.float64, "log_others": np.float64}
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.nodes, self.edges, self.signs = v, 1, 0, 0
+        for name, kind in (self.NODE | self.EDGE | {"first": np.int32, "text": np.uint32}).items():
+            room = MOST_EDGES * 5 // 4 if name in self.EDGE else MOST_EDGES // 2
+            setattr(self, name, np.empty(max(room, 2), dtype=kind))  # memory is taken where written
+        self.first[:2], self.mass[0], self.length[0], self.rest[0], self.place[0] = 0, 0.0, 0, 0, 0
+        self.keys, self.at_key = np.zeros(1 << 16, dtype=np.uint64), np.zeros(1 << 16, dtype=np.int32)
+
+    def roots(self, cp: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray | None:
+        """The node of each chunk (chunks lie one after another), adding those that aren't there; None, and nothing added, if two contents have one hash."""
+        if not len(starts):
+            return np.zeros(0, dtype=np.int32)
+        ends = starts + size
+        at = np.arange(len(cp))
+        left = np.repeat(ends, size) - at  # code points from here to the end of the chunk
+        upto = np.zeros(len(cp) + 1, dtype=np.uint64)
+        np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * tb.powers(tb.BASE, int(size.max()) + 1)[left], out=upto[1:])
+        root = self._find(tb.mix(upto[ends] - upto[starts]))
+        known = root > 0
+        if (self.length[root[known]] != size[known]).any():
+            return None
+        at += np.repeat(np.where(known, self.place[root], 0) - starts, size)
+        if (np.repeat(known, size) & (self.text.take(at, mode="clip") != cp)).any():
+            return None
+        if known.all():
+            return root
+        size = size[~known]
+        place = spans(starts[~known], size)
+        cp, left = cp[place], left[place]
+        h = tb.mix(upto[place + left] - upto[place])
+        node = self._find(h)
+        new = np.flatnonzero(node == 0)
+        h = h[new]
+        order = np.argsort(h)
+        kinds = h[order]
+        opens = np.append(True, kinds[1:] != kinds[:-1])
+        kind = np.empty(len(new), dtype=np.int64)
+        kind[order] = np.cumsum(opens) - 1
+        kinds, first = kinds[opens], new[order[opens]]
+        order = np.argsort(left[first], kind="stable")
+        number = np.empty(len(order), dtype=np.int32)
+        number[order] = np.arange(self.nodes, self.nodes + len(order))
+        node[new] = number[kind]
+        # suffixes are one node if their first signs and the nodes of what follows are
+        rest = np.where(left > 1, np.append(node[1:], 0), 0).astype(np.int32)
+        old, like = node < self.nodes, first[kind]
+        was = node[old]
+        if (cp[new] != cp[like]).any() or (rest[new] != rest[like]).any() or (rest[old] != self.rest[was]).any() or (cp[old] != self.text[self.place[was]]).any():
+            return None
+        self._add(cp, left, node, rest, first[order])
+        self._insert(kinds, number)
+        root[~known] = node[starts_of(size)[:-1]]
+        return root
+
+    def apart(self, cp: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The node of each chunk, with nodes of its own for each; for contents whose hashes collide."""
+        left = np.repeat(starts + size, size) - np.arange(len(cp))
+        order = np.argsort(left, kind="stable")
+        node = np.empty(len(cp), dtype=np.int32)
+        node[order] = np.arange(self.nodes, self.nodes + len(cp))
+        self._add(cp, left, node, np.where(left > 1, np.append(node[1:], 0), 0), order)
+        return node[starts]
+
+    def _room(self, names: dict, size: int) -> None:
+        for name in names:
+            have = getattr(self, name)
+            if len(have) < size:
+                more = np.empty(max(size, 2 * len(have)), dtype=have.dtype)
+                more[: len(have)] = have
+                setattr(self, name, more)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        """The first slots of hashes, in their order, so that sorted ones are written one after another."""
+        return (h >> np.uint64(65 - len(self.keys).bit_length())).astype(np.int64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The nodes of hashes, or 0: a table of open slots, one probe after another."""
+        last = len(self.keys) - 1
+        at, who = self._slot(h), np.arange(len(h))
+        out = np.zeros(len(h), dtype=np.int32)
+        while len(who):
+            node = self.at_key[at]
+            same = self.keys[at] == h[who]
+            out[who[same]] = node[same]
+            go = ~same & (node > 0)
+            who, at = who[go], (at[go] + 1) & last
+        return out
+
+    def _insert(self, h: np.ndarray, node: np.ndarray) -> None:
+        """Distinct hashes that aren't in the table."""
+        if 2 * self.nodes > len(self.keys):
+            some = self.at_key > 0
+            h, node = np.concatenate([self.keys[some], h]), np.concatenate([self.at_key[some], node])
+            slots = 1 << (2 * self.nodes).bit_length()
+            self.keys, self.at_key = np.zeros(slots, dtype=np.uint64), np.zeros(slots, dtype=np.int32)
+        last = len(self.keys) - 1
+        at = self._slot(h)
+        while len(h):
+            free = self.at_key[at] == 0
+            self.at_key[at[free]] = node[free]
+            there = self.at_key[at] == node
+            self.keys[at[there]] = h[there]
+            go = ~there
+            h, node, at = h[go], node[go], (at[go] + 1) & last
+
+    def _add(self, cp: np.ndarray, left: np.ndarray, node: np.ndarray, rest: np.ndarray, at: np.ndarray) -> None:
+        """New nodes, in their order, of the suffixes from the places `at` of cp, those with fewest code points first; node, rest: by place."""
+        n, m, a = self.nodes, len(at), self.edges
+        found, degree = self._pieces(self.v, cp, left, at), np.zeros(m, dtype=np.int64)
+        for who, _, _ in found:
+            degree[who] += 1
+        first = a + starts_of(degree)
+        b = int(first[-1])
+        self._room(self.NODE, n + m)
+        self._room({"first": 0}, n + m + 1)
+        self._room(self.EDGE, b)
+        self._room({"text": 0}, self.signs + len(cp))
+        self.text[self.signs : self.signs + len(cp)] = cp
+        self.first[n : n + m + 1], self.length[n : n + m], self.rest[n : n + m], self.place[n : n + m] = first, left[at], rest[at], self.signs + at
+        log_p, fill = np.empty(b - a), first[:-1].copy()
+        for who, length, ids in reversed(found):  # longer ones first
+            e = fill[who]
+            fill[who] += 1
+            inside = left[at[who]] > length
+            self.dest[e] = 0
+            self.dest[e[inside]] = node[at[who[inside]] + length]
             self.size[e], self.id[e] = length, ids
-            log_p[e] = v.log_p[np.maximum(ids, 0)] if length == 1 else v.log_p[ids]
+            log_p[e - a] = self.v.log_p[np.maximum(ids, 0)] if length == 1 else self.v.log_p[ids]
             if length == 1:
                 signs = ids < 0
-                log_p[e[signs]] = v.byte_log_p * utf8_bytes(-1 - ids[signs])
-        self._shares(log_p, degree, starts_of(np.bincount(left)[1:]))
-        self.end = n
+                log_p[e[signs] - a] = self.v.byte_log_p * utf8_bytes(-1 - ids[signs])
+        self.nodes, self.edges, self.signs = n + m, b, self.signs + len(cp)
+        self._shares(log_p, degree, n, a)
 
     @staticmethod
-    def _pieces(v: Vocabulary, cp: np.ndarray, left: np.ndarray) -> list[tuple[np.ndarray, int, np.ndarray]]:
-        """(places, length, ids) of the edges by length: one walk down the tree of prefixes from all places at once."""
-        at, state, out, length = np.arange(len(cp)), np.zeros(0, dtype=np.int32), [], 1
-        while len(at):
+    def _pieces(v: Vocabulary, cp: np.ndarray, left: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, int, np.ndarray]]:
+        """(numbers of the places, length, ids) of the edges from places by length: one walk down the tree of prefixes from all places at once."""
+        who, state, out, length = np.arange(len(at)), np.zeros(0, dtype=np.int32), [], 1
+        left = left[at]
+        while len(who):
             if length == 1:
-                state = v.opening[cp]
+                state = v.opening[cp[at]]
                 known = state >= 0
                 state = state[known]
             else:
                 r = v.next.rank(state, cp[at + length - 1])
                 known = r != NONE
                 state = v.next.merged[r[known]]
-            ids = np.full(len(at), -1)
+            ids = np.full(len(who), -1)
             ids[known] = v.ends[state]
             if length == 1:
                 alone = ids < 0
                 ids[alone] = -1 - cp[at[alone]].astype(np.int64)
-                out.append((at, length, ids))
+                out.append((who, length, ids))
             elif (ids >= 0).any():
-                out.append((at[ids >= 0], length, ids[ids >= 0]))
-            at = at[known]
-            more = left[at] > length
-            at, state, length = at[more], state[more], length + 1
+                out.append((who[ids >= 0], length, ids[ids >= 0]))
+            more = known & (left > length)
+            who, at, left, state, length = who[more], at[more], left[more], state[more[known]], length + 1
         return out
 
-    def _shares(self, log_p: np.ndarray, degree: np.ndarray, level: np.ndarray) -> None:
-        """level: offsets of the nodes by their code points to the end, of which each level needs those before only."""
-        n, first = len(degree), self.first
-        mass, self.share = np.zeros(n + 1), np.empty(len(log_p))
-        for lo, hi in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
-            a, b = first[lo], first[hi]
-            begin, own = first[lo:hi] - a, degree[lo:hi]
-            value = log_p[a:b] + mass[self.dest[a:b]]
+    def _shares(self, log_p: np.ndarray, degree: np.ndarray, n: int, a: int) -> None:
+        """Of the edges from a on, the nodes' from n on; a level of nodes with as many code points needs those with fewer only."""
+        if not len(degree):
+            return
+        m, first = len(degree), self.first[n : n + len(degree)].astype(np.int64) - a
+        length, mass, dest, share = self.length[n : n + m], self.mass, self.dest[a : a + len(log_p)], self.share[a : a + len(log_p)]
+        level = [0, *(np.flatnonzero(length[1:] != length[:-1]) + 1).tolist(), m]
+        stop = np.append(first, len(log_p))[level].tolist()
+        for lo, hi, x, y in zip(level[:-1], level[1:], stop[:-1], stop[1:], strict=True):
+            begin, own = first[lo:hi] - x, degree[lo:hi]
+            value = log_p[x:y] + mass[dest[x:y]]
             top = np.maximum.reduceat(value, begin)
             value = np.exp(value - np.repeat(top, own))
             total = np.add.reduceat(value, begin)
-            mass[lo:hi] = top + np.log(total)
-            self.share[a:b] = value / np.repeat(total, own)
-        if not n:
-            self.upto, self.log_share, self.log_others = self.share, self.share, self.share
-            return
-        heavy = self.share > 0.75  # one of a node's at most; 1 - share would lose digits there
-        rest = np.add.reduceat(np.where(heavy, 0.0, self.share), first[:-1])
+            mass[n + lo : n + hi] = top + np.log(total)
+            share[x:y] = value / np.repeat(total, own)
+        heavy = share > 0.75  # one of a node's at most; 1 - share would lose digits there
+        rest = np.add.reduceat(np.where(heavy, 0.0, share), first)
         with np.errstate(divide="ignore"):
-            self.log_share, self.log_others = np.log(self.share), np.log(np.where(heavy, np.repeat(rest, degree), 1.0 - self.share))
-        self.upto = self.share.copy()
+            self.log_share[a : a + len(log_p)] = np.log(share)
+            self.log_others[a : a + len(log_p)] = np.log(np.where(heavy, np.repeat(rest, degree), 1.0 - share))
+        upto = share.copy()
         for j in range(1, int(degree.max())):
             e = first[np.flatnonzero(degree > j)] + j
-            self.upto[e] += self.upto[e - 1]
-        self.upto[first[1:] - 1] = 2.0
+            upto[e] += upto[e - 1]
+        upto[np.append(first[1:], len(log_p)) - 1] = 2.0
+        self.upto[a : a + len(log_p)] = upto
 
     def walk(self, node: np.ndarray, place: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edges, their count by walk) of completions from each node, drawn in proportion to mass; place: of the node in its text, for the draws."""
         who, steps = np.arange(len(node)), []
+        draw = seed + place.astype(np.uint64) * tb.BASE
+        count = np.zeros(len(node), dtype=np.int64)
         while len(who):
             e = self.first[node]
-            r = uniform(seed, place)
+            r = _unit(draw)
             more = np.flatnonzero(r >= self.upto[e])
+            at, r = e[more], r[more]
             while len(more):
-                e[more] += 1
-                more = more[r[more] >= self.upto[e[more]]]
+                at += 1
+                e[more] = at
+                up = np.flatnonzero(r >= self.upto[at])
+                more, at, r = more[up], at[up], r[up]
             steps.append((who, e))
+            count[who] = len(steps)
             node = self.dest[e]
-            go = node < self.end
-            place = place[go] + self.size[e[go]]
-            who, node, seed = who[go], node[go], seed[go]
-        count = np.zeros(len(steps[0][0]) if steps else 0, dtype=np.int64)
-        for w, _ in steps:
-            count[w] += 1
+            go = np.flatnonzero(node)
+            who, node, draw = who[go], node[go], draw[go] + self.size[e[go]].astype(np.uint64) * tb.BASE
         begin = starts_of(count)
         edges = np.empty(int(begin[-1]), dtype=np.int64)
         for k, (w, e) in enumerate(steps):
@@ -220,7 +341,16 @@ def utf8_bytes(cp: np.ndarray) -> np.ndarray:
 
 def uniform(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Draws between 0 and 1, by the hash of a seed and a place."""
-    return ((tb.mix(seed + place.astype(np.uint64) * tb.BASE) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return _unit(seed + place.astype(np.uint64) * tb.BASE)
+
+
+def _unit(draw: np.ndarray) -> np.ndarray:
+    r = tb.mix(draw)
+    r >>= np.uint64(11)
+    r = r.astype(np.float64)
+    r += 0.5
+    r *= 2.0**-53
+    return r
 
 
 def streams(seed: np.ndarray, number: int) -> np.ndarray:
@@ -246,26 +376,13 @@ class Part:
         self.starts = np.flatnonzero(opens[:-1])
         self.size = np.diff(np.append(self.starts, len(cp)))
         self.chunks = np.searchsorted(self.starts, self.rows)  # offsets of the texts in chunks
-        kind, first = self._distinct(cp)
-        self.lattices = Lattices(v, cp[spans(self.starts[first], self.size[first])], self.size[first])
-        self.root = self.lattices.root[kind]
-
-    def _distinct(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of each chunk's content, the first chunk of each content)."""
-        if not len(self.starts):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        inside = spans(np.zeros(len(self.starts), dtype=np.int64), self.size)
-        value = (cp.astype(np.uint64) + np.uint64(1)) * tb.powers(tb.BASE, int(self.size.max()))[inside]
-        h = tb.mix(np.add.reduceat(value, self.starts) + self.size.astype(np.uint64) * tb.STEP)
-        _, first, kind = np.unique(h, return_index=True, return_inverse=True)
-        like = first[kind]
-        other = self.size != self.size[like]  # chunks whose hash is another content's are contents by themselves
-        safe = np.where(other, np.arange(len(like)), like)
-        differs = cp[spans(self.starts[safe], self.size)] != cp
-        other |= np.logical_or.reduceat(differs, self.starts)
-        lone = np.flatnonzero(other)
-        kind[lone] = len(first) + np.arange(len(lone))
-        return kind, np.concatenate([first, lone])
+        if v.lattices is None or v.lattices.edges > MOST_EDGES:
+            v.lattices = Lattices(v)
+        self.lattices, root = v.lattices, v.lattices.roots(cp, self.starts, self.size)
+        if root is None:
+            self.lattices = Lattices(v)
+            root = self.lattices.apart(cp, self.starts, self.size)
+        self.root = root
 
 
 def sample(part: Part, seeds: np.ndarray, k: int) -> tuple[list[list[tuple[float, float, np.ndarray]]], list[float]]:
@@ -273,7 +390,7 @@ def sample(part: Part, seeds: np.ndarray, k: int) -> tuple[list[list[tuple[float
 
     An item of the agenda is (priority, log probability of the edges before, sample that has them, their count, edges split off there).
     """
-    lat, n = part.lattices, len(seeds)
+    lat, n, none = part.lattices, len(seeds), np.zeros(0, dtype=np.int64)
     roots = -np.log(-np.log(uniform(streams(seeds, 0), np.zeros(n, dtype=np.int64))))
     agendas: list[list[tuple]] = [[(g, 0.0, 0, 0, ())] for g in roots.tolist()]
     done: list[list[tuple[float, float, np.ndarray]]] = [[] for _ in range(n)]
@@ -286,30 +403,22 @@ def sample(part: Part, seeds: np.ndarray, k: int) -> tuple[list[list[tuple[float
                 threshold[i] = item[0]
             break
         draws, gumbels = streams(seeds, 2 * turn + 1), streams(seeds, 2 * turn + 2)
-        kept, rests, places, nodes, chunks = [], [], [], [], []  # by row: edges before, share left of those split off, place, node of the walk in the chunk, chunks walked whole
-        for i, (_, _, parent, steps, without) in zip(live, items, strict=True):
-            place, last = int(part.rows[i]), int(part.chunks[i + 1])
-            if not without:
-                before, rest, node, chunk = np.zeros(0, dtype=np.int64), 0.0, lat.end, int(part.chunks[i])
-            else:
-                path = done[i][parent][2]
-                place += int(lat.size[path[:steps]].sum())
-                pick, rest = _another(lat, without, float(uniform(draws[i : i + 1], np.array([place - part.rows[i]]))[0]))
-                before, node = np.append(path[:steps], pick), int(lat.dest[pick])
-                place += int(lat.size[pick])
-                chunk = int(np.searchsorted(part.starts, place)) if place < part.rows[i + 1] else last
-            kept.append(before)
-            rests.append(rest)
-            places.append(place)
-            nodes.append(node)
-            chunks.append(chunk)
-        rows, chunk = np.array(live, dtype=np.int64), np.array(chunks, dtype=np.int64)
-        inner, whole = (np.array(nodes, dtype=np.int64) < lat.end).astype(np.int64), part.chunks[rows + 1] - chunk
+        rows = np.array(live, dtype=np.int64)
+        paths = [done[i][item[2]][2][: item[3]] if item[4] else none for i, item in zip(live, items, strict=True)]  # edges before
+        place = part.rows[rows] + np.array([int(lat.size[path].sum()) for path in paths], dtype=np.int64)
+        r = uniform(draws[rows], place - part.rows[rows]).tolist()
+        pairs = [_another(lat, item[4], x) if item[4] else (-1, 0.0) for item, x in zip(items, r, strict=True)]
+        picks, rests = np.array([pick for pick, _ in pairs], dtype=np.int64), [rest for _, rest in pairs]  # rest: share left of those split off
+        kept = [path if pick < 0 else np.append(path, pick) for path, (pick, _) in zip(paths, pairs, strict=True)]
+        place += np.where(picks < 0, 0, lat.size[picks])
+        places, nodes = place, np.where(picks < 0, 0, lat.dest[picks]).astype(np.int64)  # nodes: of the walks that begin in a chunk
+        chunk = np.where(place < part.rows[rows + 1], np.searchsorted(part.starts, place), part.chunks[rows + 1])  # from here on walked whole
+        inner, whole = (nodes > 0).astype(np.int64), part.chunks[rows + 1] - chunk
         walks = inner + whole
         begin = starts_of(walks)
         node, place = np.empty(int(begin[-1]), dtype=np.int64), np.empty(int(begin[-1]), dtype=np.int64)
         some = inner > 0
-        node[begin[:-1][some]], place[begin[:-1][some]] = np.array(nodes, dtype=np.int64)[some], np.array(places, dtype=np.int64)[some]
+        node[begin[:-1][some]], place[begin[:-1][some]] = nodes[some], places[some]
         to, of = spans(begin[:-1] + inner, whole), spans(chunk, whole)
         node[to], place[to] = part.root[of], part.starts[of]
         owner = np.repeat(rows, walks)
@@ -319,15 +428,15 @@ def sample(part: Part, seeds: np.ndarray, k: int) -> tuple[list[list[tuple[float
         start = np.array([item[1] + (math.log(lat.share[before[-1]]) if len(before) else 0.0) for item, before in zip(items, kept, strict=True)])
         total = np.zeros(len(edges) + 1)  # summed by row, so that a row's sums don't depend on other rows
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            np.cumsum(log_share[a:b], out=total[a + 1 : b + 1])
+            np.add.accumulate(log_share[a:b], out=total[a + 1 : b + 1])
         sums = (start + np.where(np.diff(cuts) > 0, total[cuts[1:]], 0.0)).tolist()
         total[cuts[:-1]] = 0.0
         log_p = np.repeat(start, np.diff(cuts)) + total[:-1]  # of what is before each edge
         steps = np.diff(cuts)
         size = lat.size[edges]
         ends = starts_of(size)
-        place = np.repeat(part.rows[rows + 1] - part.rows[rows] - ends[cuts[1:]], steps) + ends[:-1]
-        g = priorities(np.repeat(tops, steps), log_p, lat.log_others[edges], np.repeat(gumbels[rows], steps), place)
+        lead = part.rows[rows + 1] - part.rows[rows] - ends[cuts[1:]]  # an edge's place in its text is this and `ends`
+        g = priorities(np.repeat(tops, steps), log_p, lat.log_others[edges], np.repeat(gumbels[rows] + lead.astype(np.uint64) * tb.BASE, steps), ends[:-1])
         own = _own_steps(part, lat, items, kept, rests, places, rows, gumbels)
         room = k - turn  # the samples still wanted after these, and the threshold
         for x, (i, item, before) in enumerate(zip(live, items, kept, strict=True)):
@@ -344,7 +453,7 @@ def sample(part: Part, seeds: np.ndarray, k: int) -> tuple[list[list[tuple[float
 
 def _another(lat: Lattices, without: tuple[int, ...], r: float) -> tuple[int, float]:
     """(an edge of the node of the edges `without` that isn't one of them, in proportion to mass; the shares of the node's other edges that aren't)."""
-    node = int(np.searchsorted(lat.first, without[0], side="right")) - 1
+    node = int(lat.first[: lat.nodes + 1].searchsorted(np.int32(without[0]), side="right")) - 1
     left = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in without]
     shares = lat.share[left].tolist()
     r *= sum(shares)
@@ -357,12 +466,12 @@ def _another(lat: Lattices, without: tuple[int, ...], r: float) -> tuple[int, fl
     return left[pick], sum(s for j, s in enumerate(shares) if j != pick)
 
 
-def _own_steps(part: Part, lat: Lattices, items: list[tuple], kept: list[np.ndarray], rests: list[float], places: list[int], rows: np.ndarray, gumbels: np.ndarray) -> list[float]:
+def _own_steps(part: Part, lat: Lattices, items: list[tuple], kept: list[np.ndarray], rests: list[float], places: np.ndarray, rows: np.ndarray, gumbels: np.ndarray) -> list[float]:
     """The priorities of what is left at the steps where expanded items leave their parents (unused for items without a parent)."""
     last = np.array([before[-1] if len(before) else -1 for before in kept], dtype=np.int64)
     if not len(last) or last.max() < 0:
         return [-math.inf] * len(last)
-    here = np.array(places, dtype=np.int64) - part.rows[rows] - np.where(last < 0, 0, lat.size[last])
+    here = places - part.rows[rows] - np.where(last < 0, 0, lat.size[last])
     with np.errstate(divide="ignore"):
         log_rest = np.log(np.array(rests))
     return priorities(np.array([item[0] for item in items]), np.array([item[1] for item in items]), log_rest, gumbels[rows], here).tolist()
@@ -372,7 +481,12 @@ def priorities(top: np.ndarray, log_p: np.ndarray, log_rest: np.ndarray, seed: n
     """Gumbel variables of the masses exp(log_p + log_rest), truncated at top; -inf where nothing is left."""
     mass = log_p + log_rest
     # exp(-priority) is exp(-top) and an exponential variable of rate exp(mass)
-    return mass - np.log(np.exp(np.minimum(700.0, mass - top)) - np.log(uniform(seed, place)))
+    x = mass - top
+    np.minimum(x, 700.0, out=x)
+    np.exp(x, out=x)
+    x -= np.log(uniform(seed, place))
+    np.log(x, out=x)
+    return np.subtract(mass, x, out=x)
 
 
 def inclusion(log_p: float, threshold: float) -> float:
@@ -385,17 +499,16 @@ def piece_ids(v: Vocabulary, lat: Lattices, edges: np.ndarray) -> tuple[np.ndarr
     ids = lat.id[edges]
     signs = np.flatnonzero(ids < 0)
     count = np.ones(len(ids), dtype=np.int64)
+    if not len(signs):
+        return ids, count
     kinds, back = np.unique(ids[signs], return_inverse=True)
     raw = [(BLANK if s == -1 - LITERAL else chr(-1 - s)).encode() for s in kinds.tolist()]
     width = np.array([len(r) for r in raw], dtype=np.int64)
-    count[signs] = width[back]
-    begin = starts_of(count)
-    out = np.empty(int(begin[-1]), dtype=np.int32)
-    plain = ids >= 0
-    out[begin[:-1][plain]] = ids[plain]
-    if len(signs):
-        of_byte = np.array([v.bytes[b] for b in range(256)], dtype=np.int32)[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-        out[spans(begin[signs], count[signs])] = of_byte[spans(starts_of(width)[back], count[signs])]
+    own = width[back]
+    count[signs] = own
+    out = np.repeat(ids, count)
+    of_byte = np.array([v.bytes[b] for b in range(256)], dtype=np.int32)
+    out[spans(signs + starts_of(own - 1)[:-1], own)] = of_byte[np.frombuffer(b"".join(raw), dtype=np.uint8)][spans(starts_of(width)[back], own)]
     return out, count
 
 

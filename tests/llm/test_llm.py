@@ -293,6 +293,25 @@ def test_chunks_of_colliding_hashes_stay_apart(monkeypatch):
     assert drawn(v, texts, 3) == want
 
 
+def test_lattices_are_kept_and_shared_by_suffix(monkeypatch):
+    v = sentencepiece_sampling.vocabulary(sentencepiece_sampling.default_model())
+    monkeypatch.setattr(v, "lattices", None)
+    texts = ["walking talking talking stalking", "the stalking 日本 \U0001f600x", "  two  blanks ", ""]
+    want = drawn(v, texts, 3)
+    kept = v.lattices
+    # of "▁walking", "▁talking" and "▁stalking" the end is there once: "alking" and what is in front of it
+    assert drawn(v, texts[:1], 3) == want[:1] and v.lattices is kept
+    chunks = ["▁walking", "▁talking", "▁stalking", "▁the", "▁日本", "▁\U0001f600x", "▁▁▁two", "▁▁blanks", "▁"]
+    assert kept.nodes == 1 + len({c[i:] for c in chunks for i in range(len(c))})
+    size = kept.nodes, kept.edges, kept.signs
+    assert drawn(v, texts, 3) == want and (kept.nodes, kept.edges, kept.signs) == size  # the same texts add nothing
+    # other texts before these, or lattices that start anew with each part, don't change a row's samples
+    drawn(v, ["xwalking alking ing", "g 本"], 3)
+    assert v.lattices is kept and drawn(v, texts, 3) == want
+    monkeypatch.setattr(sentencepiece_sampling, "MOST_EDGES", 0)
+    assert drawn(v, texts, 3) == want and v.lattices is not kept
+
+
 def test_key_columns_may_have_names_of_the_output(spark):
     df = spark.createDataFrame([(1, "the dog", 5)], "sample long, text string, ids long")
     got = sentencepiece_sampling.sampled(df, ["sample", "ids"], k=2)
