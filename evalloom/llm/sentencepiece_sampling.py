@@ -38,7 +38,7 @@ BLANK = "▁"
 MARK = ord(BLANK)
 LITERAL = 0xD800  # marks a U+2581 of the text in lattices; a lone surrogate occurs in no text
 PART_BYTES = 1 << 19
-MOST_EDGES = 3 << 20  # of kept lattices, about 200 MB with their nodes; beyond that they start anew
+MOST_EDGES = 3 << 20  # of kept lattices, about 200 MB with their nodes
 FIRST_RANKED = 259  # of the model's vocabulary: control and byte pieces come before
 _STATE: dict[str, Vocabulary] = {}
 
@@ -121,7 +121,9 @@ class Lattices:
 
     def __init__(self, v: Vocabulary):
         self.v, self.nodes, self.edges, self.signs = v, 1, 0, 0
-        for name, kind in (self.NODE | self.EDGE | {"first": np.int32, "text": np.uint32}).items():
+        self.full: tuple[int, int, int] | None = None  # what is kept: once they are full, later nodes stay for a part only
+        self.passed = 0  # edges of such nodes
+        for name, kind in (self.NODE | self.EDGE | {"first": np.int64, "text": np.uint32}).items():
             room = MOST_EDGES * 5 // 4 if name in self.EDGE else MOST_EDGES // 2
             setattr(self, name, np.empty(max(room, 2), dtype=kind))  # memory is taken where written
         self.first[:2], self.mass[0], self.length[0], self.rest[0], self.place[0] = 0, 0.0, 0, 0, 0
@@ -164,15 +166,32 @@ class Lattices:
         node[new] = number[kind]
         # suffixes are one node if their first signs and the nodes of what follows are
         rest = np.where(left > 1, np.append(node[1:], 0), 0).astype(np.int32)
-        old, like = node < self.nodes, first[kind]
-        was = node[old]
-        if (cp[new] != cp[like]).any() or (rest[new] != rest[like]).any() or (rest[old] != self.rest[was]).any() or (cp[old] != self.text[self.place[was]]).any():
+        old, like = np.flatnonzero(node < self.nodes), first.take(kind)
+        was = node.take(old)
+        if (cp.take(new) != cp.take(like)).any() or (rest.take(new) != rest.take(like)).any():
+            return None
+        if (rest.take(old) != self.rest.take(was)).any() or (cp.take(old) != self.text.take(self.place.take(was))).any():
             return None
         self._add(cp, left, node, rest, first[order])
-        self._insert(kinds, number)
+        if self.full is None:
+            self._insert(kinds, number)
         root[~known] = node[starts_of(size)[:-1]]
         return root
 
+    def next_part(self) -> Lattices:
+        """The lattices for another part: these without what was for the last part only; new ones after a part of uncommon size, or when such nodes were many (other texts may have come)."""
+        if max(self.edges, self.signs) > 2 * MOST_EDGES:
+            return Lattices(self.v)
+        if self.full is None:
+            if self.edges > MOST_EDGES:
+                self.full = self.nodes, self.edges, self.signs
+            return self
+        self.passed += self.edges - self.full[1]
+        if self.passed > 8 * MOST_EDGES:
+            return Lattices(self.v)
+        self.nodes, self.edges, self.signs = self.full
+        return self
+
     def apart(self, cp: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The node of each chunk, with nodes of its own for each; for contents whose hashes collide."""
         left = np.repeat(starts + size, size) - np.arange(len(cp))
@@ -200,11 +219,11 @@ class Lattices:
         at, who = self._slot(h), np.arange(len(h))
         out = np.zeros(len(h), dtype=np.int32)
         while len(who):
-            node = self.at_key[at]
-            same = self.keys[at] == h[who]
-            out[who[same]] = node[same]
-            go = ~same & (node > 0)
-            who, at = who[go], (at[go] + 1) & last
+            node = self.at_key.take(at)
+            same = self.keys.take(at) == h.take(who)
+            out[who] = np.where(same, node, 0)
+            go = np.flatnonzero(~same & (node > 0))
+            who, at = who.take(go), (at.take(go) + 1) & last
         return out
 
     def _insert(self, h: np.ndarray, node: np.ndarray) -> None:
@@ -217,12 +236,12 @@ class Lattices:
         last = len(self.keys) - 1
         at = self._slot(h)
         while len(h):
-            free = self.at_key[at] == 0
-            self.at_key[at[free]] = node[free]
-            there = self.at_key[at] == node
-            self.keys[at[there]] = h[there]
-            go = ~there
-            h, node, at = h[go], node[go], (at[go] + 1) & last
+            free = np.flatnonzero(self.at_key.take(at) == 0)
+            self.at_key[at.take(free)] = node.take(free)
+            there = self.at_key.take(at) == node
+            done, go = np.flatnonzero(there), np.flatnonzero(~there)
+            self.keys[at.take(done)] = h.take(done)
+            h, node, at = h.take(go), node.take(go), (at.take(go) + 1) & last
 
     def _add(self, cp: np.ndarray, left: np.ndarray, node: np.ndarray, rest: np.ndarray, at: np.ndarray) -> None:
         """New nodes, in their order, of the suffixes from the places `at` of cp, those with fewest code points first; node, rest: by place."""
@@ -242,9 +261,8 @@ class Lattices:
         for who, length, ids in reversed(found):  # longer ones first
             e = fill[who]
             fill[who] += 1
-            inside = left[at[who]] > length
-            self.dest[e] = 0
-            self.dest[e[inside]] = node[at[who[inside]] + length]
+            place = at.take(who)
+            self.dest[e] = np.where(left.take(place) > length, node.take(place + length, mode="clip"), 0)
             self.size[e], self.id[e] = length, ids
             log_p[e - a] = self.v.log_p[np.maximum(ids, 0)] if length == 1 else self.v.log_p[ids]
             if length == 1:
@@ -256,27 +274,24 @@ class Lattices:
     @staticmethod
     def _pieces(v: Vocabulary, cp: np.ndarray, left: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, int, np.ndarray]]:
         """(numbers of the places, length, ids) of the edges from places by length: one walk down the tree of prefixes from all places at once."""
-        who, state, out, length = np.arange(len(at)), np.zeros(0, dtype=np.int32), [], 1
-        left = left[at]
+        left, state = left.take(at), v.opening.take(cp.take(at))
+        ids = np.where(state >= 0, v.ends.take(state, mode="clip"), -1)
+        alone = np.flatnonzero(ids < 0)
+        ids[alone] = -1 - cp.take(at.take(alone)).astype(np.int64)
+        out, length = [(np.arange(len(at)), 1, ids)], 1
+        go = np.flatnonzero((state >= 0) & (left > 1))
+        who, at, left, state = go, at.take(go), left.take(go), state.take(go)
         while len(who):
-            if length == 1:
-                state = v.opening[cp[at]]
-                known = state >= 0
-                state = state[known]
-            else:
-                r = v.next.rank(state, cp[at + length - 1])
-                known = r != NONE
-                state = v.next.merged[r[known]]
-            ids = np.full(len(who), -1)
-            ids[known] = v.ends[state]
-            if length == 1:
-                alone = ids < 0
-                ids[alone] = -1 - cp[at[alone]].astype(np.int64)
-                out.append((who, length, ids))
-            elif (ids >= 0).any():
-                out.append((who[ids >= 0], length, ids[ids >= 0]))
-            more = known & (left > length)
-            who, at, left, state, length = who[more], at[more], left[more], state[more[known]], length + 1
+            length += 1
+            r = v.next.rank(state, cp.take(at + (length - 1)))
+            known = np.flatnonzero(r != NONE)
+            who, at, left, state = who.take(known), at.take(known), left.take(known), v.next.merged.take(r.take(known))
+            ids = v.ends.take(state)
+            some = np.flatnonzero(ids >= 0)
+            if len(some):
+                out.append((who.take(some), length, ids.take(some)))
+            go = np.flatnonzero(left > length)
+            who, at, left, state = who.take(go), at.take(go), left.take(go), state.take(go)
         return out
 
     def _shares(self, log_p: np.ndarray, degree: np.ndarray, n: int, a: int) -> None:
@@ -313,24 +328,24 @@ class Lattices:
         draw = seed + place.astype(np.uint64) * tb.BASE
         count = np.zeros(len(node), dtype=np.int64)
         while len(who):
-            e = self.first[node]
+            e = self.first.take(node)
             r = _unit(draw)
-            more = np.flatnonzero(r >= self.upto[e])
-            at, r = e[more], r[more]
+            more = np.flatnonzero(r >= self.upto.take(e))
+            at, r = e.take(more), r.take(more)
             while len(more):
                 at += 1
                 e[more] = at
-                up = np.flatnonzero(r >= self.upto[at])
-                more, at, r = more[up], at[up], r[up]
+                up = np.flatnonzero(r >= self.upto.take(at))
+                more, at, r = more.take(up), at.take(up), r.take(up)
             steps.append((who, e))
             count[who] = len(steps)
-            node = self.dest[e]
+            node = self.dest.take(e)
             go = np.flatnonzero(node)
-            who, node, draw = who[go], node[go], draw[go] + self.size[e[go]].astype(np.uint64) * tb.BASE
+            who, node, draw = who.take(go), node.take(go), draw.take(go) + self.size.take(e.take(go)).astype(np.uint64) * tb.BASE
         begin = starts_of(count)
         edges = np.empty(int(begin[-1]), dtype=np.int64)
         for k, (w, e) in enumerate(steps):
-            edges[begin[w] + k] = e
+            edges[begin.take(w) + k] = e
         return edges, count
 
 
@@ -359,7 +374,7 @@ def streams(seed: np.ndarray, number: int) -> np.ndarray:
 
 
 class Part:
-    """Texts, one after another, as the chunks of their marked code points."""
+    """Texts, one after another, as the chunks of their marked code points. Its lattices hold until the vocabulary's next part."""
 
     def __init__(self, v: Vocabulary, offsets: np.ndarray, data: np.ndarray):
         cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype="<u4").copy()
@@ -376,8 +391,7 @@ class Part:
         self.starts = np.flatnonzero(opens[:-1])
         self.size = np.diff(np.append(self.starts, len(cp)))
         self.chunks = np.searchsorted(self.starts, self.rows)  # offsets of the texts in chunks
-        if v.lattices is None or v.lattices.edges > MOST_EDGES:
-            v.lattices = Lattices(v)
+        v.lattices = v.lattices.next_part() if v.lattices else Lattices(v)
         self.lattices, root = v.lattices, v.lattices.roots(cp, self.starts, self.size)
         if root is None:
             self.lattices = Lattices(v)
@@ -424,7 +438,7 @@ def sample(part: Part, seeds: np.ndarray, k: int) -> tuple[list[list[tuple[float
         owner = np.repeat(rows, walks)
         edges, count = lat.walk(node, place - part.rows[owner], draws[owner])
         cuts = starts_of(count)[begin]
-        tops, log_share = np.array([item[0] for item in items]), lat.log_share[edges]
+        tops, log_share = np.array([item[0] for item in items]), lat.log_share.take(edges)
         start = np.array([item[1] + (math.log(lat.share[before[-1]]) if len(before) else 0.0) for item, before in zip(items, kept, strict=True)])
         total = np.zeros(len(edges) + 1)  # summed by row, so that a row's sums don't depend on other rows
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -433,10 +447,10 @@ def sample(part: Part, seeds: np.ndarray, k: int) -> tuple[list[list[tuple[float
         total[cuts[:-1]] = 0.0
         log_p = np.repeat(start, np.diff(cuts)) + total[:-1]  # of what is before each edge
         steps = np.diff(cuts)
-        size = lat.size[edges]
+        size = lat.size.take(edges)
         ends = starts_of(size)
         lead = part.rows[rows + 1] - part.rows[rows] - ends[cuts[1:]]  # an edge's place in its text is this and `ends`
-        g = priorities(np.repeat(tops, steps), log_p, lat.log_others[edges], np.repeat(gumbels[rows] + lead.astype(np.uint64) * tb.BASE, steps), ends[:-1])
+        g = priorities(np.repeat(tops, steps), log_p, lat.log_others.take(edges), np.repeat(gumbels[rows] + lead.astype(np.uint64) * tb.BASE, steps), ends[:-1])
         own = _own_steps(part, lat, items, kept, rests, places, rows, gumbels)
         room = k - turn  # the samples still wanted after these, and the threshold
         for x, (i, item, before) in enumerate(zip(live, items, kept, strict=True)):
@@ -453,7 +467,7 @@ def sample(part: Part, seeds: np.ndarray, k: int) -> tuple[list[list[tuple[float
 
 def _another(lat: Lattices, without: tuple[int, ...], r: float) -> tuple[int, float]:
     """(an edge of the node of the edges `without` that isn't one of them, in proportion to mass; the shares of the node's other edges that aren't)."""
-    node = int(lat.first[: lat.nodes + 1].searchsorted(np.int32(without[0]), side="right")) - 1
+    node = int(lat.first[: lat.nodes + 1].searchsorted(without[0], side="right")) - 1
     left = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in without]
     shares = lat.share[left].tolist()
     r *= sum(shares)
@@ -496,7 +510,7 @@ def inclusion(log_p: float, threshold: float) -> float:
 
 def piece_ids(v: Vocabulary, lat: Lattices, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, count of each edge): one piece, or the bytes of a code point."""
-    ids = lat.id[edges]
+    ids = lat.id.take(edges)
     signs = np.flatnonzero(ids < 0)
     count = np.ones(len(ids), dtype=np.int64)
     if not len(signs):

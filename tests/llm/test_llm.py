@@ -308,7 +308,18 @@ def test_lattices_are_kept_and_shared_by_suffix(monkeypatch):
     # other texts before these, or lattices that start anew with each part, don't change a row's samples
     drawn(v, ["xwalking alking ing", "g 本"], 3)
     assert v.lattices is kept and drawn(v, texts, 3) == want
-    monkeypatch.setattr(sentencepiece_sampling, "MOST_EDGES", 0)
+    # full ones keep what they have, later nodes stay for a part; with many of those, and after large parts, they start anew
+    others = ["quite another text", "stalking the 本 g quite"]
+    later = drawn(v, others, 3)
+    monkeypatch.setattr(sentencepiece_sampling, "MOST_EDGES", kept.edges - 1)
+    size = kept.nodes, kept.edges, kept.signs
+    for _ in range(2):
+        assert drawn(v, ["zebra zebras", *texts[1:]], 3)[1:] == want[1:] and kept.full == size and kept.edges > size[1]
+        assert drawn(v, others, 3) == later and drawn(v, texts, 3) == want and v.lattices is kept and (kept.nodes, kept.edges, kept.signs) == size
+    kept.passed = 8 * kept.edges
+    assert drawn(v, others, 3) == later and v.lattices is not kept
+    kept = v.lattices
+    monkeypatch.setattr(sentencepiece_sampling, "MOST_EDGES", 1)
     assert drawn(v, texts, 3) == want and v.lattices is not kept
 
 
